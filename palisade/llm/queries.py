@@ -15,7 +15,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_windows(_read(spark, sf_dir, "documents"), 13, emit_text=False).withColumnRenamed("kept", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op10_substring_dedup,)}
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.suffix_dedup import repeated_strings
+
+    return repeated_strings(_read(spark, sf_dir, "documents"), 100, emit_text=False).withColumnRenamed("kept", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op10_substring_dedup)}
 
 ORACLE = {
     "op10_substring_dedup": r"""
