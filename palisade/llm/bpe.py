@@ -1,20 +1,21 @@
 """Byte-level BPE by a rank queue, and its inverse.
 
-A pre-token is a linked list of parts. Every adjacent pair that is in the vocabulary stands in the bucket of its
-rank; a three-level bitmap over the ranks says which buckets hold something, so the next rank is found by three
-find-first-set steps whatever the vocabulary's size. Entries aren't deleted when a neighbour merges: an entry counts
-only if its pair still has the bucket's rank. A pre-token of n bytes takes O(n log n) steps, so megabytes without
-a space are fine.
+The pre-tokens of many texts that aren't known yet are merged together: a linked list of parts runs through each,
+and every adjacent pair that is in the vocabulary stands in the bucket of its rank. A two-level bitmap over the ranks
+says which buckets hold something, so the next rank is found by two find-first-set steps whatever the vocabulary's
+size. Entries aren't deleted when a neighbour merges: an entry counts only if its pair still has the bucket's rank.
+n bytes take O(n log n) steps however they are cut, so megabytes without a space are fine.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -23,50 +24,34 @@ from pyspark.sql import DataFrame
 from palisade.llm import _session as S
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean"
-#: Parts of texts remembered by a worker, three times this at most, each of up to LONG characters.
-REMEMBERED, LONG = 60_000, 64
-#: Ids that are turned into digits and bytes at a time.
-PIECE = 1 << 16
-
-
-class RankQueue:
-    """Places by rank; pop() gives the smallest rank and, in it, the leftmost place."""
-
-    def __init__(self):
-        self.buckets: dict[int, list[int]] = {}
-        self.low: dict[int, int] = {}
-        self.mid: dict[int, int] = {}
-        self.top = 0
-
-    def push(self, rank: int, place: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, place)
-            return
-        self.buckets[rank] = [place]
-        a, b = rank >> 6, rank >> 12
-        self.low[a] = self.low.get(a, 0) | 1 << (rank & 63)
-        self.mid[b] = self.mid.get(b, 0) | 1 << (a & 63)
-        self.top |= 1 << b
-
-    def pop(self) -> tuple[int, int]:
-        b = (self.top & -self.top).bit_length() - 1
-        word = self.mid[b]
-        a = (b << 6) | ((word & -word).bit_length() - 1)
-        word = self.low[a]
-        rank = (a << 6) | ((word & -word).bit_length() - 1)
-        bucket = self.buckets[rank]
-        place = heappop(bucket)
-        if not bucket:
-            self.low[a] &= ~(1 << (rank & 63))
-            if not self.low[a]:
-                self.mid[b] &= ~(1 << (a & 63))
-                if not self.mid[b]:
-                    self.top &= ~(1 << b)
-        return rank, place
-
-    def __bool__(self) -> bool:
-        return self.top != 0
+#: Parts of texts remembered by a worker, four times this at most, each of up to LONG characters.
+REMEMBERED, LONG = 100_000, 64
+#: Characters whose unknown pre-tokens are merged together.
+TOGETHER = 1 << 21
+
+
+class Memo:
+    """What was found for short texts; the older half is forgotten when `size` newer ones are there."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """Those of the keys that aren't known; the others are in `new` from now on."""
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        new, old, out = self.new, self.old, []
+        for key in set(keys).difference(new):
+            if (got := old.get(key)) is None:
+                out.append(key)
+            else:
+                new[key] = got
+        return out
+
+    def trim(self, keys: Iterable[str]) -> None:
+        for key in keys:
+            if len(key) > LONG:
+                del self.new[key]
 
 
 class Vocabulary:
@@ -76,10 +61,11 @@ class Vocabulary:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.token = {i: b for b, i in ranks.items()}
         self.digits = {i: str(i) for i in self.token}
-        self._new: dict[str, tuple[int, ...]] = {}
-        self._old: dict[str, tuple[int, ...]] = {}
-        self._alone: dict[str, tuple[int, ...]] = {}
-        self._edge = regex.compile(r"\s\s|^\s|\s$")
+        self.byte = [ranks[bytes([b])] for b in range(256)]
+        self.pair = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)])
+        self.parts, self.matches = Memo(REMEMBERED), Memo(REMEMBERED)
+        self._uneven = regex.compile(r"\s\s|^\s|\s$")
+        self._cut = regex.compile(r"(?<=\S) (?=\S)")
 
     @classmethod
     def parse(cls, text: bytes, pattern: str) -> Vocabulary:
@@ -87,94 +73,139 @@ class Vocabulary:
         lines = (line.split() for line in text.splitlines() if line.strip())
         return cls({base64.b64decode(a): int(b) for a, b in lines}, pattern)
 
-    def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of one pre-token: always the pair of lowest rank, leftmost first."""
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
-            return (whole,)
-        n = len(piece)
+    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of each piece: in every piece always the pair of lowest rank first, leftmost first."""
+        if not pieces:
+            return []
+        rank_of = self.ranks.get
+        data = b"".join(pieces)
+        n = len(data)
+        stops = np.cumsum([len(p) for p in pieces])
+        last = bytearray(n + 1)  # 1 where a piece ends
+        raw = np.frombuffer(data, np.uint8).astype(np.int64)
+        pair = np.full(n, -1)
+        pair[:-1] = self.pair[raw[:-1] << 8 | raw[1:]]
+        pair[stops[stops > 0] - 1] = -1
+        np.frombuffer(last, np.uint8)[stops] = 1
+        np.frombuffer(last, np.uint8)[0] = 1
+        order = np.argsort(pair, kind="stable")
+        order = order[np.searchsorted(pair[order], 0) :]
+        found, at = np.unique(pair[order], return_index=True)
+        buckets = dict(zip(found.tolist(), (x.tolist() for x in np.split(order, at[1:])), strict=False))  # places by rank
+        low: dict[int, int] = {}  # bit r % 256 of word r // 256: bucket r isn't empty
+        for r in buckets:
+            low[r >> 8] = low.get(r >> 8, 0) | 1 << (r & 255)
+        top = sum(1 << w for w in low)  # bit w: word w isn't 0
+        rank_at = pair.tolist()  # of the pair that begins here; -1: none, or no part begins here
+        id_at = [self.byte[b] for b in data]  # of the part that begins here
         end = list(range(1, n + 1))  # of the part that begins here
-        before = list(range(-1, n - 1))
-        queue = RankQueue()
-        rank_at = [ranks.get(piece[i : i + 2], -1) for i in range(n - 1)]
-        rank_at.append(-1)  # of the pair that begins here; -1: none, or no part begins here
-        first: dict[int, list[int]] = {}
-        for i, r in enumerate(rank_at):
-            if r >= 0:
-                first.setdefault(r, []).append(i)
-        for r, places in first.items():
-            queue.push(r, places[0])
-            queue.buckets[r] = places  # ascending, so already a heap
-        while queue:
-            rank, i = queue.pop()
-            if rank_at[i] != rank:
-                continue
-            j = end[i]
-            k = end[j]
-            end[i] = k
-            rank_at[j] = -1
-            if k < n:
-                before[k] = i
-                rank_at[i] = r = ranks.get(piece[i : end[k]], -1)
-                if r >= 0:
-                    queue.push(r, i)
-            else:
-                rank_at[i] = -1
-            h = before[i]
-            if h >= 0:
-                rank_at[h] = r = ranks.get(piece[h:k], -1)
-                if r >= 0:
-                    queue.push(r, h)
+        before = list(range(-1, n))  # where the part before begins
+        while top:
+            w = (top & -top).bit_length() - 1
+            word = low[w]
+            bit = word & -word
+            rank = (w << 8) + bit.bit_length() - 1
+            word ^= bit
+            low[w] = word
+            if not word:
+                top ^= 1 << w
+            places = buckets.pop(rank)
+            places.sort()
+            for x, i in enumerate(places):
+                if rank_at[i] != rank:
+                    continue
+                j = end[i]
+                end[i] = k = end[j]
+                id_at[i] = rank
+                rank_at[j] = rank_at[i] = -1
+                lower = False
+                if not last[k]:
+                    before[k] = i
+                    r = rank_of(data[i : end[k]])
+                    if r is not None:
+                        rank_at[i] = r
+                        lower = r < rank
+                        if r in buckets:
+                            buckets[r].append(i)
+                        else:
+                            buckets[r] = [i]
+                            low[r >> 8] = low.get(r >> 8, 0) | 1 << (r & 255)
+                            top |= 1 << (r >> 8)
+                if not last[i]:
+                    h = before[i]
+                    r = rank_of(data[h:k])
+                    if r is None:
+                        rank_at[h] = -1
+                    else:
+                        rank_at[h] = r
+                        lower |= r < rank
+                        if r in buckets:
+                            buckets[r].append(h)
+                        else:
+                            buckets[r] = [h]
+                            low[r >> 8] = low.get(r >> 8, 0) | 1 << (r & 255)
+                            top |= 1 << (r >> 8)
+                if lower and x + 1 < len(places):  # a lower rank goes first
+                    buckets[rank] = places[x + 1 :]
+                    low[rank >> 8] |= 1 << (rank & 255)
+                    top |= 1 << (rank >> 8)
+                    break
         out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = end[i]
-        return tuple(out)
-
-    def _ids(self, part: str) -> tuple[int, ...]:
-        """Ids of a text that stands between two safe cuts, remembered if it is short."""
-        got = self._old.get(part)
-        if got is None:
-            got = tuple(i for m in self.pattern.findall(part) for i in self.merge(m.encode("utf-8", "replace")))
-        if len(part) <= LONG:
-            if len(self._new) >= REMEMBERED:
-                self._old, self._new = self._new, {}
-            self._new[part] = got
-        return got
-
-    def encode(self, text: str) -> Iterator[list[int]]:
-        """Ids of text, in pieces of about PIECE.
+        for stop in stops.tolist():
+            ids = []
+            while i < stop:
+                ids.append(id_at[i])
+                i = end[i]
+            out.append(tuple(ids))
+        return out
+
+    def _learn(self, matches: Iterable[str]) -> list[str]:
+        fresh = self.matches.missing(matches)
+        self.matches.new.update(zip(fresh, self.merge([m.encode("utf-8", "replace") for m in fresh]), strict=True))
+        return fresh
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text; texts that are long together should come through pieces().
 
         Where a single space stands between two other characters than white space, no match of the pattern crosses
-        the place before it, so the text is cut there and equal parts are encoded once.
+        the place before it, so such a text is cut there and equal parts are looked up as wholes.
         """
-        out: list[int] = []
-        if self._edge.search(text):
-            for m in self.pattern.finditer(text):
-                part = m.group()
-                got = self._alone.get(part)
-                if got is None:
-                    got = self.merge(part.encode("utf-8", "replace"))
-                    if len(part) <= LONG and len(self._alone) < REMEMBERED:
-                        self._alone[part] = got
-                out += got
-                if len(out) >= PIECE:
-                    yield out
-                    out = []
-        elif text:
-            parts = text.split(" ")
-            get, new = self._new.get, self._ids
-            for k, part in enumerate(parts):
-                part = " " + part if k else part
-                got = get(part)
-                out += new(part) if got is None else got
-                if len(out) >= PIECE:
-                    yield out
-                    out, get = [], self._new.get
-                elif got is None:
-                    get = self._new.get
-        if out:
-            yield out
+        units = []  # matches that are looked up singly, then parts that follow a space
+        for t in texts:
+            if self._uneven.search(t):
+                units.append((self.pattern.findall(t), ()))
+            else:
+                parts = t.split(" ")
+                units.append((self.pattern.findall(parts[0]), parts[1:]))
+        fresh = self.parts.missing(chain.from_iterable(parts for _, parts in units))
+        findall = self.pattern.findall
+        found = [findall(" " + p) for p in fresh]
+        learnt = self._learn(chain.from_iterable(chain(found, (ms for ms, _ in units))))
+        ids_of, part_ids = self.matches.new.__getitem__, self.parts.new
+        for p, ms in zip(fresh, found, strict=True):
+            part_ids[p] = ids_of(ms[0]) if len(ms) == 1 else tuple(chain.from_iterable(map(ids_of, ms)))
+        out = [list(chain.from_iterable(chain(map(ids_of, ms), map(part_ids.__getitem__, parts)))) for ms, parts in units]
+        self.parts.trim(fresh)
+        self.matches.trim(learnt)
+        return out
+
+    def pieces(self, texts: Iterable[str]) -> Iterator[tuple[int, list[int]]]:
+        """(number of the text, some of its ids), in order; each text comes at least once."""
+        group, of, size = [], [], 0
+        for k, text in enumerate(texts):
+            at = 0
+            while at < len(text) or not at:
+                to = len(text)
+                if to - at > TOGETHER and (m := self._cut.search(text, at + TOGETHER)):
+                    to = m.start()
+                group.append(text[at:to])
+                of.append(k)
+                size += to - at
+                at = max(to, 1)
+                if size >= TOGETHER:
+                    yield from zip(of, self.encode(group), strict=True)
+                    group, of, size = [], [], 0
+        yield from zip(of, self.encode(group), strict=True)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -207,15 +238,14 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(pattern)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids_hash, bytes_hash, n = hashlib.sha256(), hashlib.sha256(), 0
-                for ids in v.encode(text):
-                    ids_hash.update(((" " if n else "") + " ".join(map(v.digits.__getitem__, ids))).encode())
-                    bytes_hash.update(v.decode(ids))
-                    n += len(ids)
-                decoded = bytes_hash.hexdigest()
-                rows.append((doc_id, n, ids_hash.hexdigest(), decoded, decoded == hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()))
+            texts = batch.column(1).to_pylist()
+            sums = [[hashlib.sha256(), hashlib.sha256(), 0] for _ in texts]
+            for k, ids in v.pieces(texts):
+                at = sums[k]
+                at[0].update(((" " if at[2] and ids else "") + " ".join(map(v.digits.__getitem__, ids))).encode())
+                at[1].update(v.decode(ids))
+                at[2] += len(ids)
+            rows = [(i, n, a.hexdigest(), d := b.hexdigest(), d == hashlib.sha256(t.encode("utf-8", "replace")).hexdigest()) for i, t, (a, b, n) in zip(batch.column(0).to_pylist(), texts, sums, strict=True)]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "same"]
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 5, types, strict=True)], names)

@@ -21,7 +21,15 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_strings(_read(spark, sf_dir, "documents"), 100, emit_text=False).withColumnRenamed("kept", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op10_substring_dedup)}
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from palisade.llm.bpe import round_trip
+
+    return round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op5_byte_bpe, op10_substring_dedup)}
 
 ORACLE = {
     "op10_substring_dedup": r"""
