@@ -18,6 +18,8 @@ _FOLDED = _VALUES.copy()
 _FOLDED[65:91] = _VALUES[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Every ASCII character but digits and letters.
+_OTHER = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
@@ -88,21 +90,22 @@ class Texts:
 
 
 class Words:
-    """Maximal runs of bytes other than space, tab, LF, VT, FF and CR, in the order of a block's texts; none crosses two texts.
+    """Maximal runs of bytes other than space, tab, LF, VT, FF and CR (alnum: of ASCII letters and digits and of bytes
+    from 0x80), in the order of a block's texts; none crosses two texts.
 
     begin, end: bytes in texts.data; doc: the text's number; hash (if asked for): of the bytes, fold: with A-Z as a-z.
     """
 
-    def __init__(self, texts: Texts, fold: bool = False, hashes: bool = True):
-        parts = [self._of(first, data, offsets, int(texts.offsets[first]), fold, hashes) for first, _, data, offsets in texts.chunks()]
+    def __init__(self, texts: Texts, fold: bool = False, hashes: bool = True, alnum: bool = False):
+        parts = [self._of(first, data, offsets, int(texts.offsets[first]), fold, hashes, _OTHER if alnum else _SPACE) for first, _, data, offsets in texts.chunks()]
         self.begin, self.end, self.doc, self.hash = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*parts, strict=True) if parts else [[]] * 4))
         self.hash = self.hash.astype(U64, copy=False)
         self.count = np.bincount(self.doc, minlength=len(texts))
 
     @staticmethod
-    def _of(first, data, offsets, at, fold, hashes):
+    def _of(first, data, offsets, at, fold, hashes, between):
         n = len(data)
-        inside = ~_SPACE[data]
+        inside = ~between[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         before, after = np.zeros(n, bool), np.zeros(n, bool)
@@ -142,6 +145,10 @@ class Words:
         return out[inside], at, at + size
 
 
+def batch_texts(batch: pa.RecordBatch) -> Texts:
+    return Texts(pa.Table.from_batches([batch]))
+
+
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     """Which of n places lie in [s, s + width) for some start."""
     d = np.zeros(n + 1, np.int32)
