@@ -21,6 +21,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_strings(_read(spark, sf_dir, "documents"), 100, emit_text=False).withColumnRenamed("kept", "kept_sha256")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.licenses import license_scan
+
+    return license_scan(_read(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,7 +49,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_topk, op5_byte_bpe, op7_decontamination, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_topk, op3_license_scan, op5_byte_bpe, op7_decontamination, op10_substring_dedup)}
 
 ORACLE = {
     "op2_exact_topk": """
