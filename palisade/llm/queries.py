@@ -27,6 +27,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_read(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.quality import quality_scores
+
+    return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,7 +55,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_topk, op3_license_scan, op5_byte_bpe, op7_decontamination, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_topk, op3_license_scan, op4_quality, op5_byte_bpe, op7_decontamination, op10_substring_dedup)}
 
 ORACLE = {
     "op2_exact_topk": """
