@@ -25,35 +25,51 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept string"
 SORTED = 1 << 20
 
 
+def ordered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys in order, and where each stood (equal keys: in order of place if the places fit beside the key)."""
+    bits = len(key).bit_length()
+    if len(key) and int(key.max()) >> (64 - bits) == 0:
+        both = np.sort((key << U64(bits)) | np.arange(len(key), dtype=U64))
+        return both >> U64(bits), (both & U64((1 << bits) - 1)).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    return key[order], order
+
+
 def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
     """For each suffix, how many suffixes are smaller in their first `depth` bytes (prefix doubling).
 
     Past the end counts as smaller than any byte. Classes of one suffix are not sorted again.
     """
     n = len(data)
-    step = min(depth, 7)
+    used = np.bincount(data, minlength=256) > 0
+    code = np.cumsum(used)[data].astype(U64)
+    base = int(used.sum()) + 1
+    wide = (n + 1).bit_length()
+    step = 1
+    while step < depth and base ** (step + 1) < 1 << max(42, 64 - wide):
+        step += 1
     padded = np.zeros(n + step, U64)
-    padded[:n] = data.astype(U64) + U64(1)
+    padded[:n] = code
     key = np.zeros(n, U64)
     for j in range(step):
-        key = key * U64(257) + padded[j : j + n]
+        key = key * U64(base) + padded[j : j + n]
     rank, active, done = np.zeros(n, np.int64), np.arange(n), 0
     while True:
-        order = np.argsort(key, kind="stable")
-        key, at = key[order], active[order]
+        key, order = ordered(key)
+        at = active[order]
         old, i = rank[at], np.arange(len(at))
         head, sub = np.ones(len(at), bool), np.ones(len(at), bool)
         head[1:], sub[1:] = old[1:] != old[:-1], key[1:] != key[:-1]
         rank[at] = old + np.maximum.accumulate(np.where(sub, i, 0)) - np.maximum.accumulate(np.where(head, i, 0))
+        done += step
         alone = sub & np.append(sub[1:], True)
-        done = done + step if done else step
         active = at[~alone]
         if done >= depth or not len(active):
             return rank
         step = min(done, depth - done)
         beyond = active + step
         second = np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
-        key = (rank[active].astype(U64) << U64(32)) | second.astype(U64)
+        key = (rank[active].astype(U64) << U64(wide)) | second.astype(U64)
 
 
 def previous_factor(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -65,9 +81,8 @@ def previous_factor(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndar
     """
     out = np.full(len(starts), -1, np.int64)
     if len(starts):
-        rank = suffix_ranks(data, width)[starts]
-        order = np.argsort(rank, kind="stable")
-        same = np.flatnonzero(rank[order][1:] == rank[order][:-1])
+        rank, order = ordered(suffix_ranks(data, width)[starts].astype(U64))
+        same = np.flatnonzero(rank[1:] == rank[:-1])
         out[order[same + 1]] = starts[order[same]]
     return out
 
