@@ -119,13 +119,13 @@ class Words:
     def __len__(self) -> int:
         return len(self.begin)
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """First words of the windows of `width` words of one text, and the windows' hashes."""
+    def windows(self, width: int, hashes: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """First words of the windows of `width` words of one text, and (if asked for) the windows' hashes."""
         n = len(self) - width + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, U64)
         first = np.flatnonzero(self.doc[:n] == self.doc[width - 1 :])
-        return first, spans(prefix_sums(self.hash), first, first + width)
+        return first, spans(prefix_sums(self.hash), first, first + width) if hashes else np.zeros(0, U64)
 
     def joined(self, data: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The (kept) words of each text joined by one space: all bytes, and where each word begins and ends in them."""

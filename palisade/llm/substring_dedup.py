@@ -43,20 +43,21 @@ def repeated_windows(docs: DataFrame, width: int = 13, emit_text: bool = True) -
         words = Words(texts)
         first, hashes = words.windows(width)
         keys, inverse = np.unique(X.cells(hashes, n), return_inverse=True)
-        first = first[X.repeated(keys, X.answers(got))[inverse]]
+        likely = X.repeated(keys, X.answers(got))[inverse]
+        first = first[likely]
         joined, begin, end = words.joined(texts.data)
         joined, blake = joined.tobytes(), hashlib.blake2b
         entries: dict[bytes, int] = {}
         entry = np.fromiter((entries.setdefault(blake(joined[a:b], digest_size=16).digest(), len(entries)) for a, b in zip(begin[first].tolist(), end[first + width - 1].tolist(), strict=True)), np.int64, len(first))
-        ids = texts.ids[words.doc[first]]
         _, at = np.unique(entry, return_index=True)  # documents come in order of doc_id
-        least = ids[at]
+        least = texts.ids[words.doc[first[at]]]
         digests = np.frombuffer(b"".join(entries), np.uint8).reshape(-1, 16)
         shard = (digests[:, :4].copy().view(np.uint32)[:, 0] % n).astype(np.int64)
         order = np.argsort(shard, kind="stable")
-        rank = np.empty(len(order), np.uint32)
-        rank[order] = np.arange(len(order), dtype=np.uint32)
-        rows = [(block % n, block, b"S" + X.pack(first.astype(np.uint32), rank[entry], ids > least[entry]))]
+        # to itself: which windows are likely, which of those come first in the block, the entries of the others, the entries' shards
+        again = np.ones(len(first), bool)
+        again[at] = False
+        rows = [(block % n, block, b"S" + X.pack(np.packbits(likely), np.packbits(again), entry[again].astype(np.uint32), shard.astype(np.uint32)))]
         edges = np.searchsorted(shard[order], np.arange(n + 1))
         for s in np.flatnonzero(np.diff(edges)).tolist():
             part = order[edges[s] : edges[s + 1]]
@@ -86,8 +87,17 @@ def repeated_windows(docs: DataFrame, width: int = 13, emit_text: bool = True) -
         words = Words(texts, hashes=False)
         bodies = sorted(zip(got.column("shard").to_pylist(), got.column("body").to_pylist(), strict=True))
         earlier = np.frombuffer(b"".join(b[1:] for _, b in bodies if b[:1] == b"K"), bool)
-        first, entry, local = next((X.unpack(b[1:], np.uint32, np.uint32, bool) for _, b in bodies if b[:1] == b"S"), (np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, bool)))
-        hit = first[local | earlier[entry]].astype(np.int64)
+        hit = np.zeros(0, np.int64)
+        for likely, again, known, shard in (X.unpack(b[1:], np.uint8, np.uint8, np.uint32, np.uint32) for _, b in bodies if b[:1] == b"S"):
+            first, _ = words.windows(width, hashes=False)
+            first = first[np.unpackbits(likely, count=len(first)).astype(bool)]
+            again = np.unpackbits(again, count=len(first)).astype(bool)
+            entry = np.empty(len(first), np.int64)
+            entry[again], entry[~again] = known, np.arange(len(shard))
+            at_shard = np.empty(len(shard), np.int64)
+            at_shard[np.argsort(shard, kind="stable")] = np.arange(len(shard))
+            ids = texts.ids[words.doc[first]]
+            hit = first[(ids > ids[~again][entry]) | earlier[at_shard[entry]]]
         gone = covered(hit, width, len(words))
         joined, begin, end = words.joined(texts.data, ~gone)
         doc = words.doc[~gone]
