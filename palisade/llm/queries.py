@@ -9,6 +9,18 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.chat import conversations
+
+    return conversations(_read(spark, sf_dir, "conversations"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.jaccard import similar_documents
+
+    return similar_documents(_read(spark, sf_dir, "documents"), 5, 75)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palisade.llm.substring_dedup import repeated_windows
 
@@ -49,13 +61,19 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inner_product_top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palisade.llm.lm import lm_scores
+
+    return lm_scores(_read(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palisade.llm.decontam import contaminated
 
     return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_topk, op3_license_scan, op4_quality, op5_byte_bpe, op7_decontamination, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_topk, op3_license_scan, op4_quality, op5_byte_bpe, op6_lm_scores, op7_decontamination, op8_chat, op9_jaccard_join, op10_substring_dedup)}
 
 ORACLE = {
     "op2_exact_topk": """
