@@ -79,7 +79,8 @@ def weighted_signals(signals: dict[str, int] | None = None) -> dict[str, int]:
     """Normalised signals that count: phrases, and informative single words."""
     out = {}
     for term, weight in (SIGNALS if signals is None else signals).items():
-        t = normalised_term(term)
-        if " " in t or informative(t):
-            out[t] = out.get(t, 0) + weight
+        # small and capital letters may look like different Latin ones, so a term can have two forms
+        for t in dict.fromkeys((normalised_term(term.upper()), normalised_term(term.lower()))):
+            if " " in t or informative(t):
+                out[t] = out.get(t, 0) + weight
     return out

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from palisade.functions import lexicon as L
 
@@ -38,7 +39,7 @@ def strip_invisible(t: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c(t), r"[\p{Cf}\p{Mn}]", ""), r"[\p{Cc}&&[^\n\r\t]]", " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 

@@ -43,22 +43,25 @@ def asked(df: DataFrame, text: str, providers: dict[str, Provider], fail_open: b
         raise ValueError("at least one provider is needed")
     out = None
     for name, call in providers.items():
+        rows = df.withColumn("provider", F.lit(name)).withColumn("response", F.pandas_udf(_responder(call, fail_open, retries), "string")(F.col(text)))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
-        def respond(batches: Iterator[pd.Series], call: Provider = call) -> Iterator[pd.Series]:
-            def one(x: str) -> str | None:
-                for _ in range(retries + 1):
-                    try:
-                        return call(x)
-                    except Exception:  # a provider may fail in any way
-                        continue
-                return "SAFE" if fail_open else None
 
-            for s in batches:
-                yield s.map(one)
+def _responder(call: Provider, fail_open: bool, retries: int):
+    def one(x: str) -> str | None:
+        for _ in range(retries + 1):
+            try:
+                return call(x)
+            except Exception:  # a provider may fail in any way
+                continue
+        return "SAFE" if fail_open else None
 
-        rows = df.withColumn("provider", F.lit(name)).withColumn("response", F.pandas_udf(respond, "string")(F.col(text)))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    def respond(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(one)
+
+    return respond
 
 
 def tiered(screened: DataFrame, key: str, text: str, providers: dict[str, Provider] | None = None) -> DataFrame:

@@ -32,7 +32,7 @@ def screened(
         .when(F.col("_weight") >= 2, "signals").when(F.col("_pairs") >= 3, "co_occurrence")
     )
     out = out.withColumn("_early", early)
-    hidden = F.when(F.col("_early").isNull(), decoded_scores(F.col("_upper"), signals, sure, acts, aims))
+    hidden = F.when(F.col("_early").isNull(), decoded_scores(F.col("clean"), signals, sure, acts, aims))
     out = out.withColumn("_hidden", F.coalesce(hidden, F.struct(F.lit(False).alias("block"), F.lit(0).alias("score"))))
     layer = F.coalesce("_early", F.when(F.col("_hidden.block"), "decoded"))
     safe = F.size(T.found_terms(F.lower("clean"), [k.lower() for k in safe_keywords])) > 0
@@ -48,8 +48,8 @@ def co_occurrence(words: Column, actions: list[str], targets: list[str]) -> Colu
     return F.when((a > 0) & (b > 0), a + b).otherwise(0)
 
 
-def decoded_scores(upper: Column, signals: dict[str, int], sure: list[str], actions: list[str], targets: list[str]) -> Column:
-    """struct<block, score> over all decoded variants of an upper-case text."""
+def decoded_scores(clean: Column, signals: dict[str, int], sure: list[str], actions: list[str], targets: list[str]) -> Column:
+    """struct<block, score> over all decoded variants of a normalised text."""
 
     def judge(u: Column) -> Column:
         weight = T.signal_weight(u, signals)
@@ -57,4 +57,4 @@ def decoded_scores(upper: Column, signals: dict[str, int], sure: list[str], acti
         scored = F.struct(weight.alias("w"), (F.size(T.found_terms(u, sure)) > 0).alias("sure"), pair.alias("p"))
         return T.let(scored, lambda s: F.struct((s["sure"] | (s["w"] >= 2) | (s["p"]["a"] & s["p"]["b"])).alias("block"), (F.when(s["w"] == 1, 10).otherwise(0) + F.when(s["p"]["a"] | s["p"]["b"], 8).otherwise(0)).alias("score")))
 
-    return T.let(F.transform(T.decoded_variants(upper), lambda v: T.let(F.upper(v["text"]), judge)), lambda r: F.struct(F.exists(r, lambda x: x["block"]).alias("block"), F.aggregate(r, F.lit(0), lambda s, x: s + x["score"]).alias("score")))
+    return T.let(F.transform(T.decoded_variants(clean), lambda v: T.let(F.upper(v["text"]), judge)), lambda r: F.struct(F.exists(r, lambda x: x["block"]).alias("block"), F.aggregate(r, F.lit(0), lambda s, x: s + x["score"]).alias("score")))

@@ -133,7 +133,7 @@ early AS (
     CASE WHEN gibberish THEN 'gibberish' WHEN flood THEN 'flood' WHEN escapes THEN 'escapes' WHEN model_tokens THEN 'model_tokens' WHEN persona THEN 'persona'
       WHEN {_found('u', _SURE)} > 0 THEN 'high_confidence' WHEN {_weight('u')} >= 2 THEN 'signals'
       WHEN {_common('words', L.ACTIONS)} > 0 AND {_common('words', L.TARGETS)} > 0 AND {_common('words', L.ACTIONS)} + {_common('words', L.TARGETS)} >= 3 THEN 'co_occurrence' END AS early FROM flags),
-src AS (SELECT doc_id, u AS x FROM early WHERE early IS NULL), toks AS (SELECT doc_id, trim(UNNEST({_tokens('x')}), '{_EDGE}') AS w FROM src),
+src AS (SELECT doc_id, clean AS x FROM early WHERE early IS NULL), toks AS (SELECT doc_id, trim(UNNEST({_tokens('x')}), '{_EDGE}') AS w FROM src),
 variants AS ({_variants('x')} UNION ALL {_ENCODED}),
 judged AS (
   SELECT doc_id, {_found('upper(text)', _SURE)} > 0 AS sure, {_weight('upper(text)')} AS weight,
