@@ -75,7 +75,57 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_topk, op3_license_scan, op4_quality, op5_byte_bpe, op6_lm_scores, op7_decontamination, op8_chat, op9_jaccard_join, op10_substring_dedup)}
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _license_sql() -> str:
+    """op3 stated over DuckDB lists, from the same phrases."""
+    from palisade.llm.licenses import BASE, TEMPLATES
+
+    phrases = [*BASE.items(), *((p, label) for p, label, _ in TEMPLATES)]
+    starts = ", ".join(
+        f"CASE WHEN contains(flat, ' {p} ') THEN list_filter(range(0, len(ws)), lambda i: ws[i + 1 : i + {len(p.split())}] = [{', '.join(repr(w) for w in p.split())}]) ELSE [] END AS p{k}" for k, (p, _) in enumerate(phrases)
+    )
+    labels = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(phrases))
+    best = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN {len(p.split())}.0::DOUBLE ELSE 0.0::DOUBLE END" for k, (p, _) in enumerate(phrases))
+    base = range(len(BASE))
+    return f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+f AS (SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS flat FROM w),
+s AS (SELECT doc_id, ws, {starts} FROM f),
+t AS (SELECT *, flatten([{', '.join(f'p{k}' for k in base)}]) AS places, greatest({best}) AS best FROM s)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
+  coalesce(array_to_string(list_sort(list_distinct([{', '.join(labels.split(', ')[: len(BASE)])}])), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct([{labels}])), ','), '') AS labels, best / (best + 1) AS score
+FROM t
+"""
+
+
 ORACLE = {
+    "op1_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+s AS (SELECT doc_id, i, substring(h, 2 * i + 1, 200) AS w FROM d, UNNEST(range(0, n - 99)) AS u(i)),
+f AS (SELECT w, min(doc_id) AS first_doc, min((doc_id, i)) AS first FROM s GROUP BY w HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM s JOIN f USING (w) WHERE (doc_id, i) <> first),
+run AS (SELECT doc_id, k, min(i) AS a, max(i) + 100 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hit) GROUP BY doc_id, k),
+gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_ FROM run),
+g AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substring(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) AS head FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+""",
+    "op3_license_scan": _license_sql(),
+    "op9_jaccard_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS s FROM w, UNNEST(range(1, greatest(len(ws) - 3, 2))) AS u(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS id, doc_id AS r FROM documents UNION SELECT reach.id, both_ways.b FROM reach JOIN both_ways ON reach.r = both_ways.a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, r AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id AS doc_id, min(r) AS r FROM reach GROUP BY id) USING (doc_id)
+""",
     "op2_exact_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
