@@ -25,7 +25,7 @@ from palisade.llm import _session as S
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean"
 #: Parts of texts remembered by a worker, four times this at most, each of up to LONG characters.
-REMEMBERED, LONG = 100_000, 64
+REMEMBERED, LONG = 200_000, 64
 #: Characters whose unknown pre-tokens are merged together.
 TOGETHER = 1 << 21
 
@@ -64,7 +64,6 @@ class Vocabulary:
         self.byte = [ranks[bytes([b])] for b in range(256)]
         self.pair = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)])
         self.parts, self.matches = Memo(REMEMBERED), Memo(REMEMBERED)
-        self._uneven = regex.compile(r"\s\s|^\s|\s$")
         self._cut = regex.compile(r"(?<=\S) (?=\S)")
 
     @classmethod
@@ -170,21 +169,23 @@ class Vocabulary:
         Where a single space stands between two other characters than white space, no match of the pattern crosses
         the place before it, so such a text is cut there and equal parts are looked up as wholes.
         """
-        units = []  # matches that are looked up singly, then parts that follow a space
-        for t in texts:
-            if self._uneven.search(t):
-                units.append((self.pattern.findall(t), ()))
-            else:
-                parts = t.split(" ")
-                units.append((self.pattern.findall(parts[0]), parts[1:]))
-        fresh = self.parts.missing(chain.from_iterable(parts for _, parts in units))
-        findall = self.pattern.findall
-        found = [findall(" " + p) for p in fresh]
-        learnt = self._learn(chain.from_iterable(chain(found, (ms for ms, _ in units))))
-        ids_of, part_ids = self.matches.new.__getitem__, self.parts.new
-        for p, ms in zip(fresh, found, strict=True):
+        split = [t.split(" ") for t in texts]
+        fresh = self.parts.missing(chain.from_iterable(parts[1:] for parts in split))
+        part_ids, findall = self.parts.new, self.pattern.findall
+        # a part that is empty or has white space at an end doesn't stand between safe cuts: its text is matched whole
+        even = [p for p in fresh if p and not p[0].isspace() and not p[-1].isspace()]
+        part_ids.update(dict.fromkeys(set(fresh).difference(even)))
+        found = [findall(" " + p) for p in even]
+        part_ids.update(dict.fromkeys(even, ()))
+        whole = [len(ps) > 1 and (ps[0][-1:].isspace() or None in map(part_ids.__getitem__, ps[1:])) for ps in split]
+        heads = [findall(t if w else ps[0]) for t, ps, w in zip(texts, split, whole, strict=True)]
+        learnt = self._learn(chain.from_iterable(chain(found, heads)))
+        ids_of = self.matches.new.__getitem__
+        for p, ms in zip(even, found, strict=True):
             part_ids[p] = ids_of(ms[0]) if len(ms) == 1 else tuple(chain.from_iterable(map(ids_of, ms)))
-        out = [list(chain.from_iterable(chain(map(ids_of, ms), map(part_ids.__getitem__, parts)))) for ms, parts in units]
+        out = []
+        for ms, ps, w in zip(heads, split, whole, strict=True):
+            out.append(list(chain.from_iterable(chain(map(ids_of, ms), () if w else map(part_ids.__getitem__, ps[1:])))))
         self.parts.trim(fresh)
         self.matches.trim(learnt)
         return out
