@@ -131,21 +131,22 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 75) -> Dat
     table = S.checkpointed(X.back(docs, marks, rows, _ROWS))
 
     # classes: the first document of each set; then groups of classes with the same prefix and size
-    first = Window.partitionBy("set_id").orderBy("doc_id")
-    classes = table.where("shingles IS NOT NULL").withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")  # a row a block and set at most
-    classes = classes.withColumnRenamed("doc_id", "id")
+    first = Window.partitionBy("set_id").orderBy("id")
+    held = table.where("shingles IS NOT NULL").withColumnRenamed("doc_id", "id")  # a row a block and set
+    narrow = held.select("id", "set_id", "prefix_id").withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
+    classes = S.checkpointed(narrow)
     groups = classes.groupBy("prefix_id").agg(F.min("id").alias("gid"))
     member = classes.select("id", "prefix_id").join(groups, "prefix_id").select("id", "gid")
-    lists = classes.select("id", F.explode("tokens").alias("token")).join(groups.select(F.col("gid").alias("id")), "id", "left_semi")
+    lists = held.select("id", "tokens").join(groups.select(F.col("gid").alias("id")), "id", "left_semi").select("id", F.explode("tokens").alias("token"))
     heads = lists.groupBy("token").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("token", "head")
-    lists = S.checkpointed(lists.join(heads, "token").select("id", "head").distinct())
+    lists = S.checkpointed(lists.join(heads, "token").groupBy("id", "head").agg(F.count("*").alias("n")))
     families = components(lists.select(F.col("id").alias("a"), F.col("head").alias("b")))
     # groups of several classes are families of their own at least
     families = member.join(families.withColumnRenamed("id", "gid"), "gid", "left").select("id", F.coalesce("component", "gid").alias("family"))
     sizes = families.groupBy("family").agg(F.count("*").alias("size")).where("size > 1")
     families = S.checkpointed(families.join(sizes, "family"))
 
-    sets = classes.select("id", "n", "shingles")
+    sets = held.select("id", "n", "shingles")  # sets travel only when a family needs them
     small = families.where(F.col("size") <= BLOCK)
     calls = max(1, math.ceil(small.count() / TOGETHER))
     links = [_small(small.join(sets, "id").withColumn("call", F.pmod(F.xxhash64("family"), F.lit(calls))), percent)]
@@ -201,8 +202,10 @@ def _large(rows: DataFrame, lists: DataFrame, member: DataFrame, percent: int) -
                     keep.append((i, j))
             yield from _links(keep).to_batches()
 
-    # each class with the heads of its group's lists, and with the first class of its group
-    heads = member.join(lists.withColumnRenamed("id", "gid"), "gid").select("id", "head").unionByName(member.select("id", F.col("gid").alias("head"))).where("id <> head").distinct()
+    # each class with the first class of its group and the two heads that most of its group's lists have
+    common = Window.partitionBy("id").orderBy(F.desc("n"), "head")
+    lists = lists.where("id <> head").withColumn("k", F.row_number().over(common)).where("k <= 2").select(F.col("id").alias("gid"), "head")
+    heads = member.join(lists, "gid").select("id", "head").unionByName(member.select("id", F.col("gid").alias("head"))).where("id <> head").distinct()
     sets = rows.select("id", "n", "shingles")
     near = rows.select("id", "n", "shingles").join(heads, "id").join(sets.toDF("head", "m", "other"), "head")
     near = near.where((F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent))
