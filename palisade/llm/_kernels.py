@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that kernels hold as 8-byte numbers at a time (a longer text is taken alone).
@@ -145,8 +146,15 @@ class Words:
         return out[inside], at, at + size
 
 
-def batch_texts(batch: pa.RecordBatch) -> Texts:
-    return Texts(pa.Table.from_batches([batch]))
+def text_slices(batch: pa.RecordBatch, size: int = 4 * CHUNK) -> Iterator[Texts]:
+    """The documents of an Arrow batch, in turns of about `size` bytes of text (a longer one alone)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        done = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + size, "right")))
+        yield Texts(pa.Table.from_batches([batch.slice(first, last - first)]))
+        first = last
 
 
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm import _session as S
-from palisade.llm._kernels import U64, Texts, Words, batch_texts, mixed, powers
+from palisade.llm._kernels import U64, Texts, Words, text_slices, mixed, powers
 
 #: Words that count (1) and are ignored (0). Weight 6 in 9 to 11 words; each pair of masks ignores different places.
 MASKS = ("110101011", "1101100101", "11001010011", "111010011")
@@ -133,8 +133,7 @@ def _sent(docs: DataFrame, items: DataFrame, window: int, share: float) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = Benchmark(sent.value)
-        for batch in batches:
-            texts = batch_texts(batch)
+        for texts in (t for batch in batches for t in text_slices(batch)):
             words = Words(texts, fold=True, alnum=True)
             first = np.concatenate(([0], np.cumsum(words.count)))
             out: dict = {}
@@ -151,8 +150,7 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, share: float) -> Dat
 
     def of(whole: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch_texts(batch)
+            for texts in (t for batch in batches for t in text_slices(batch)):
                 words = Words(texts, fold=True, alnum=True)
                 first = np.concatenate(([0], np.cumsum(words.count)))
                 masks = [*MASKS, *("1" * n for n in range(1, max(map(len, MASKS))))]
