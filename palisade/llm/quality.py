@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.llm import _exchange as X
 from palisade.llm import _session as S
-from palisade.llm._kernels import U64, Texts, Words, batch_texts
+from palisade.llm._kernels import U64, Texts, Words, text_slices
 
 #: Terms: hashed words, hashed word shapes, repetition.
 WORDS, SHAPES, REPEATS = 2048, 1024, 32
@@ -119,17 +120,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(TERMS, np.int64), 0
-        for batch in batches:
-            texts = batch_texts(batch)
+        for texts in (t for batch in batches for t in text_slices(batch)):
             df += np.bincount(term_counts(texts)[1], minlength=TERMS)
             n += len(texts)
         yield from pa.table({"term": np.arange(-1, TERMS), "n": np.concatenate(([n], df))}).to_batches()
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch_texts(batch.select(["doc_id", "text"]))
+        for texts in (t for batch in batches for t in text_slices(batch)):
             text, term, count = term_counts(texts)
-            yield from pa.table({"doc_id": texts.ids[text], "term": term, "n": count}).to_batches()
+            cut = np.searchsorted(text, np.arange(len(texts) + 1))
+            bodies = [X.pack(term[a:b].astype(np.uint16), count[a:b].astype(np.uint32)) for a, b in zip(cut, cut[1:], strict=False)]
+            yield from pa.table({"doc_id": texts.ids, "body": pa.array(bodies, pa.binary())}).to_batches()
 
     counted = dict(docs.mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n")).collect())  # TERMS + 1 rows at most
     df = np.array([counted.get(t, 0) for t in range(TERMS)])
@@ -141,14 +142,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold
     label = {r["doc_id"]: int(r["quality"] > 0) for r in chosen.collect()}  # `sample` rows at most
     ids = spark.createDataFrame([(i,) for i in label], "doc_id long")
     texts = docs.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text")
-    got = texts.mapInArrow(found, "doc_id long, term long, n long").toPandas().sort_values(["doc_id", "term"])
-    names, row = np.unique(got["doc_id"].to_numpy(), return_inverse=True)
-    rows = vectors(len(names), row, got["term"].to_numpy(), got["n"].to_numpy(), idf)
-    voters = spark.sparkContext.broadcast(Voters(idf, rows, np.array([label[i] for i in names.tolist()])))
+    got = sorted((r["doc_id"], bytes(r["body"])) for r in texts.mapInArrow(found, "doc_id long, body binary").collect())  # a row for each of them
+    parts = [tuple(X.unpack(b, np.uint16, np.uint32)) for _, b in got]
+    row = np.repeat(np.arange(len(parts)), [len(t) for t, _ in parts])
+    term, count = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (zip(*parts, strict=True) if parts else ((), ())))
+    rows = vectors(len(parts), row, term, count, idf)
+    voters = spark.sparkContext.broadcast(Voters(idf, rows, np.array([label[i] for i, _ in got])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch_texts(batch)
+        for texts in (t for batch in batches for t in text_slices(batch)):
             score = voters.value.score(len(texts), *term_counts(texts))
             yield from pa.table({"doc_id": texts.ids, "score": score}).to_batches()
 
