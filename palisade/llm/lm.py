@@ -10,16 +10,18 @@ context and byte of a block is scored once. A unigram model of tokens, whose cou
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm import _exchange as X
 from palisade.llm import _session as S
-from palisade.llm._kernels import _SPACE, _VALUES, U64, Texts, Words, batch_texts, mixed, prefix_sums, spans
+from palisade.llm._kernels import _SPACE, _VALUES, U64, Texts, Words, mixed, prefix_sums, spans, text_slices
 from palisade.llm.quality import remainder
 
 #: Slots (as powers of two) of the tables for 1 to 4 bytes of context and the word so far, and of a region that is added up at once.
@@ -27,6 +29,8 @@ BITS, REGION = (16, 18, 19, 20, 21), 15
 OFFSETS = np.cumsum([0, *(1 << b for b in BITS)])
 SLOTS = int(OFFSETS[-1])
 GATES, INPUTS, BUCKETS = 64, 6, 33
+#: Bytes of text that the mixer learns from at a time, against the counts of all others.
+LEARNT = 1 << 20
 _MULTIPLY = [U64(m) for m in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 SCHEMA = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
@@ -186,11 +190,9 @@ def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
     held = F.coalesce(remainder(S.public_id(), folds) == 0, F.lit(False))
     plain = S.documents(docs)
     blocks = S.blocked(plain, n)
-    trained = blocks.select("doc_id", "text", "block", (~held).alias("training"))
 
-    def training_of(table: pa.Table, texts: Texts) -> np.ndarray:
-        flag = dict(zip(table.column("doc_id").to_pylist(), table.column("training").to_pylist(), strict=True))
-        return np.array([flag[i] for i in texts.ids.tolist()], bool)
+    def training_of(texts: Texts) -> np.ndarray:
+        return np.array([i == S.LOWEST_ID or zlib.crc32(str(i).encode()) % folds != 0 for i in texts.ids.tolist()], bool)
 
     def tokens(texts: Texts) -> tuple[Words, np.ndarray, np.ndarray]:
         words = Words(texts, fold=True)
@@ -202,7 +204,7 @@ def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
 
     def count(block: int, table: pa.Table):
         texts = Texts(table)
-        training = training_of(table, texts)
+        training = training_of(texts)
         words, key, entry = tokens(texts)
         own = np.bincount(entry, training[words.doc], len(key)).astype(np.uint32)
         shard = (key % U64(n)).astype(np.int64)
@@ -218,25 +220,33 @@ def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
         sums = np.bincount(inverse, np.concatenate([c for _, c in parts]), len(key)).astype(np.int64)
         edges = np.cumsum([0, *(len(k) for k, _ in parts)])
         rows = [(shard, k, sums[inverse[a:b]].tobytes()) for k, a, b in zip(blocks_, edges, edges[1:], strict=False)]
-        return X.messages([*rows, (shard, -1, X.pack(np.array([sums.sum(), (sums > 0).sum()])))])
-
-    replies = S.checkpointed(X.meet(X.send(trained, count), total))
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for body in batch.column(0).to_pylist():
-                (x,) = X.unpack(body, np.int64)
-                yield pa.RecordBatch.from_pydict({"tokens": x[:1], "distinct": x[1:]})
-
-    words_, distinct = replies.where("block = -1").select("body").mapInArrow(sums, "tokens long, distinct long").agg(F.sum("tokens"), F.sum("distinct")).first()
-    ends = plain.where(~held).count()
-    train_tokens, vocabulary = (words_ or 0) + ends, (distinct or 0) + (ends > 0)
+        return X.messages(rows)
+
+    # how many tokens there are, and how many distinct ones: hashes of each partition's words, counted by shard
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, all_ = np.zeros(0, U64), 0
+        for texts in (t for batch in batches for t in text_slices(batch)):
+            words = Words(texts, fold=True)
+            keys, all_ = np.union1d(keys, words.hash), all_ + len(words) + len(texts)
+        shard = keys % U64(n)
+        rows = [(s, all_ if not s else 0, X.pack(keys[shard == s])) for s in range(n)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["shard", "tokens", "body"])
+
+    def counted(table: pa.Table) -> pa.Table:
+        keys = np.unique(np.concatenate([np.zeros(0, U64), *(k for b in table.column("body").to_pylist() for k in X.unpack(b, np.uint64))]))
+        return pa.table({"tokens": [sum(table.column("tokens").to_pylist())], "kinds": [len(keys)]})
+
+    learning = plain.where(~held)
+    found = learning.mapInArrow(distinct, "shard int, tokens long, body binary").groupBy("shard").applyInArrow(counted, "tokens long, kinds long")
+    train_tokens, kinds = (int(x or 0) for x in found.agg(F.sum("tokens"), F.sum("kinds")).first())
+    ends = learning.count()
+    vocabulary = kinds + (ends > 0)
 
     # the predictors: tables of fixed size, added up by region
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ones, total_ = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32)
-        for batch in batches:
-            _, cases, count_, _ = _block_grams(batch_texts(batch), np.ones(batch.num_rows, bool))
+        for texts in (t for batch in batches for t in text_slices(batch)):
+            _, cases, count_, _ = _block_grams(texts, np.ones(len(texts), bool))
             a, b = bit_counts(*cases, count_)
             ones += a
             total_ += b
@@ -250,31 +260,31 @@ def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
         return pa.table({"region": table.column("region").slice(0, 1), "body": pa.array([body], pa.binary())})
 
     ones, seen = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32)
-    for r in plain.where(~held).mapInArrow(tables, "region int, body binary").groupBy("region").applyInArrow(added, "region int, body binary").collect():  # SLOTS in all
+    for r in learning.mapInArrow(tables, "region int, body binary").groupBy("region").applyInArrow(added, "region int, body binary").collect():  # SLOTS in all
         low = r["region"] << REGION
         ones[low : low + (1 << REGION)], seen[low : low + (1 << REGION)] = X.unpack(bytes(r["body"]), np.float32, np.float32)
     counts = spark.sparkContext.broadcast((ones, seen))
 
-    # the mixer: learnt in each block against the other blocks' counts, averaged in groups and then altogether
+    # the mixer: learnt batch by batch in each partition, against the counts of all other batches; averaged in groups, then altogether
     groups = max(1, math.isqrt(n))
 
-    def trained_mixer(table: pa.Table) -> pa.Table:
-        texts = Texts(table)
-        _, cases, count_, _ = _block_grams(texts, training_of(table, texts))
-        mixer = Mixer()
-        if len(count_):
-            own = bit_counts(*cases, count_)
-            mixer.learn(*(np.maximum(a - b, 0) for a, b in zip(counts.value, own, strict=True)), cases, count_)
-        mass = float(count_.sum())
+    def trained_mixer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixer, mass = Mixer(), 0.0
+        for texts in (t for batch in batches for t in text_slices(batch, LEARNT)):
+            _, cases, count_, _ = _block_grams(texts, np.ones(len(texts), bool))
+            if len(count_):
+                own = bit_counts(*cases, count_)
+                mixer.learn(*(np.maximum(a - b, 0) for a, b in zip(counts.value, own, strict=True)), cases, count_)
+                mass += float(count_.sum())
         body = X.pack(np.array([mass]), mixer.weights.reshape(-1).astype(np.float64) * mass, mixer.seen.reshape(-1))
-        return pa.table({"part": pa.array([X.block_of(table) % groups], pa.int32()), "body": pa.array([body], pa.binary())})
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % groups], pa.int32()), pa.array([body], pa.binary())], ["part", "body"])
 
     def summed(table: pa.Table) -> pa.Table:
         parts = [list(X.unpack(b, *[np.float64] * 3)) for b in table.column("body").to_pylist()]
         body = X.pack(*(np.sum([p[i] for p in parts], axis=0) for i in range(3)))
         return pa.table({"part": table.column("part").slice(0, 1), "body": pa.array([body], pa.binary())})
 
-    learnt = trained.groupBy("block").applyInArrow(trained_mixer, "part int, body binary").groupBy("part").applyInArrow(summed, "part int, body binary")
+    learnt = learning.mapInArrow(trained_mixer, "part int, body binary").groupBy("part").applyInArrow(summed, "part int, body binary")
     parts = [list(X.unpack(bytes(r["body"]), *[np.float64] * 3)) for r in learnt.orderBy("part").collect()]  # a fixed size each
     mixer = Mixer()
     if mass := sum(float(p[0][0]) for p in parts):
@@ -303,6 +313,6 @@ def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
         out = score(docs_, got)
         return out.append_column("n_bytes", pa.array(np.diff(Texts(docs_).offsets), pa.int64()))
 
-    scored = X.back(blocks, replies.where("block >= 0"), with_bytes, SCHEMA + ", n_bytes long")
+    scored = X.back(blocks, X.meet(X.send(blocks, count), total), with_bytes, SCHEMA + ", n_bytes long")
     bits = F.when(F.col("n_bytes") > 0, -F.col("score") / F.lit(math.log10(2)) / F.col("n_bytes"))
     return scored.select(S.public_id(), held.alias("held_out"), "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
