@@ -29,8 +29,8 @@ BITS, REGION = (16, 18, 19, 20, 21), 15
 OFFSETS = np.cumsum([0, *(1 << b for b in BITS)])
 SLOTS = int(OFFSETS[-1])
 GATES, INPUTS, BUCKETS = 64, 6, 33
-#: Bytes of text that the mixer learns from at a time, against the counts of all others.
-LEARNT = 1 << 20
+#: Bytes of text at most that the mixer learns from at a time, against the counts of all others; a twelfth of a MB for each block in small tables.
+LEARNT = 4 << 20
 _MULTIPLY = [U64(m) for m in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 SCHEMA = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
@@ -270,7 +270,7 @@ def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
 
     def trained_mixer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, mass = Mixer(), 0.0
-        for texts in (t for batch in batches for t in text_slices(batch, LEARNT)):
+        for texts in (t for batch in batches for t in text_slices(batch, min(LEARNT, (n << 20) // 12))):
             _, cases, count_, _ = _block_grams(texts, np.ones(len(texts), bool))
             if len(count_):
                 own = bit_counts(*cases, count_)
