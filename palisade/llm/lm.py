@@ -1,10 +1,12 @@
 """LM scoring by online logistic context mixing.
 
-Text is predicted bit by bit. Bit predictors are counts of 0s and 1s under hashed contexts (the last 1 to 4 bytes, and
-the word so far, each with the bits so far), gathered from all training texts. A mixer adds their log odds with weights that a gate selects (which
-bit, how much the long contexts have seen), learnt online over every block of training texts against counts without
-that block, and averaged. An adaptive map of its output refines it. As a bit depends on these contexts alone, each distinct
-context and byte of a block is scored once. A unigram model of tokens, whose counts travel by a two-way exchange, is the base.
+Text is predicted bit by bit. Bit predictors are counts of 0s and 1s after contexts (the last 1 to 4 bytes, and
+the word so far, each with the bits so far). They follow from how often each byte comes after each context in all
+training texts; these counts are exact for every context of the corpus and travel by a two-way exchange: a block sends its
+distinct contexts with the bytes after them and gets all bytes after these contexts back. A mixer adds their log odds with weights
+that a gate selects (which bit, how much the long contexts have seen), learnt online over every block of training texts against
+counts without the piece at hand, and averaged. An adaptive map of its output refines it. As a bit depends on these contexts alone, each distinct
+context and byte of a piece is scored once. A unigram model of tokens, whose counts travel along, is the base.
 """
 
 from __future__ import annotations
@@ -21,18 +23,16 @@ from pyspark.sql import functions as F
 
 from palisade.llm import _exchange as X
 from palisade.llm import _session as S
-from palisade.llm._kernels import _SPACE, _VALUES, U64, Texts, Words, mixed, prefix_sums, spans, text_slices
+from palisade.llm._kernels import _SPACE, _VALUES, CHUNK, U64, Texts, Words, mixed, prefix_sums, spans, text_slices
 from palisade.llm.quality import remainder
 
-#: Slots (as powers of two) of the tables for 1 to 4 bytes of context and the word so far, and of a region that is added up at once.
-BITS, REGION = (16, 18, 19, 20, 21), 15
-OFFSETS = np.cumsum([0, *(1 << b for b in BITS)])
-SLOTS = int(OFFSETS[-1])
+#: Contexts: 1 to 4 bytes, the word so far.
+ORDERS = 5
 GATES, INPUTS, BUCKETS = 64, 6, 33
 #: Bytes of text at most that the mixer learns from at a time, against the counts of all others; a twelfth of a MB for each block in small tables.
 LEARNT = 4 << 20
-_MULTIPLY = [U64(m) for m in (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-SCHEMA = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+_MULTIPLY = [U64(m) for m in (0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+SCHEMA = "doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long"
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,31 +66,103 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h[one], raw[one], word[one], index
 
 
-def bit(raw: np.ndarray, word: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Bit k of each last byte, the bits before it (with a leading 1), and the slots of its contexts."""
-    byte = raw & U64(255)
-    node = (byte | U64(256)) >> U64(8 - k)
-    value = ((byte >> U64(7 - k)) & U64(1)).astype(np.float32)
-    slots = [((raw & U64(0xFF00)) | node).astype(np.int64)]
-    for order in (1, 2, 3, 4):
-        context = word if order == 4 else (raw >> U64(8)) & U64((1 << (8 * order + 8)) - 1)
-        h = ((context << U64(8)) ^ (context >> U64(56)) ^ node) * _MULTIPLY[order]
-        h ^= h >> U64(29)
-        h *= _MULTIPLY[1]
-        slots.append((h >> U64(64 - BITS[order])).astype(np.int64) + int(OFFSETS[order]))
-    return value, node.astype(np.int64), slots
-
-
-def bit_counts(raw: np.ndarray, word: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(1s, all) of every slot over cases that occur `count` times."""
-    ones, total = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32)
-    for k in range(8):
-        value, _, slots = bit(raw, word, k)
-        for order, s in enumerate(slots):
-            low, n = int(OFFSETS[order]), 1 << BITS[order]
-            total[low : low + n] += np.bincount(s - low, count, n)
-            ones[low : low + n] += np.bincount(s - low, count * value, n)
-    return ones, total
+def pairs_of(raw: np.ndarray, word: np.ndarray, order: int) -> np.ndarray:
+    """Each case's context as a 56-bit hash, then its byte: so many bits that two contexts of a corpus don't meet."""
+    context = word if order == 4 else (raw >> U64(8)) & U64((1 << (8 * order + 8)) - 1)
+    return (mixed(context + _MULTIPLY[order]) & ~U64(255)) | (raw & U64(255))
+
+
+def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the sums of their counts, and the index of every key in them."""
+    order = np.argsort(keys)
+    sorted_ = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    index = np.empty(len(keys), np.int32)
+    index[order] = np.cumsum(new) - 1
+    return sorted_[new], np.bincount(index, counts, int(new.sum())).astype(np.int64), index
+
+
+def distinct_contexts(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted pairs: the distinct contexts, and where each begins and the last ends."""
+    context = pairs >> U64(8)
+    new = np.ones(len(pairs), bool)
+    new[1:] = context[1:] != context[:-1]
+    return context[new], np.append(np.flatnonzero(new), len(pairs))
+
+
+def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def following(contexts: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(how many bytes follow each of some contexts, those pairs, their counts) out of sorted pairs."""
+    low = np.searchsorted(pairs, contexts << U64(8))
+    size = np.searchsorted(pairs, (contexts << U64(8)) | U64(255), "right") - low
+    at = ragged(low, size)
+    return size, pairs[at], counts[at]
+
+
+def bit_counts(pairs: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of sorted pairs (all that follow their contexts): 1s, and all, of bit k after its context and the bits before."""
+    node = pairs >> U64(8 - k)
+    new = np.ones(len(pairs), bool)
+    new[1:] = node[1:] != node[:-1]
+    index = np.cumsum(new) - 1
+    one = ((pairs >> U64(7 - k)) & U64(1)).astype(np.float64)
+    return np.bincount(index, counts * one)[index], np.bincount(index, counts)[index]
+
+
+class Piece:
+    """Distinct cases of some texts: (bytes, word), count in training texts, distinct pairs of each context with counts and each case's pair."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, training: np.ndarray):
+        self.offsets = offsets
+        _, self.raw, word, self.index = grams(data, offsets)
+        self.count = np.bincount(self.index, np.repeat(training, np.diff(offsets)), len(self.raw))
+        self.pairs = [merged(pairs_of(self.raw, word, order), self.count) for order in range(ORDERS)]
+        self.odds: list = []
+
+    def predict(self, pairs: np.ndarray, counts: np.ndarray, without: bool) -> None:
+        """Log odds of every bit by the corpus's counts of sorted pairs, without this piece's own if asked for."""
+        self.odds, self.at, self.seen = [], [], []
+        for order, (own, n, index) in enumerate(self.pairs):
+            _, known, c = following(distinct_contexts(own)[0], pairs, counts)
+            all_ = np.union1d(known, own)
+            total = np.zeros(len(all_))
+            total[np.searchsorted(all_, known)] = c
+            at = np.searchsorted(all_, own)
+            if without:
+                total[at] -= n
+            odds, seen = np.empty((8, len(own)), np.float32), np.empty((8, len(own)), np.int8)
+            for k in range(8):
+                ones, sums = (x[at] for x in bit_counts(all_, total, k))
+                odds[k] = np.log((ones + 0.05) / (sums - ones + 0.05))
+                if order == 4:
+                    seen[k] = 2 * np.searchsorted([0.5, 3.5, 31.5], sums)
+                elif order == 3:
+                    seen[k] = sums > 3.5
+            self.odds.append(odds)
+            self.at.append(index)
+            self.seen.append(seen)
+
+    def bit(self, k: int, part: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of some cases: bit k, the bits before it (with a leading 1), the mixer's inputs and gates."""
+        byte = (self.raw[part] & U64(255)).astype(np.int64)
+        at = [a[part] for a in self.at]
+        x = np.empty((INPUTS, len(byte)), np.float32)
+        for i in range(ORDERS):
+            x[i] = self.odds[i][k][at[i]]
+        x[-1] = 0.3
+        gate = k * 8 + self.seen[4][k][at[4]].astype(np.int64) + self.seen[3][k][at[3]]
+        return ((byte >> (7 - k)) & 1).astype(np.float32), (byte | 256) >> (8 - k), x, gate
+
+    def parts(self, step: int) -> Iterator[slice]:
+        return (slice(low, low + step) for low in range(0, len(self.raw), step))
+
+
+def pieces(texts: Texts, training: np.ndarray, size: int = CHUNK) -> list[Piece]:
+    return [Piece(data, offsets, training[first:last]) for first, last, data, offsets in texts.chunks(size)]
 
 
 class Mixer:
@@ -102,77 +174,55 @@ class Mixer:
             self.weights[:, -1] = 0
         self.seen = np.zeros((2, 256 * BUCKETS)) if seen is None else seen
 
-    @staticmethod
-    def inputs(ones: np.ndarray, total: np.ndarray, slots: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-        x = np.empty((INPUTS, len(slots[0])), np.float32)
-        n = [total[s] for s in slots]
-        for i, s in enumerate(slots):
-            one = ones[s]
-            x[i] = np.log((one + 0.05) / (n[i] - one + 0.05))
-        x[-1] = 0.3
-        gate = k * 8 + 2 * np.searchsorted([0.5, 3.5, 31.5], n[4]) + (n[3] > 3.5)
-        return x, gate
-
-    def odds(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.einsum("in,ni->n", x, self.weights[gate]).clip(-12, 12)
 
-    def learn(self, ones: np.ndarray, total: np.ndarray, cases: tuple, count: np.ndarray, step: int = 8192, rate: float = 0.5) -> None:
-        """Online: each batch of runs changes the weights by its mean error. Then the adaptive map is counted."""
-        count = count.astype(np.float32)  # the cases are in order of a hash, so well mixed
-        every = []
-        for k in range(8):
-            value, node, slots = bit(*cases, k)
-            every.append((value, node, *self.inputs(ones, total, slots, k)))
-        for low in range(0, len(count), step):
-            for value, _, x, gate in every:
-                part = slice(low, low + step)
-                x_, g, c = x[:, part], gate[part], count[part]
-                error = (value[part] - 1 / (1 + np.exp(-self.odds(x_, g)))) * c
-                mass = np.bincount(g, c, GATES) + 50
+    def learn(self, piece: Piece, step: int = 8192, rate: float = 0.5) -> None:
+        """Online: each batch of cases changes the weights by its mean error. Then the adaptive map is counted."""
+        count = piece.count.astype(np.float32)  # the cases are in order of a hash, so well mixed
+        for part in piece.parts(step):
+            c = count[part]
+            for k in range(8):
+                value, _, x, gate = piece.bit(k, part)
+                error = (value - 1 / (1 + np.exp(-self.mix(x, gate)))) * c
+                mass = np.bincount(gate, c, GATES) + 50
                 for i in range(INPUTS):
-                    self.weights[:, i] += (rate * np.bincount(g, error * x_[i], GATES) / mass).astype(np.float32)
-        for value, node, x, gate in every:
-            cell = self._cell(node, self.odds(x, gate))[0]
-            self.seen[0] += np.bincount(cell, value * count, 256 * BUCKETS)
-            self.seen[1] += np.bincount(cell, count, 256 * BUCKETS)
+                    self.weights[:, i] += (rate * np.bincount(gate, error * x[i], GATES) / mass).astype(np.float32)
+        for part in piece.parts(1 << 16):
+            for k in range(8):
+                value, node, x, gate = piece.bit(k, part)
+                cell = self._cell(node, self.mix(x, gate))
+                self.seen[0] += np.bincount(cell, value * count[part], 256 * BUCKETS)
+                self.seen[1] += np.bincount(cell, count[part], 256 * BUCKETS)
 
     @staticmethod
-    def _cell(node: np.ndarray, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        place = odds * np.float32(BUCKETS // 2 / 12) + np.float32(BUCKETS // 2)
-        near = np.rint(place).astype(np.int64)
-        return node * BUCKETS + near, near
+    def _cell(node: np.ndarray, odds: np.ndarray) -> np.ndarray:
+        return node * BUCKETS + np.rint(odds * np.float32(BUCKETS // 2 / 12) + np.float32(BUCKETS // 2)).astype(np.int64)
 
-    def log2(self, ones: np.ndarray, total: np.ndarray, cases: tuple) -> np.ndarray:
+    def log2(self, piece: Piece) -> np.ndarray:
         """log2 of the probability of each case's byte."""
-        out = np.zeros(len(cases[0]))
-        for k in range(8):
-            value, node, slots = bit(*cases, k)
-            odds = self.odds(*self.inputs(ones, total, slots, k))
-            p = 1 / (1 + np.exp(-odds.astype(np.float64)))
-            cell, _ = self._cell(node, odds)
-            refined = (self.seen[0][cell] + 20 * p) / (self.seen[1][cell] + 20)
-            p = (0.5 * p + 0.5 * refined).clip(1e-6, 1 - 1e-6)
-            out += np.log2(np.where(value > 0, p, 1 - p))
+        out = np.zeros(len(piece.raw))
+        for part in piece.parts(1 << 16):
+            for k in range(8):
+                value, node, x, gate = piece.bit(k, part)
+                odds = self.mix(x, gate)
+                p = 1 / (1 + np.exp(-odds.astype(np.float64)))
+                cell = self._cell(node, odds)
+                refined = (self.seen[0][cell] + 20 * p) / (self.seen[1][cell] + 20)
+                p = (0.5 * p + 0.5 * refined).clip(1e-6, 1 - 1e-6)
+                out[part] += np.log2(np.where(value > 0, p, 1 - p))
         return out
 
 
-def _block_grams(texts: Texts, training: np.ndarray | None = None) -> tuple[np.ndarray, tuple, np.ndarray, list]:
-    """Distinct cases of a block (of training texts only, if given): hash, (bytes, word), count; and each chunk's (offsets, hashes, index)."""
-    chunks, found = [], [(np.zeros(0, U64),) * 3 + (np.zeros(0, np.int64),)]
-    for first, last, data, offsets in texts.chunks():
-        if training is not None:
-            keep = np.repeat(training[first:last], np.diff(offsets))
-            data, offsets = data[keep], np.concatenate(([0], np.cumsum(np.diff(offsets) * training[first:last])))
-        if not len(data):
-            chunks.append((offsets, np.zeros(0, U64), np.zeros(0, np.int32)))
-            continue
-        h, raw, word, index = grams(data, offsets)
-        found.append((h, raw, word, np.bincount(index, minlength=len(h))))
-        if training is None:
-            chunks.append((offsets, h, index))
-    h, raw, word, count = (np.concatenate(x) for x in zip(*found, strict=True))
-    key, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-    return key, (raw[at], word[at]), np.bincount(inverse, count, len(key)), chunks
+def _stored(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _loaded(body: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(body.as_buffer()).read_all()
 
 
 def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
@@ -202,26 +252,49 @@ def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
         rank[order] = np.arange(len(order))
         return words, key[order], rank[inverse]
 
+    def shards(pairs: np.ndarray) -> np.ndarray:
+        return ((pairs >> U64(8)) % U64(n)).astype(np.int64)
+
     def count(block: int, table: pa.Table):
         texts = Texts(table)
         training = training_of(texts)
         words, key, entry = tokens(texts)
         own = np.bincount(entry, training[words.doc], len(key)).astype(np.uint32)
-        shard = (key % U64(n)).astype(np.int64)
-        edges = np.searchsorted(shard, np.arange(n + 1))
-        rows = [(s, block, X.pack(key[edges[s] : edges[s + 1]], own[edges[s] : edges[s + 1]])) for s in np.flatnonzero(np.diff(edges)).tolist()]
-        return rows or [(block % n, block, X.pack(key, own))]
+        edges = np.searchsorted((key % U64(n)).astype(np.int64), np.arange(n + 1))
+        found = [x[:2] for a, b, data, offsets in texts.chunks() for x in Piece(data, offsets, training[a:b]).pairs]
+        pairs, times, _ = merged(*(np.concatenate(x) for x in zip((np.zeros(0, U64), np.zeros(0, np.int64)), *found, strict=True)))
+        order = np.argsort(shards(pairs), kind="stable")
+        pairs, times = pairs[order], times[order].astype(np.uint32)
+        cuts = np.searchsorted(shards(pairs), np.arange(n + 1))
+        ranges = [(s, slice(edges[s], edges[s + 1]), slice(cuts[s], cuts[s + 1])) for s in range(n)]
+        rows = [(s, block, X.pack(key[a], own[a], pairs[b], times[b])) for s, a, b in ranges if a.stop > a.start or b.stop > b.start]
+        return rows or [(block % n, block, X.pack(key, own, pairs, times))]
 
     def total(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         blocks_ = table.column("block").to_pylist()
-        parts = [tuple(X.unpack(b, np.uint64, np.uint32)) for b in table.column("body").to_pylist()]
-        key, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        sums = np.bincount(inverse, np.concatenate([c for _, c in parts]), len(key)).astype(np.int64)
-        edges = np.cumsum([0, *(len(k) for k, _ in parts)])
-        rows = [(shard, k, sums[inverse[a:b]].tobytes()) for k, a, b in zip(blocks_, edges, edges[1:], strict=False)]
+        parts = [tuple(X.unpack(b, np.uint64, np.uint32, np.uint64, np.uint32)) for b in table.column("body").to_pylist()]
+        key, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        sums = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(key)).astype(np.int64)
+        edges = np.cumsum([0, *(len(p[0]) for p in parts)])
+        pairs, times, _ = merged(np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]))
+        pairs, times = pairs[times > 0], times[times > 0]
+        rows = []
+        for block, p, a, b in zip(blocks_, parts, edges, edges[1:], strict=False):
+            size, after, c = following(distinct_contexts(p[2])[0], pairs, times)
+            rows.append((shard, block, X.pack(sums[inverse[a:b]], size.astype(np.uint16), after.astype(np.uint8), c)))
         return X.messages(rows)
 
+    def answers(got: pa.Table, parts: list[Piece]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of the block's tokens; the corpus's pairs after the block's contexts, and their counts."""
+        bodies = sorted(zip(got.column("shard").to_pylist(), got.column("body").to_pylist(), strict=True))
+        kinds_, sizes, bytes_, times = (np.concatenate(x) for x in zip(*(X.unpack(b, np.int64, np.uint16, np.uint8, np.int64) for _, b in bodies), strict=True))
+        contexts = np.unique(np.concatenate([np.zeros(0, U64), *(distinct_contexts(p[0])[0] for piece in parts for p in piece.pairs)]))
+        contexts = contexts[np.argsort((contexts % U64(n)).astype(np.int64), kind="stable")]
+        pairs = (np.repeat(contexts, sizes) << U64(8)) | bytes_.astype(U64)
+        order = np.argsort(pairs)
+        return kinds_, pairs[order], times[order]
+
     # how many tokens there are, and how many distinct ones: hashes of each partition's words, counted by shard
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, all_ = np.zeros(0, U64), 0
@@ -242,40 +315,27 @@ def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
     ends = learning.count()
     vocabulary = kinds + (ends > 0)
 
-    # the predictors: tables of fixed size, added up by region
-    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones, total_ = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32)
-        for texts in (t for batch in batches for t in text_slices(batch)):
-            _, cases, count_, _ = _block_grams(texts, np.ones(len(texts), bool))
-            a, b = bit_counts(*cases, count_)
-            ones += a
-            total_ += b
-        size = 1 << REGION
-        rows = [(r, X.pack(ones[r * size : (r + 1) * size].astype(np.float32), total_[r * size : (r + 1) * size].astype(np.float32))) for r in range(SLOTS >> REGION) if total_[r * size : (r + 1) * size].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["region", "body"])
-
-    def added(table: pa.Table) -> pa.Table:
-        parts = [list(X.unpack(b, np.float32, np.float32)) for b in table.column("body").to_pylist()]
-        body = X.pack(*(np.sum([p[i] for p in parts], axis=0, dtype=np.float64).astype(np.float32) for i in (0, 1)))
-        return pa.table({"region": table.column("region").slice(0, 1), "body": pa.array([body], pa.binary())})
-
-    ones, seen = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32)
-    for r in learning.mapInArrow(tables, "region int, body binary").groupBy("region").applyInArrow(added, "region int, body binary").collect():  # SLOTS in all
-        low = r["region"] << REGION
-        ones[low : low + (1 << REGION)], seen[low : low + (1 << REGION)] = X.unpack(bytes(r["body"]), np.float32, np.float32)
-    counts = spark.sparkContext.broadcast((ones, seen))
-
-    # the mixer: learnt batch by batch in each partition, against the counts of all other batches; averaged in groups, then altogether
+    # each block with its answers, kept for the two passes that follow
+    def met(docs_: pa.Table, got: pa.Table) -> pa.Table:
+        return pa.table({"docs": pa.array([_stored(docs_)], pa.binary()), "got": pa.array([_stored(got)], pa.binary())})
+
+    kept = S.checkpointed(X.back(blocks, X.meet(X.send(blocks, count), total), met, "docs binary, got binary"))
+
+    # the mixer: learnt piece by piece in each block, against the counts of all other texts; averaged in groups, then altogether
     groups = max(1, math.isqrt(n))
 
     def trained_mixer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, mass = Mixer(), 0.0
-        for texts in (t for batch in batches for t in text_slices(batch, min(LEARNT, (n << 20) // 12))):
-            _, cases, count_, _ = _block_grams(texts, np.ones(len(texts), bool))
-            if len(count_):
-                own = bit_counts(*cases, count_)
-                mixer.learn(*(np.maximum(a - b, 0) for a, b in zip(counts.value, own, strict=True)), cases, count_)
-                mass += float(count_.sum())
+        for docs_, got in ((d, g) for batch in batches for d, g in zip(*batch.columns, strict=True)):
+            texts = Texts(_loaded(docs_))
+            parts = pieces(texts, training_of(texts), min(LEARNT, (n << 20) // 12))
+            _, pairs, times = answers(_loaded(got), parts)
+            while parts:
+                piece = parts.pop()
+                if piece.count.any():
+                    piece.predict(pairs, times, without=True)
+                    mixer.learn(piece)
+                    mass += float(piece.count.sum())
         body = X.pack(np.array([mass]), mixer.weights.reshape(-1).astype(np.float64) * mass, mixer.seen.reshape(-1))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % groups], pa.int32()), pa.array([body], pa.binary())], ["part", "body"])
 
@@ -284,7 +344,7 @@ def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
         body = X.pack(*(np.sum([p[i] for p in parts], axis=0) for i in range(3)))
         return pa.table({"part": table.column("part").slice(0, 1), "body": pa.array([body], pa.binary())})
 
-    learnt = learning.mapInArrow(trained_mixer, "part int, body binary").groupBy("part").applyInArrow(summed, "part int, body binary")
+    learnt = kept.mapInArrow(trained_mixer, "part int, body binary").groupBy("part").applyInArrow(summed, "part int, body binary")
     parts = [list(X.unpack(bytes(r["body"]), *[np.float64] * 3)) for r in learnt.orderBy("part").collect()]  # a fixed size each
     mixer = Mixer()
     if mass := sum(float(p[0][0]) for p in parts):
@@ -293,26 +353,27 @@ def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
 
     def score(docs_: pa.Table, got: pa.Table) -> pa.Table:
         texts = Texts(docs_)
-        words, key, entry = tokens(texts)
-        bodies = sorted(zip(got.column("shard").to_pylist(), got.column("body").to_pylist(), strict=True))
-        count_ = np.frombuffer(b"".join(b for _, b in bodies), np.int64)[entry]
+        words, _, entry = tokens(texts)
+        parts = pieces(texts, training_of(texts))
+        count_, pairs, times = answers(got, parts)
+        count_ = count_[entry]
         unit = train_tokens + 0.1 * (vocabulary + 1)
         base = np.bincount(words.doc, np.log10((count_ + 0.1) / unit), len(texts)) + math.log10((ends + 0.1) / unit)
         known = np.bincount(words.doc, count_ > 0, len(texts)).astype(np.int64) + (ends > 0)
-        key, cases, _, chunks = _block_grams(texts)
-        log2 = model.value.log2(*counts.value, cases)
         out = [np.zeros(0)]
-        for offsets, own, index in chunks:
-            running = np.concatenate(([0.0], np.cumsum(log2[np.searchsorted(key, own)][index])))
-            out.append(np.diff(running[offsets]))
+        for piece in parts:
+            piece.predict(pairs, times, without=False)
+            running = np.concatenate(([0.0], np.cumsum(model.value.log2(piece)[piece.index])))
+            out.append(np.diff(running[piece.offsets]))
+            piece.odds = []
         score_ = np.concatenate(out) * math.log10(2)
         cols = [texts.ids, words.count + 1, known]
-        return pa.Table.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(base), pa.array(score_)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        return pa.Table.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(base), pa.array(score_), pa.array(np.diff(texts.offsets), pa.int64())], ["doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
 
-    def with_bytes(docs_: pa.Table, got: pa.Table) -> pa.Table:
-        out = score(docs_, got)
-        return out.append_column("n_bytes", pa.array(np.diff(Texts(docs_).offsets), pa.int64()))
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs_, got in ((d, g) for batch in batches for d, g in zip(*batch.columns, strict=True)):
+            yield from score(_loaded(docs_), _loaded(got)).to_batches()
 
-    scored = X.back(blocks, X.meet(X.send(blocks, count), total), with_bytes, SCHEMA + ", n_bytes long")
+    scored = kept.mapInArrow(scores, SCHEMA)
     bits = F.when(F.col("n_bytes") > 0, -F.col("score") / F.lit(math.log10(2)) / F.col("n_bytes"))
     return scored.select(S.public_id(), held.alias("held_out"), "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
