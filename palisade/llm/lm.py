@@ -29,8 +29,6 @@ from palisade.llm.quality import remainder
 #: Contexts: 1 to 4 bytes, the word so far.
 ORDERS = 5
 GATES, INPUTS, BUCKETS = 64, 6, 33
-#: Bytes of text at most that the mixer learns from at a time, against the counts of all others; a twelfth of a MB for each block in small tables.
-LEARNT = 4 << 20
 _MULTIPLY = [U64(m) for m in (0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 SCHEMA = "doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long"
 
@@ -161,8 +159,9 @@ class Piece:
         return (slice(low, low + step) for low in range(0, len(self.raw), step))
 
 
-def pieces(texts: Texts, training: np.ndarray, size: int = CHUNK) -> list[Piece]:
-    return [Piece(data, offsets, training[first:last]) for first, last, data, offsets in texts.chunks(size)]
+def pieces(texts: Texts, training: np.ndarray) -> list[Piece]:
+    """A piece for each CHUNK of text, whatever the size of the table: the mixer learns from one at a time against all others."""
+    return [Piece(data, offsets, training[first:last]) for first, last, data, offsets in texts.chunks(CHUNK)]
 
 
 class Mixer:
@@ -328,7 +327,7 @@ def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
         mixer, mass = Mixer(), 0.0
         for docs_, got in ((d, g) for batch in batches for d, g in zip(*batch.columns, strict=True)):
             texts = Texts(_loaded(docs_))
-            parts = pieces(texts, training_of(texts), min(LEARNT, (n << 20) // 12))
+            parts = pieces(texts, training_of(texts))
             _, pairs, times = answers(_loaded(got), parts)
             while parts:
                 piece = parts.pop()

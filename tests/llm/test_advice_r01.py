@@ -1,12 +1,15 @@
 """What the review of round 1 found missing."""
 
+import inspect
 from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from palisade.llm import lm
+from palisade.llm._kernels import Texts
 
 DATA = Path("/root/testdata")
 
@@ -40,3 +43,12 @@ def test_lm_learns_from_the_whole_corpus(spark):
     docs = spark.read.parquet(str(DATA / "sf0.01/documents.parquet"))
     out = lm.lm_scores(docs).where("held_out").join(docs.select("doc_id", F.octet_length("text").alias("b")), "doc_id")
     assert out.agg(F.sum(F.col("bits_per_byte") * F.col("b")) / F.sum("b")).first()[0] < 2.2
+
+
+def test_lm_pieces_have_one_size():
+    """The mixer's pieces don't depend on the size of the table."""
+    assert list(inspect.signature(lm.pieces).parameters) == ["texts", "training"]
+    for n in (3, 60):
+        texts = Texts(pa.table({"doc_id": list(range(n)), "text": ["word " * 20000] * n}))
+        sizes = [int(p.offsets[-1]) for p in lm.pieces(texts, np.ones(n, bool))]
+        assert sizes == [1_000_000] * (n // 10) + [100_000 * (n % 10)] * (n % 10 > 0)
