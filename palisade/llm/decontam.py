@@ -7,7 +7,10 @@ two texts are laid side by side and the overlap counts if enough of its words ag
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +20,52 @@ from pyspark.sql import functions as F
 from palisade.llm import _session as S
 from palisade.llm._kernels import U64, Texts, Words, text_slices, mixed, powers
 
-#: Words that count (1) and are ignored (0). Weight 6 in 9 to 11 words; each pair of masks ignores different places.
-MASKS = ("110101011", "1101100101", "11001010011", "111010011")
+#: Masks at most for windows of one length, and patterns of changed words that are tried out to choose them.
+MOST_MASKS, MOST_PATTERNS = 8, 5000
 #: Text bytes of a benchmark that is sent to the executors whole; a larger one is joined by shuffle.
 BROADCAST_BYTES = 16 << 20
 HITS = "doc_id long, item_id long, first_word long, last_word long, n_same long"
 _HIT_NAMES = ("doc_id", "item_id", "first_word", "last_word", "n_same")
 
 
+def allowed(words: int, share: float) -> int:
+    """Words of a window that may differ."""
+    return words - math.ceil(share * words - 1e-9)
+
+
+@cache
+def masks(words: int, changes: int) -> tuple[str, ...]:
+    """Masks (words that count are 1, ignored ones 0) of which one fits between the changes, wherever `changes` of `words` words differ.
+
+    They are chosen greedily among the masks of the greatest weight for which few do. With too many patterns to try out it is one
+    run of words, which some gap between the changes always holds.
+    """
+    run = "1" * max(1, math.ceil((words - changes) / (changes + 1)))
+    if words > 16 or math.comb(words, changes) > MOST_PATTERNS:
+        return (run,)
+    equal = np.array([[i not in c for i in range(words)] for c in combinations(range(words), changes)])
+    for weight in range(words - changes, len(run), -1):
+        places = [(0, *inner, n - 1) for n in range(weight, words + 1) for inner in combinations(range(1, n - 1), weight - 2)]
+        hit = np.array([np.any([equal[:, [at + i for i in p]].all(1) for at in range(words - p[-1])], axis=0) for p in places])
+        chosen, left = [], np.ones(len(equal), bool)
+        while left.any() and len(chosen) < MOST_MASKS:
+            best = int((hit & left).sum(1).argmax())
+            chosen.append(best)
+            left &= ~hit[best]
+        if not left.any():
+            return tuple("".join("01"[i in places[c]] for i in range(places[c][-1] + 1)) for c in chosen)
+    return (run,)
+
+
+def masks_of(lengths: set[int], window: int, share: float) -> dict[str, set[int]]:
+    """The masks that find overlaps with items of some lengths, and the lengths (the window for longer items) that each is for."""
+    out: dict[str, set[int]] = {}
+    for n in sorted({min(n, window) for n in lengths if n > 0}):
+        for mask in masks(n, allowed(n, share)):
+            out.setdefault(mask, set()).add(n)
+    return out
+
+
 def seeds(hashes: np.ndarray, text: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """(first words, seed hashes) of a mask over words of texts; none crosses two texts."""
     n = len(hashes) - len(mask) + 1
@@ -39,21 +80,20 @@ def seeds(hashes: np.ndarray, text: np.ndarray, mask: str) -> tuple[np.ndarray,
 
 
 class Benchmark:
-    """Words and seeds of benchmark items. Items shorter than a mask are also found whole, as they stand."""
+    """Words and seeds of benchmark items, by the masks that their lengths ask for."""
 
-    def __init__(self, items: pa.Table):
+    def __init__(self, items: pa.Table, window: int, share: float):
         texts = Texts(items)
         words = Words(texts, fold=True, alnum=True)
         self.ids, self.hash = texts.ids, words.hash
         self.first = np.concatenate(([0], np.cumsum(words.count)))
-        short = sorted({int(n) for n in words.count if 0 < n < max(map(len, MASKS))})
-        self.masks = [*MASKS, *("1" * n for n in short)]
+        wanted = masks_of(set(words.count.tolist()), window, share)
+        self.masks = list(wanted)
         self.seeds, self.marks = [], []
-        for mask in self.masks:
+        for mask, lengths in wanted.items():
             at, h = seeds(words.hash, words.doc, mask)
-            if "0" not in mask:
-                whole = words.count[words.doc[at]] == len(mask)
-                at, h = at[whole], h[whole]
+            fit = np.isin(np.minimum(words.count[words.doc[at]], window), list(lengths))
+            at, h = at[fit], h[fit]
             order = np.argsort(h, kind="stable")
             self.seeds.append((h[order], words.doc[at][order], at[order] - self.first[words.doc[at]][order]))
             mark = np.zeros(1 << 20, bool)
@@ -114,7 +154,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 12, share:
     Words are runs of ASCII letters and digits and of other characters beyond ASCII, A-Z as a-z. An overlap is a run of at least `window`
     words (all of a shorter item's) at the same distance in both, of which at least `share` are equal. first_word and
     last_word (from 0) are its place in the document, n_same its equal words; of several the one with most equal
-    words, then the first. Null or empty texts overlap nothing; rows that share a doc_id or item_id give one row;
+    words, then the first. All of them are found: the seeds' masks hit every window that may differ so far. Null or empty texts overlap nothing; rows that share a doc_id or item_id give one row;
     null ids come out as null. No rows come out if either table is empty. Other columns are ignored.
     """
     S.ship(docs.sparkSession)
@@ -132,7 +172,7 @@ def _sent(docs: DataFrame, items: DataFrame, window: int, share: float) -> DataF
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = Benchmark(sent.value)
+        b = Benchmark(sent.value, window, share)
         for texts in (t for batch in batches for t in text_slices(batch)):
             words = Words(texts, fold=True, alnum=True)
             first = np.concatenate(([0], np.cumsum(words.count)))
@@ -148,17 +188,24 @@ def _sent(docs: DataFrame, items: DataFrame, window: int, share: float) -> DataF
 def _joined(docs: DataFrame, items: DataFrame, window: int, share: float) -> DataFrame:
     """Both sides' seeds meet by a shuffle join; pairs get their texts by further joins. Nothing is broadcast."""
 
-    def of(whole: bool):
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in (t for batch in batches for t in text_slices(batch)):
+            n = np.unique(np.minimum(Words(texts, hashes=False, alnum=True).count, window))
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n"])
+
+    # at most one for each length up to the window
+    wanted = masks_of({r["n"] for r in items.mapInArrow(lengths, "n long").distinct().collect()}, window, share)
+
+    def of(item: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for texts in (t for batch in batches for t in text_slices(batch)):
                 words = Words(texts, fold=True, alnum=True)
                 first = np.concatenate(([0], np.cumsum(words.count)))
-                masks = [*MASKS, *("1" * n for n in range(1, max(map(len, MASKS))))]
-                for mask in masks:
+                for mask, lengths in wanted.items():
                     at, h = seeds(words.hash, words.doc, mask)
-                    if "0" not in mask and whole:
-                        alone = words.count[words.doc[at]] == len(mask)
-                        at, h = at[alone], h[alone]
+                    if item:
+                        fit = np.isin(np.minimum(words.count[words.doc[at]], window), list(lengths))
+                        at, h = at[fit], h[fit]
                     d = words.doc[at]
                     yield from pa.table({"id": texts.ids[d], "seed": h.view(np.int64), "at": at - first[d]}).to_batches(max_chunksize=1 << 16)
 

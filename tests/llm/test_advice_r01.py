@@ -1,14 +1,16 @@
 """What the review of round 1 found missing."""
 
 import inspect
+from itertools import combinations
 from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from palisade.llm import lm
+from palisade.llm import decontam, lm
 from palisade.llm._kernels import Texts
 
 DATA = Path("/root/testdata")
@@ -52,3 +54,28 @@ def test_lm_pieces_have_one_size():
         texts = Texts(pa.table({"doc_id": list(range(n)), "text": ["word " * 20000] * n}))
         sizes = [int(p.offsets[-1]) for p in lm.pieces(texts, np.ones(n, bool))]
         assert sizes == [1_000_000] * (n // 10) + [100_000 * (n % 10)] * (n % 10 > 0)
+
+
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_BYTES, 0])
+def test_decontamination_finds_every_pattern_of_changes(spark, limit):
+    """All ways to change a quarter of an item of 1 to 12 words, and of some for one of 16."""
+    items = [(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in range(1, 17)]
+    docs, want, i = [], set(), 0
+    for n, text in items:
+        patterns = [c for k in range(n // 4 + 1) for c in combinations(range(n), k)]
+        for c in patterns if n <= 12 else patterns[::20]:
+            words = [f"other{i}x{j}" if j in c else w for j, w in enumerate(text.split())]
+            if any(sum(k not in c for k in range(a, a + min(n, 12))) >= 0.75 * min(n, 12) for a in range(max(1, n - 11))):
+                want.add((i, n))
+            docs.append((i, f"before{i} " + " ".join(words) + f" after{i}"))
+            i += 1
+    out = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=limit)
+    assert {(r["doc_id"], r["item_id"]) for r in out.collect()} == want and len(want) > 500
+
+
+@pytest.mark.parametrize(("window", "share"), [(12, 0.75), (10, 0.6), (20, 0.75), (6, 1.0), (5, 0.2)])
+def test_masks_fit_between_any_changes(window, share):
+    for n in range(1, window + 1):
+        changes = decontam.allowed(n, share)
+        masks = [{i for i, b in enumerate(m) if b == "1"} for m in decontam.masks(n, changes)]
+        assert all(any(not {at + i for i in m} & set(c) for m in masks for at in range(n - max(m))) for c in combinations(range(n), changes))
