@@ -47,11 +47,62 @@ def normal_hash(text: Column) -> Column:
     return F.when(flat != "", F.substring(F.sha2(flat, 256), 1, 32))
 
 
+def units(text: Column) -> Column:
+    """array<struct<whole, lines array>> of a text: the hashes of each paragraph and of its lines, without blank ones."""
+
+    def unit(p: Column) -> Column:
+        return F.struct(normal_hash(p).alias("whole"), F.filter(F.transform(F.split(p, r"\n"), normal_hash), lambda h: h.isNotNull()).alias("lines"))
+
+    return F.filter(F.transform(F.split(F.regexp_replace(text, "\r\n?", "\n"), r"\n[ \t]*\n"), unit), lambda u: u["whole"].isNotNull())
+
+
+def places(units: Column) -> Column:
+    """array<struct<hash, start, end>> of the paragraphs and lines of a text, in numbers that rise along it."""
+    far = F.lit(1 << 31)
+    return F.flatten(F.transform(units, lambda u, j: F.concat(
+        F.array(F.struct(u["whole"].alias("hash"), (j * far).alias("start"), ((j + 1) * far).alias("end"))),
+        F.transform(u["lines"], lambda h, i: F.struct(h.alias("hash"), (j * far + i).alias("start"), (j * far + i + 1).alias("end"))),
+    )))
+
+
+def in_order(units: Column, places: Column) -> Column:
+    """Whether a text says all paragraphs of a quote, or else all of their lines, one after the other."""
+
+    def end(h: Column, at: Column) -> Column:
+        return F.array_min(F.transform(F.filter(places, lambda x: (x["hash"] == h) & (x["start"] >= at)), lambda x: x["end"]))
+
+    return F.aggregate(units, F.lit(0).cast("long"), lambda at, u: F.least(end(u["whole"], at), F.aggregate(u["lines"], at, lambda k, h: end(h, k)))).isNotNull()
+
+
+def trimmed(rows: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(conv_id, hash, turn): the turns that say all of a quoted passage of several lines in order, with others before, between or after.
+
+    Passages and messages meet by the paragraph or line of a passage that the fewest messages say.
+    """
+    asked = quotes.select("conv_id", "hash", units(F.col("text")).alias("units")).where(F.aggregate("units", F.lit(0), lambda n, u: n + F.size(u["lines"])) > 1).distinct()
+    asked = asked.withColumn("quote", F.xxhash64(F.to_json("units")))
+    says = rows.join(asked.select("conv_id").distinct(), "conv_id", "left_semi").withColumn("body", F.sha2("said", 256))
+    bodies = says.select("conv_id", "body", "said").distinct().select("conv_id", "body", places(units(F.col("said"))).alias("places"))
+    keys = asked.select("conv_id", "hash", "quote", F.posexplode("units").alias("unit", "u")).select("conv_id", "hash", "quote", "unit", F.explode(F.concat(
+        F.array(F.struct(F.lit(True).alias("whole"), F.col("u.whole").alias("key"))), F.transform("u.lines", lambda h: F.struct(F.lit(False).alias("whole"), h.alias("key"))),
+    )).alias("k")).select("conv_id", "hash", "quote", "unit", "k.*")
+    held = bodies.select("conv_id", "body", F.explode(F.array_distinct(F.transform("places", lambda x: x["hash"]))).alias("key")).join(keys.select("conv_id", "key").distinct(), ["conv_id", "key"], "left_semi")
+    keys = keys.join(held.groupBy("conv_id", "key").agg(F.count("*").alias("n")), ["conv_id", "key"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    # of each paragraph: itself and its rarest line, one of which a message must say; of each passage: the rarest such two
+    ends = keys.groupBy("conv_id", "hash", "quote", "unit").agg(F.min(F.when(F.col("whole"), F.struct("n", "key"))).alias("a"), F.min(F.when(~F.col("whole"), F.struct("n", "key"))).alias("b"))
+    ends = ends.groupBy("conv_id", "hash", "quote").agg(F.min(F.struct((F.col("a.n") + F.col("b.n")).alias("n"), F.col("a.key").alias("a"), F.col("b.key").alias("b"))).alias("least"))
+    pairs = ends.select("conv_id", "hash", "quote", F.explode(F.array_distinct(F.array("least.a", "least.b"))).alias("key")).join(held, ["conv_id", "key"]).select("conv_id", "hash", "quote", "body").distinct()
+    pairs = pairs.join(asked, ["conv_id", "hash", "quote"]).join(bodies, ["conv_id", "body"]).where(in_order(F.col("units"), F.col("places")))
+    return pairs.select("conv_id", "hash", "body").distinct().join(says, ["conv_id", "body"]).select("conv_id", "hash", "turn").distinct()
+
+
 def conversations(messages: DataFrame, part_turns: int = PART_TURNS, part_messages: int = PART_MESSAGES) -> DataFrame:
     """Messages (conv_id, turn, role, text) as chats in order of reply.
 
     A message replies to the latest earlier turn of its conversation that says one of the passages that it quotes at
-    the first level: the whole message without quotes, one of its runs of unquoted lines, a paragraph or a line of it.
+    the first level: the whole message without quotes, one of its runs of unquoted lines, a paragraph or a line of it; or,
+    if no earlier turn says the passage so, the latest that says all of its paragraphs or lines in order, so that text
+    cut from a quote's ends or middle doesn't matter (text cut within a line does).
     A message that others reply to begins a thread, which holds what replies to it, directly or not, in order of turn, so
     after what it replies to. Messages without replies that reply to nothing make up the thread null, in order of turn.
 
@@ -71,17 +122,23 @@ def conversations(messages: DataFrame, part_turns: int = PART_TURNS, part_messag
     rows = rows.select("conv_id", "turn", "role", F.btrim(F.col("said"), F.lit(" \t\n")).alias("said"), F.filter("passages", lambda p: p["level"] == 0).alias("own"), F.filter("passages", lambda p: (p["level"] > 0) & (F.btrim(p["text"]) != "")).alias("quotes"))
 
     quotes = rows.where((F.size("quotes") > 0) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select("conv_id", "turn", F.explode("quotes").alias("q"))
-    quotes = quotes.select("conv_id", "turn", F.col("q.level").alias("level"), normal_hash(F.col("q.text")).alias("hash")).where("hash IS NOT NULL")
+    quotes = quotes.select("conv_id", "turn", F.col("q.level").alias("level"), F.col("q.text").alias("text"), normal_hash(F.col("q.text")).alias("hash")).where("hash IS NOT NULL")
+    quotes = S.checkpointed(quotes)
     # what is quoted anywhere in a conversation: one row for each passage, so a common one isn't multiplied
     asked = quotes.select("conv_id", "hash").distinct()
     lines = F.flatten(F.transform("own", lambda p: F.concat(F.array(p["text"]), F.split(p["text"], r"\n[ \t]*\n"), F.split(p["text"], r"\n"))))
-    says = rows.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & (F.col("said") != ""))
-    says = says.join(asked.select("conv_id").distinct(), "conv_id", "left_semi")
+    # what is said in conversations with quotes, kept for the two ways of linking
+    spoken = rows.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & (F.col("said") != "")).select("conv_id", "turn", "own")
+    spoken = S.checkpointed(spoken.join(asked.select("conv_id").distinct(), "conv_id", "left_semi"))
+    says = spoken = spoken.withColumn("said", F.btrim(F.array_join(F.transform("own", lambda p: p["text"]), "\n"), F.lit(" \t\n")))
     says = says.select("conv_id", "turn", F.explode(F.array_distinct(F.transform(F.concat(F.array("said"), lines), normal_hash))).alias("hash")).where("hash IS NOT NULL")
     says = says.join(asked, ["conv_id", "hash"], "left_semi").distinct()
-    events = says.select("conv_id", "hash", "turn", F.col("turn").alias("said_at"), F.lit(None).cast("int").alias("level")).unionByName(quotes.select("conv_id", "hash", "turn", F.lit(None).cast("long").alias("said_at"), "level"))
+    nothing = F.lit(None).cast("long")
+    events = says.select("conv_id", "hash", "turn", F.col("turn").alias("said_at"), nothing.alias("part_at"), F.lit(None).cast("int").alias("level"))
+    events = events.unionByName(trimmed(spoken.select("conv_id", "turn", "said"), quotes).select("conv_id", "hash", "turn", nothing.alias("said_at"), F.col("turn").alias("part_at"), F.lit(None).cast("int").alias("level")))
+    events = events.unionByName(quotes.select("conv_id", "hash", "turn", nothing.alias("said_at"), nothing.alias("part_at"), "level"))
     before = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    linked = events.withColumn("source", F.max("said_at").over(before)).where("level IS NOT NULL")
+    linked = events.withColumn("source", F.coalesce(F.max("said_at").over(before), F.max("part_at").over(before))).where("level IS NOT NULL")
     linked = linked.groupBy("conv_id", "turn").agg(F.max(F.when(F.col("level") == 1, F.col("source"))).alias("parent"), F.count("*").alias("quoted"), F.count("source").alias("linked"))
 
     linked = S.checkpointed(linked.where("quoted > 0"))

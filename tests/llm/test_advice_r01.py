@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from palisade.llm import decontam, lm
+from palisade.llm import chat, decontam, lm
 from palisade.llm._kernels import Texts
 
 DATA = Path("/root/testdata")
@@ -79,3 +79,22 @@ def test_masks_fit_between_any_changes(window, share):
         changes = decontam.allowed(n, share)
         masks = [{i for i, b in enumerate(m) if b == "1"} for m in decontam.masks(n, changes)]
         assert all(any(not {at + i for i in m} & set(c) for m in masks for at in range(n - max(m))) for c in combinations(range(n), changes))
+
+
+@pytest.mark.parametrize(("quote", "parent"), [
+    ("> two\n> three", 1),  # successive lines of a paragraph; turn 1 is later than turn 0
+    ("> one\n> three\n>\n> five", 1),  # cut in the middle
+    ("> four lines\n> wrapped  anew here\n>\n> - b\n> - c", 2),  # a paragraph wrapped anew, then lines of a list
+    ("> three\n> two", None),  # another order
+    ("> two\n> nine", None),  # a line that nobody says
+    ("> one\n> two\n> three\n> and more", 0),  # a whole paragraph comes first
+])
+def test_chat_links_trimmed_quotes(spark, quote, parent):
+    said = ["one\ntwo\nthree\nand more", "zero\nOne\n two\nthree\nand more\n\nfour\nfive", "intro\n\nfour lines wrapped\nanew here\n\n- a\n- b\n- c\n- d", "unrelated"]
+    rows = [(1, i, "user", t) for i, t in enumerate(said)] + [(1, 4, "assistant", quote + "\nreply"), (1, 5, "user", "one\ntwo\nthree\nfive"), (2, 0, "user", "two\nthree\nfour")]
+    out = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("conv_id = 1").collect()
+    threads = {r["thread"]: r for r in out}
+    assert set(threads) == ({None} if parent is None else {None, parent})
+    assert sum(r["n_linked"] for r in out) == sum(r["n_replies"] for r in out) == (parent is not None) and sum(r["n_quotes"] for r in out) == 1
+    if parent is not None:
+        assert "reply" in threads[parent]["chat"] and threads[parent]["n_messages"] == 2
