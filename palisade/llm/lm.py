@@ -213,6 +213,26 @@ class Mixer:
         return out
 
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed string of bytes (all first bytes of their numbers, then all second ones); unpacked() with the same types gives them back."""
+    body = X.pack(*(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.ravel() for a in arrays))
+    return np.int64(len(body)).tobytes() + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def unpacked(body: bytes, *types) -> list[np.ndarray]:
+    plain = pa.decompress(body[8:], int(np.frombuffer(body, np.int64, 1)[0]), codec="zstd", asbytes=True)
+    return [np.ascontiguousarray(a.reshape(np.dtype(t).itemsize, -1).T).view(t).ravel() for a, t in zip(X.unpack(plain, *[np.uint8] * len(types)), types, strict=True)]
+
+
+def steps(keys: np.ndarray, n: int) -> np.ndarray:
+    """Sorted keys of one of n shards (equal modulo n) by their distances; keys_of() gives them back."""
+    return np.diff(keys // U64(n), prepend=U64(0))
+
+
+def keys_of(steps_: np.ndarray, n: int, shard: int) -> np.ndarray:
+    return np.cumsum(steps_, dtype=U64) * U64(n) + U64(shard)
+
+
 def _stored(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -265,14 +285,23 @@ def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
         order = np.argsort(shards(pairs), kind="stable")
         pairs, times = pairs[order], times[order].astype(np.uint32)
         cuts = np.searchsorted(shards(pairs), np.arange(n + 1))
+
+        def body(a: slice, b: slice) -> bytes:
+            contexts, begin = distinct_contexts(pairs[b])
+            return packed(steps(key[a], n), own[a], steps(contexts, n), np.diff(begin).astype(np.uint16), pairs[b].astype(np.uint8), times[b])
+
         ranges = [(s, slice(edges[s], edges[s + 1]), slice(cuts[s], cuts[s + 1])) for s in range(n)]
-        rows = [(s, block, X.pack(key[a], own[a], pairs[b], times[b])) for s, a, b in ranges if a.stop > a.start or b.stop > b.start]
-        return rows or [(block % n, block, X.pack(key, own, pairs, times))]
+        rows = [(s, block, body(a, b)) for s, a, b in ranges if a.stop > a.start or b.stop > b.start]
+        return rows or [(block % n, block, body(slice(0), slice(0)))]
 
     def total(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         blocks_ = table.column("block").to_pylist()
-        parts = [tuple(X.unpack(b, np.uint64, np.uint32, np.uint64, np.uint32)) for b in table.column("body").to_pylist()]
+        parts = []
+        for body in table.column("body").to_pylist():
+            key, own, contexts, size, after, times = unpacked(body, np.uint64, np.uint32, np.uint64, np.uint16, np.uint8, np.uint32)
+            contexts = keys_of(contexts, n, shard)
+            parts.append((keys_of(key, n, shard), own, (np.repeat(contexts, size) << U64(8)) | after.astype(U64), times))
         key, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         sums = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(key)).astype(np.int64)
         edges = np.cumsum([0, *(len(p[0]) for p in parts)])
@@ -281,13 +310,13 @@ def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
         rows = []
         for block, p, a, b in zip(blocks_, parts, edges, edges[1:], strict=False):
             size, after, c = following(distinct_contexts(p[2])[0], pairs, times)
-            rows.append((shard, block, X.pack(sums[inverse[a:b]], size.astype(np.uint16), after.astype(np.uint8), c)))
+            rows.append((shard, block, packed(sums[inverse[a:b]], size.astype(np.uint16), after.astype(np.uint8), c)))
         return X.messages(rows)
 
     def answers(got: pa.Table, parts: list[Piece]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts of the block's tokens; the corpus's pairs after the block's contexts, and their counts."""
         bodies = sorted(zip(got.column("shard").to_pylist(), got.column("body").to_pylist(), strict=True))
-        kinds_, sizes, bytes_, times = (np.concatenate(x) for x in zip(*(X.unpack(b, np.int64, np.uint16, np.uint8, np.int64) for _, b in bodies), strict=True))
+        kinds_, sizes, bytes_, times = (np.concatenate(x) for x in zip(*(unpacked(b, np.int64, np.uint16, np.uint8, np.int64) for _, b in bodies), strict=True))
         contexts = np.unique(np.concatenate([np.zeros(0, U64), *(distinct_contexts(p[0])[0] for piece in parts for p in piece.pairs)]))
         contexts = contexts[np.argsort((contexts % U64(n)).astype(np.int64), kind="stable")]
         pairs = (np.repeat(contexts, sizes) << U64(8)) | bytes_.astype(U64)

@@ -40,6 +40,17 @@ def test_lm_counts_are_exact():
                 assert (ones[at], total[at]) == (sum(n for b, n in same.items() if b >> (7 - k) & 1), sum(same.values()))
 
 
+def test_lm_messages_lose_nothing():
+    rng = np.random.default_rng(6)
+    keys = np.unique(rng.integers(0, (1 << 64) - 1, 5000, np.uint64))
+    for n in (1, 12, 3750):
+        for shard in (0, n - 1):
+            own = keys[keys % np.uint64(n) == shard]
+            for k in (own, own[:0]):
+                got = lm.unpacked(lm.packed(lm.steps(k, n), k.astype(np.uint8)), np.uint64, np.uint8)
+                assert (lm.keys_of(got[0], n, shard) == k).all() and (got[1] == k.astype(np.uint8)).all() and len(got[0]) == len(k)
+
+
 def test_lm_learns_from_the_whole_corpus(spark):
     """2.246 held-out bits per byte with tables of a fixed size."""
     docs = spark.read.parquet(str(DATA / "sf0.01/documents.parquet"))
