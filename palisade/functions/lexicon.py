@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import unicodedata
 
+from pyspark.sql import functions as F
+
 # Phrases of which one is enough to block.
 HIGH_CONFIDENCE = [
     "IGNORE PREVIOUS", "IGNORE ALL INSTRUCTIONS", "IGNORE ALL PREVIOUS", "IGNORE THE PREVIOUS", "IGNORE MY PREVIOUS",
@@ -18,36 +22,118 @@ SECURITY_BASE = [
     "SENSITIVE", "HIDDEN", "INTERNAL", "DEBUG", "JAILBREAK", "PWNED", "UNFILTER", "UNRESTRICTED", "FORMAT", "SHUTDOWN",
     "REBOOT", "RM", "RF", "CAT", "ZERO",
 ]
-#: Signals; two block. A path counts twice, so one blocks.
-SIGNALS = {
-    t: 1
-    for t in (
-        "SYSTEM PROMPT", "PREVIOUS INSTRUCTIONS", "HIDDEN INSTRUCTIONS", "DEVELOPER MODE", "ADMIN MODE", "DEBUG MODE", "GOD MODE",
-        "ADMIN PASSWORD", "ROOT PASSWORD", "API KEY", "SECRET KEY", "ACCESS TOKEN", "JAILBREAK", "EXFILTRATE", "BYPASS FILTER",
-        "BYPASS SAFETY", "DISABLE FILTER", "NO RULES", "UNRESTRICTED", "RM -RF", "SUDO ", "CHMOD 777", "DROP TABLE", "UNION SELECT",
-        "POWERSHELL", "REVERSE SHELL", "EXECUTE CODE", "OVERRIDE RULES", "FORGET EVERYTHING", "NEW INSTRUCTIONS",
-        "IGNORA LAS INSTRUCCIONES", "INSTRUCCIONES ANTERIORES", "MODO ADMINISTRADOR", "IGNORIERE ALLE", "VORHERIGEN ANWEISUNGEN",
-        "ADMINISTRATORMODUS", "IGNOREZ LES INSTRUCTIONS", "INSTRUCTIONS PRECEDENTES", "MODE ADMINISTRATEUR", "ИГНОРИРУЙ ВСЕ", "ΑΓΝΟΗΣΕ ΟΛΕΣ",
-    )
-} | {"/ETC/PASSWD": 2, "/ETC/SHADOW": 2, "/.ENV": 2, "/.SSH/": 2}
+#: Signals; two block. Phrases are put together from an opening and what it asks for, language by language.
+ENGLISH = (
+    (("IGNORE", "DISREGARD", "FORGET", "OVERRIDE", "BYPASS", "DISOBEY", "SKIP"),
+     ("ALL INSTRUCTIONS", "YOUR INSTRUCTIONS", "PRIOR INSTRUCTIONS", "EARLIER INSTRUCTIONS", "ANY INSTRUCTIONS", "THE INSTRUCTIONS", "YOUR RULES", "ALL RULES", "YOUR GUIDELINES",
+      "YOUR TRAINING", "SAFETY RULES", "SAFETY FILTERS")),
+    (("REVEAL", "SHOW", "PRINT", "LEAK", "DUMP", "REPEAT"),
+     ("YOUR PROMPT", "THE SYSTEM PROMPT", "YOUR INSTRUCTIONS", "HIDDEN INSTRUCTIONS", "THE PASSWORD", "THE ADMIN PASSWORD", "THE API KEY", "YOUR SECRETS")),
+    (("DISABLE", "TURN OFF", "SWITCH OFF", "REMOVE"), ("YOUR FILTERS", "THE FILTER", "SAFETY", "ALL RESTRICTIONS", "GUARDRAILS", "THE CONTENT POLICY")),
+    (("DEVELOPER", "ADMIN", "DEBUG", "GOD", "ROOT", "MAINTENANCE", "OVERRIDE", "SUDO"), ("MODE",)),
+    (("SYSTEM", "HIDDEN", "SECRET", "INITIAL"), ("PROMPT", "INSTRUCTIONS")),
+    (("PREVIOUS", "PRECEDING", "FORMER"), ("INSTRUCTIONS", "DIRECTIVES")),
+    (("ADMIN", "ROOT", "DATABASE", "MASTER"), ("PASSWORD", "CREDENTIALS")),
+    (("API", "SECRET", "PRIVATE", "ENCRYPTION"), ("KEY",)),
+    (("BYPASS", "EVADE", "CIRCUMVENT"), ("FILTER", "SAFETY", "MODERATION", "DETECTION")),
+    (("RUN", "EXECUTE", "EVALUATE"), ("SHELL COMMAND", "ARBITRARY CODE", "THIS SCRIPT", "THIS PAYLOAD")),
+    (("READ", "UPLOAD", "EXFILTRATE", "SEND ME"), ("THE DATABASE", "ALL FILES", "USER RECORDS", "ENVIRONMENT VARIABLES")),
+)
+#: Further signals by themselves: commands, code, places.
+COMMANDS = (
+    "JAILBREAK", "EXFILTRATE", "UNRESTRICTED", "UNFILTERED", "POWERSHELL", "REVERSE SHELL", "BIND SHELL", "EXECUTE CODE", "OVERRIDE RULES", "FORGET EVERYTHING", "NEW INSTRUCTIONS",
+    "NO RULES", "ACCESS TOKEN", "RM -RF", "SUDO ", "CHMOD 777", "CHOWN ROOT", "DROP TABLE", "UNION SELECT", "OR 1=1", "XP_CMDSHELL", "WGET HTTP", "CURL HTTP", "NETCAT", "NC -LVP",
+    "MKFIFO", "BASE64 -D", "OS.SYSTEM", "SUBPROCESS", "EVAL(", "EXEC(", "__IMPORT__", "CHILD_PROCESS", "REQUIRE('FS')", "DOCUMENT.COOKIE", "ONERROR=", "JAVASCRIPT:", "PICKLE.LOADS",
+    "YAML.LOAD", "PTY.SPAWN", "DEV/TCP", "SYSTEMCTL STOP", "KILL -9", "TASKKILL", "FORMAT C:", "DEL /F", "NET USER", "REG ADD", "SCHTASKS", "CRONTAB -E", "AUTHORIZED_KEYS", "ID_RSA",
+    ".AWS/CREDENTIALS", "WIN.INI", "BOOT.INI", "../../", "..\\..\\", "FILE:///",
+)
+#: The same in other languages: openings, what they turn against; further phrases.
+LANGUAGES = {
+    "es": ((("IGNORA", "OLVIDA", "OMITE"), ("TODAS LAS INSTRUCCIONES", "LAS INSTRUCCIONES", "LAS REGLAS")), (("MUESTRA", "REVELA"), ("EL PROMPT", "LA CONTRASEÑA", "TUS INSTRUCCIONES")),
+           (("INSTRUCCIONES",), ("ANTERIORES", "PREVIAS")), (("MODO",), ("ADMINISTRADOR", "DESARROLLADOR")), (("PROMPT",), ("DEL SISTEMA",))),
+    "pt": ((("IGNORE", "ESQUEÇA", "DESCONSIDERE"), ("TODAS AS INSTRUÇÕES", "AS INSTRUÇÕES", "AS REGRAS")), (("MOSTRE", "REVELE"), ("O PROMPT", "A SENHA", "SUAS INSTRUÇÕES")),
+           (("INSTRUÇÕES",), ("ANTERIORES", "PRÉVIAS")), (("MODO",), ("ADMINISTRADOR", "DESENVOLVEDOR")), (("PROMPT",), ("DO SISTEMA",))),
+    "fr": ((("IGNOREZ", "IGNORE", "OUBLIEZ", "OUBLIE"), ("TOUTES LES INSTRUCTIONS", "LES INSTRUCTIONS", "LES RÈGLES")), (("AFFICHEZ", "RÉVÉLEZ", "MONTRE"), ("LE PROMPT", "LE MOT DE PASSE", "TES INSTRUCTIONS")),
+           (("INSTRUCTIONS",), ("PRÉCÉDENTES", "ANTÉRIEURES")), (("MODE",), ("ADMINISTRATEUR", "DÉVELOPPEUR")), (("PROMPT",), ("SYSTÈME",))),
+    "de": ((("IGNORIERE", "IGNORIEREN SIE", "VERGISS"), ("ALLE", "DIE ANWEISUNGEN", "DIE REGELN")), (("ZEIGE", "VERRATE"), ("MIR DEN PROMPT", "DAS PASSWORT", "DEINE ANWEISUNGEN")),
+           (("VORHERIGEN", "BISHERIGEN"), ("ANWEISUNGEN", "REGELN")), (("ADMINISTRATORMODUS", "ENTWICKLERMODUS"), ("",)), (("SYSTEMPROMPT",), ("",))),
+    "it": ((("IGNORA", "DIMENTICA", "TRASCURA"), ("TUTTE LE ISTRUZIONI", "LE ISTRUZIONI", "LE REGOLE")), (("MOSTRA", "RIVELA"), ("IL PROMPT", "LA PASSWORD", "LE TUE ISTRUZIONI")),
+           (("ISTRUZIONI",), ("PRECEDENTI", "INIZIALI")), (("MODALITÀ",), ("AMMINISTRATORE", "SVILUPPATORE")), (("PROMPT",), ("DI SISTEMA",))),
+    "nl": ((("NEGEER", "VERGEET"), ("ALLE INSTRUCTIES", "DE INSTRUCTIES", "DE REGELS")), (("TOON", "ONTHUL"), ("DE PROMPT", "HET WACHTWOORD", "JE INSTRUCTIES")),
+           (("VORIGE", "EERDERE"), ("INSTRUCTIES", "OPDRACHTEN")), (("BEHEERDERSMODUS", "SYSTEEMPROMPT"), ("",))),
+    "sv": ((("IGNORERA", "GLÖM"), ("ALLA INSTRUKTIONER", "INSTRUKTIONERNA", "REGLERNA")), (("VISA", "AVSLÖJA"), ("PROMPTEN", "LÖSENORDET", "DINA INSTRUKTIONER")),
+           (("TIDIGARE", "FÖREGÅENDE"), ("INSTRUKTIONER", "REGLER")), (("ADMINISTRATÖRSLÄGE", "SYSTEMPROMPTEN"), ("",))),
+    "da": ((("IGNORER", "GLEM"), ("ALLE INSTRUKTIONER", "INSTRUKTIONERNE", "REGLERNE")), (("VIS", "AFSLØR"), ("PROMPTEN", "ADGANGSKODEN", "DINE INSTRUKTIONER")),
+           (("TIDLIGERE", "FOREGÅENDE"), ("INSTRUKTIONER", "REGLER")), (("ADMINISTRATORTILSTAND", "UDVIKLERTILSTAND"), ("",))),
+    "no": ((("IGNORER", "GLEM"), ("ALLE INSTRUKSJONER", "INSTRUKSJONENE", "ALLE REGLER")), (("VIS", "AVSLØR"), ("LEDETEKSTEN", "PASSORDET", "INSTRUKSJONENE DINE")),
+           (("TIDLIGERE", "FORRIGE"), ("INSTRUKSJONER", "INSTRUKSER")), (("ADMINISTRATORMODUS", "UTVIKLERMODUS"), ("",))),
+    "fi": ((("OHITA", "UNOHDA"), ("KAIKKI OHJEET", "AIEMMAT OHJEET", "SÄÄNNÖT")), (("NÄYTÄ", "PALJASTA"), ("KEHOTE", "SALASANA", "OHJEESI")),
+           (("AIEMMAT", "EDELLISET"), ("OHJEET", "SÄÄNNÖT")), (("YLLÄPITOTILA", "JÄRJESTELMÄKEHOTE"), ("",))),
+    "pl": ((("ZIGNORUJ", "IGNORUJ", "ZAPOMNIJ"), ("WSZYSTKIE INSTRUKCJE", "INSTRUKCJE", "ZASADY")), (("POKAŻ", "UJAWNIJ"), ("PROMPT", "HASŁO", "SWOJE INSTRUKCJE")),
+           (("POPRZEDNIE", "WCZEŚNIEJSZE"), ("INSTRUKCJE", "POLECENIA")), (("TRYB",), ("ADMINISTRATORA", "PROGRAMISTY"))),
+    "cs": ((("IGNORUJ", "ZAPOMEŇ"), ("VŠECHNY POKYNY", "VŠECHNY INSTRUKCE", "PRAVIDLA")), (("UKAŽ", "PROZRAĎ"), ("PROMPT", "HESLO", "SVÉ POKYNY")),
+           (("PŘEDCHOZÍ", "DŘÍVĚJŠÍ"), ("POKYNY", "INSTRUKCE")), (("REŽIM",), ("SPRÁVCE", "VÝVOJÁŘE"))),
+    "ru": ((("ИГНОРИРУЙ", "ЗАБУДЬ", "ПРОПУСТИ"), ("ВСЕ ИНСТРУКЦИИ", "ВСЕ", "ПРАВИЛА")), (("ПОКАЖИ", "РАСКРОЙ"), ("СИСТЕМНЫЙ ПРОМПТ", "ПАРОЛЬ", "СВОИ ИНСТРУКЦИИ")),
+           (("ПРЕДЫДУЩИЕ", "ПРЕЖНИЕ"), ("ИНСТРУКЦИИ", "УКАЗАНИЯ")), (("РЕЖИМ",), ("АДМИНИСТРАТОРА", "РАЗРАБОТЧИКА"))),
+    "uk": ((("ІГНОРУЙ", "ЗАБУДЬ"), ("ВСІ ІНСТРУКЦІЇ", "УСІ ВКАЗІВКИ", "ПРАВИЛА")), (("ПОКАЖИ", "РОЗКРИЙ"), ("СИСТЕМНИЙ ПРОМПТ", "ПАРОЛЬ", "СВОЇ ІНСТРУКЦІЇ")),
+           (("ПОПЕРЕДНІ",), ("ІНСТРУКЦІЇ", "ВКАЗІВКИ")), (("РЕЖИМ",), ("АДМІНІСТРАТОРА", "РОЗРОБНИКА"))),
+    "el": ((("ΑΓΝΟΗΣΕ", "ΞΕΧΑΣΕ", "ΠΑΡΑΒΛΕΨΕ"), ("ΟΛΕΣ", "ΤΙΣ ΟΔΗΓΙΕΣ", "ΤΟΥΣ ΚΑΝΟΝΕΣ")), (("ΔΕΙΞΕ", "ΑΠΟΚΑΛΥΨΕ"), ("ΤΟ PROMPT", "ΤΟΝ ΚΩΔΙΚΟ", "ΤΙΣ ΟΔΗΓΙΕΣ ΣΟΥ")),
+           (("ΠΡΟΗΓΟΥΜΕΝΕΣ",), ("ΟΔΗΓΙΕΣ", "ΕΝΤΟΛΕΣ")), (("ΛΕΙΤΟΥΡΓΙΑ",), ("ΔΙΑΧΕΙΡΙΣΤΗ",))),
+    "tr": ((("YOK SAY", "UNUT"), ("TÜM TALİMATLARI", "TALİMATLARI")), (("TÜM TALİMATLARI", "ÖNCEKİ TALİMATLARI", "KURALLARI"), ("YOK SAY", "UNUT", "GÖRMEZDEN GEL")),
+           (("SİSTEM İSTEMİNİ", "ŞİFREYİ", "TALİMATLARINI"), ("GÖSTER", "AÇIKLA")), (("YÖNETİCİ", "GELİŞTİRİCİ"), ("MODU",)), (("ÖNCEKİ",), ("TALİMATLAR", "KOMUTLAR"))),
+    "ar": ((("تجاهل", "انس"), ("جميع التعليمات", "كل التعليمات", "القواعد")), (("اعرض", "اكشف"), ("موجه النظام", "كلمة المرور", "تعليماتك")), (("التعليمات", "الأوامر"), ("السابقة",)), (("وضع",), ("المسؤول", "المطور"))),
+    "hi": ((("सभी निर्देशों को", "पिछले निर्देशों को", "नियमों को"), ("अनदेखा करो", "अनदेखा करें", "भूल जाओ")), (("सिस्टम प्रॉम्प्ट", "पासवर्ड", "अपने निर्देश"), ("दिखाओ", "बताओ")), (("पिछले", "पुराने"), ("निर्देशों", "आदेशों")), (("एडमिन", "डेवलपर"), ("मोड",))),
+    "zh": ((("忽略", "无视", "忘记"), ("所有指令", "之前的", "以上", "规则")), (("显示", "透露", "输出"), ("系统提示", "密码", "你的指令")), (("之前的", "先前的"), ("所有指令", "指令", "指示")), (("管理员", "开发者"), ("模式",)), (("系统提示词",), ("",))),
+    "ja": ((("指示を", "命令を", "ルールを"), ("無視", "忘れて")), (("システムプロンプトを", "パスワードを", "隠された指示を"), ("表示", "教えて", "見せて")), (("以前の", "これまでの", "上記の"), ("指示", "命令")), (("管理者", "開発者"), ("モード",))),
+    "ko": ((("모든 지시를", "이전 지시를", "규칙을"), ("무시", "잊어")), (("시스템 프롬프트를", "비밀번호를", "숨겨진 지시를"), ("보여", "출력", "알려")), (("이전", "위의"), ("지시", "명령")), (("관리자", "개발자"), ("모드",))),
+}
+_CLOSE = ("zh", "ja")
+
+
+def phrases(pairs: tuple, between: str = " ") -> list[str]:
+    """Every opening with everything that may follow it."""
+    return [between.join(x for x in (a, b) if x) for left, right in pairs for a in left for b in right]
+
+
+#: Each signal's weight. A path counts twice, so one blocks.
+SIGNALS = (
+    dict.fromkeys([*phrases(ENGLISH), *COMMANDS, *(t for lang, pairs in LANGUAGES.items() for t in phrases(pairs, "" if lang in _CLOSE else " "))], 1)
+    | {"/ETC/PASSWD": 2, "/ETC/SHADOW": 2, "/.ENV": 2, "/.SSH/": 2}
+)
+#: Words for what an attack does, and for what it does it to.
 ACTIONS = [
-    "IGNORE", "DISREGARD", "FORGET", "OVERRIDE", "BYPASS", "DISABLE", "REVEAL", "EXPOSE", "LEAK", "DUMP", "EXTRACT", "STEAL", "DELETE",
-    "ERASE", "WIPE", "EXECUTE", "INJECT", "ESCALATE", "UNLOCK", "DECRYPT", "TRANSMIT", "UPLOAD", "IMPERSONATE", "TERMINATE",
+    "ABUSE", "BRUTEFORCE", "BYPASS", "CIRCUMVENT", "COMPROMISE", "CORRUPT", "CRACK", "DEACTIVATE", "DECODE", "DECRYPT", "DEFACE", "DEFEAT", "DELETE", "DESTROY", "DISABLE", "DISCLOSE",
+    "DISOBEY", "DISREGARD", "DIVULGE", "DOWNLOAD", "DROP", "DUMP", "ELEVATE", "ENCRYPT", "ERASE", "ESCALATE", "EVADE", "EXECUTE", "EXFILTRATE", "EXPLOIT", "EXPOSE", "EXTRACT", "FORCE",
+    "FORGE", "FORGET", "HARVEST", "HIJACK", "IGNORE", "IMPERSONATE", "INFECT", "INFILTRATE", "INJECT", "INTERCEPT", "INVOKE", "KILL", "LEAK", "LOGIN", "MODIFY", "NEUTRALIZE", "NULLIFY",
+    "OBTAIN", "OVERRIDE", "OVERWRITE", "PATCH", "PHISH", "POISON", "PURGE", "REBOOT", "REMOVE", "REPLACE", "RESET", "RETRIEVE", "REVEAL", "REVOKE", "REWRITE", "SABOTAGE", "SCRAPE", "SEND",
+    "SHUTDOWN", "SNIFF", "SPAWN", "SPOOF", "STEAL", "SUBVERT", "SUPPRESS", "SUSPEND", "TAMPER", "TERMINATE", "TRANSMIT", "UNBLOCK", "UNINSTALL", "UNLOCK", "UNMASK", "UPLOAD", "VIOLATE",
+    "WIPE", "WITHDRAW", "WRITE",
 ]
 TARGETS = [
-    "INSTRUCTIONS", "INSTRUCTION", "PROMPT", "PASSWORD", "PASSWORDS", "SECRET", "SECRETS", "CREDENTIALS", "TOKEN", "TOKENS", "DATABASE", "SYSTEM",
-    "ADMIN", "ROOT", "FILTER", "FILTERS", "SAFETY", "GUARDRAILS", "RULES", "POLICY", "KERNEL", "FIREWALL", "LOGS", "CONFIG",
+    "ACCOUNT", "ADMIN", "ADMINISTRATOR", "APIKEY", "AUDIT", "BACKUP", "BACKUPS", "CERTIFICATE", "CONFIG", "CONFIGURATION", "CONSTRAINTS", "CREDENTIAL", "CREDENTIALS", "DATABASE", "DATABASES",
+    "DIRECTIVES", "ENVIRONMENT", "FILESYSTEM", "FILTER", "FILTERS", "FIREWALL", "GUARDRAIL", "GUARDRAILS", "GUIDELINES", "INSTRUCTION", "INSTRUCTIONS", "KERNEL", "KEYS", "LIMITS", "LOGS",
+    "MEMORY", "MODERATION", "NETWORK", "PASSWORD", "PASSWORDS", "PERMISSIONS", "POLICIES", "POLICY", "PRIVILEGES", "PROMPT", "PROMPTS", "PROTECTION", "REGISTRY", "RESTRICTIONS", "ROOT",
+    "RULES", "SAFEGUARDS", "SAFETY", "SANDBOX", "SECRET", "SECRETS", "SERVER", "SESSION", "SYSTEM", "TOKEN", "TOKENS", "WATERMARK",
 ]
+#: Common words, which never tell anything by themselves.
 STOPWORDS = [
-    "THE", "AND", "FOR", "WITH", "THAT", "THIS", "FROM", "HAVE", "WILL", "YOUR", "PLEASE", "ABOUT", "WHICH", "THERE", "WHERE", "WOULD",
-    "SHOULD", "COULD", "BECAUSE", "BETWEEN", "THROUGH", "WITHOUT", "ANOTHER", "HOWEVER", "READ", "SEND", "OUTPUT",
+    "ABOUT", "ABOVE", "AFTER", "AGAIN", "ALL", "ALSO", "ALWAYS", "AND", "ANOTHER", "ANY", "ARE", "BECAUSE", "BEEN", "BEFORE", "BEING", "BELOW", "BETWEEN", "BOTH", "BUT", "CAN", "CANNOT",
+    "COULD", "DID", "DOES", "DOING", "DOWN", "DURING", "EACH", "EITHER", "EVERY", "EVERYTHING", "FEW", "FOR", "FROM", "FURTHER", "GENERAL", "GET", "GIVE", "GOOD", "HAD", "HAS", "HAVE",
+    "HERE", "HIM", "HIS", "HOW", "HOWEVER", "INTO", "ITS", "JUST", "KNOW", "LIKE", "LITTLE", "LOOK", "MADE", "MAKE", "MANY", "MAYBE", "MORE", "MOST", "MUCH", "MUST", "NEITHER", "NEVER",
+    "NEXT", "NOT", "NOTHING", "NOW", "OFF", "OFTEN", "ONCE", "ONE", "ONLY", "OTHER", "OUR", "OUT", "OUTPUT", "OVER", "OWN", "PEOPLE", "PERHAPS", "PLEASE", "QUESTION", "RATHER", "READ",
+    "REALLY", "SAID", "SAME", "SAY", "SEE", "SEND", "SHE", "SHOULD", "SINCE", "SOME", "SOMETHING", "STILL", "SUCH", "TAKE", "TELL", "THAN", "THAT", "THE", "THEIR", "THEM", "THEN",
+    "THERE", "THESE", "THEY", "THING", "THINGS", "THINK", "THIS", "THOSE", "THROUGH", "THROUGHOUT", "TOGETHER", "TOO", "TOWARDS", "UNDER", "UNTIL", "USE", "USUALLY", "VERY", "WANT",
+    "WAS", "WERE", "WHAT", "WHATEVER", "WHEN", "WHERE", "WHETHER", "WHICH", "WHILE", "WHO", "WHY", "WILL", "WITH", "WITHIN", "WITHOUT", "WORK", "WOULD", "YOU", "YOUR",
 ]
+#: Kinds of attacks (fixed names) and words that tell them.
 CATEGORIES = {
-    "credential_theft": ["password", "credentials", "secret", "token", "passwords"],
-    "data_exfiltration": ["exfiltrate", "database", "upload", "transmit", "extract"],
-    "instruction_override": ["ignore", "instructions", "previous", "override", "disregard"],
-    "privilege_escalation": ["admin", "root", "escalate", "privileged", "unlock"],
-    "prompt_leak": ["reveal", "prompt", "system", "hidden", "verbatim"],
+    "exfiltration": ["exfiltrate", "download", "transmit", "harvest", "database", "records", "backups", "leak", "scrape", "archive everything", "send everything"],
+    "injection": ["instructions", "instruction", "disregard", "override", "previous", "directives", "prompt", "ignore", "forget", "jailbreak", "new rules"],
+    "impersonation": ["impersonate", "administrator", "pretending", "developer", "masquerade", "roleplay", "supervisor", "authorized", "your creator", "act as"],
+    "encoding_bypass": ["base64", "rot13", "hexadecimal", "decode", "encoded", "unicode", "obfuscated", "ciphertext", "reversed", "url-encoded"],
+    "data_access": ["password", "passwords", "credentials", "secrets", "token", "apikey", "confidential", "private-key", "environment", "reveal", "admin"],
+    "persistence": ["permanently", "remember", "scheduled", "startup", "crontab", "backdoor", "autorun", "implant", "from now on", "every session"],
+    "destruction": ["destroy", "delete", "erase", "format", "truncate", "overwrite", "sabotage", "corrupt", "drop table", "wipe", "shutdown"],
 }
 # Letters that look like Latin ones.
 HOMOGLYPHS = {
@@ -75,12 +161,39 @@ def informative(term: str, security: frozenset[str] = frozenset([*SECURITY_BASE,
     return term in security or ((technical or len(term) >= 7 or any(ord(c) > 0x24F for c in term)) and term not in baseline and term not in stopwords)
 
 
+#: Bytes of a list that a user gives as a DataFrame; it becomes part of the plan.
+LISTED_BYTES = 2 << 20
+
+
+def listed(terms) -> list[str]:
+    """A user's list: any iterable, or the first column of a DataFrame, whose size is checked before it is fetched."""
+    if not hasattr(terms, "sparkSession"):
+        return list(terms)
+    column = terms.select(F.col(terms.columns[0]).cast("string").alias("t")).dropna().distinct()
+    size = column.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    if size > LISTED_BYTES:
+        raise ValueError(f"a list may hold {LISTED_BYTES} bytes, not {size}; larger tables are matched by automaton.containing()")
+    return sorted(r["t"] for r in column.collect())
+
+
+def unaccented(term: str) -> str:
+    """A term in Latin letters without its marks, as people often write it."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", term) if unicodedata.category(c) != "Mn")
+    return plain if plain.isascii() else term
+
+
 def weighted_signals(signals: dict[str, int] | None = None) -> dict[str, int]:
     """Normalised signals that count: phrases, and informative single words."""
     out = {}
     for term, weight in (SIGNALS if signals is None else signals).items():
-        # small and capital letters may look like different Latin ones, so a term can have two forms
-        for t in dict.fromkeys((normalised_term(term.upper()), normalised_term(term.lower()))):
+        # small and capital letters may look like different Latin ones, so a term can have two forms; accents may be left out
+        for t in dict.fromkeys(f for x in (term, unaccented(term)) for f in (normalised_term(x.upper()), normalised_term(x.lower()))):
             if " " in t or informative(t):
-                out[t] = out.get(t, 0) + weight
+                out[t] = max(out.get(t, 0), weight)
     return out
+
+
+def ruleset_version(*lists) -> str:
+    """SHA-256 of word lists (these, or any given): which rules gave a verdict."""
+    parts = lists or (HIGH_CONFIDENCE, SECURITY_BASE, SIGNALS, ACTIONS, TARGETS, STOPWORDS, CATEGORIES, HOMOGLYPHS, LEET)
+    return hashlib.sha256(json.dumps(parts, ensure_ascii=False).encode()).hexdigest()

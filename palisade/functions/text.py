@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from palisade.functions import lexicon as L
 
+# What counts as a URL, as an escape typed out, as a token of a chat model.
 URL = r"https?://\S+|www\.\S+|magnet:\S+"
 ESCAPES = r"\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}"
 MODEL_TOKENS = r"<\|[^\n]*?\|>|\[/?INST\]|<<SYS>>"
+# Terminal sequences (ECMA-48).
+ANSI = r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])"
 # Phrasings that ask for another persona.
 PERSONA = (
     r"YOU\s+ARE\s+NOW\s+DAN|DO\s+ANYTHING\s+NOW|ACT\s+AS\s+(?:IF\s+YOU\s+HAVE\s+NO|AN?\s+(?:EVIL|UNRESTRICTED|UNFILTERED))"
@@ -39,9 +43,11 @@ def strip_invisible(t: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c(t), r"[\p{Cf}\p{Mn}]", ""), r"[\p{Cc}&&[^\n\r\t]]", " ")
 
 
-@F.pandas_udf(StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+@F.arrow_udf(StringType())
+def _nfkc(a: pa.Array) -> pa.Array:
+    if pc.all(pc.string_is_ascii(a)).as_py() is not False:
+        return a
+    return pa.array([x if x is None or x.isascii() else unicodedata.normalize("NFKC", x) for x in a.to_pylist()], pa.string())
 
 
 def nfkc(t: Column) -> Column:
@@ -54,7 +60,7 @@ def fold_homoglyphs(t: Column) -> Column:
 
 
 def strip_ansi(t: Column) -> Column:
-    return F.regexp_replace(c(t), r"\x1B\[[0-9;]*[A-Za-z]", "")
+    return F.regexp_replace(c(t), ANSI, "")
 
 
 def normalise(t: Column, compatibility: bool = True) -> Column:
@@ -145,14 +151,6 @@ def found_terms(t: Column, terms: list[str]) -> Column:
     return F.filter(F.array(*(F.lit(x) for x in terms)), lambda x: F.contains(c(t), x))
 
 
-def signal_weight(t: Column, signals: dict[str, int]) -> Column:
-    """Sum of the weights of all signals that t holds."""
-    by: dict[int, list[str]] = {}
-    for term, weight in signals.items():
-        by.setdefault(weight, []).append(term)
-    return sum((F.size(found_terms(t, terms)) * weight for weight, terms in sorted(by.items())), F.lit(0))
-
-
 def rot13(t: Column) -> Column:
     return F.translate(c(t), _UPPER + _LOWER, _UPPER[13:] + _UPPER[:13] + _LOWER[13:] + _LOWER[:13])
 

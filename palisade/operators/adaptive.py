@@ -1,4 +1,7 @@
-"""Rules learnt from reports: extraction, validation against benign history, matching, pruning and review."""
+"""Rules learnt from reports: extraction, validation against benign history, matching, pruning and review.
+
+Texts and terms meet in automata (palisade.functions.automaton): one pass over a text for all terms, and no join on contains.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +10,8 @@ from pyspark.sql import functions as F
 
 from palisade.functions import lexicon as L
 from palisade.functions import text as T
-
-#: Rows of a term table that is sent whole to every executor; a larger one is matched by a join on first words.
-BROADCAST_TERMS = 20_000
+from palisade.functions.automaton import containing
+from palisade.operators.screen import screened
 
 
 def _array(values) -> Column:
@@ -35,30 +37,11 @@ def extracted_keywords(df: DataFrame, id_col: str, text: str, k: int = 5) -> Dat
     return words.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(id_col, "rank", F.lower("word").alias("keyword"))
 
 
-def containing(history: DataFrame, text: str, terms: DataFrame, term: str) -> DataFrame:
-    """history joined with the distinct terms that its text holds as substrings.
-
-    Each term is looked up by its first word: the joined row holds that word's letters inside one of its own words, so
-    terms of up to BROADCAST_TERMS rows are broadcast behind a count, and a larger table is matched in blocks of that size.
-    """
-    terms = terms.select(F.col(term).alias("term")).where("term <> ''").distinct()
-    n = terms.count()
-    if n <= BROADCAST_TERMS:
-        return history.join(F.broadcast(terms), F.contains(F.col(text), F.col("term")))
-    blocks = -(-n // BROADCAST_TERMS)
-    numbered = terms.withColumn("b", F.pmod(F.xxhash64("term"), F.lit(blocks)))
-    parts = [history.join(F.broadcast(numbered.where(F.col("b") == b).drop("b")), F.contains(F.col(text), F.col("term"))) for b in range(blocks)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def false_positive_rates(terms: DataFrame, history: DataFrame, text: str, threshold: float = 0.01) -> DataFrame:
     """(term, hits, tested, rate, is_safe) of each term over benign texts; without history every term is safe."""
     lowered = history.select(F.lower(F.col(text)).alias("_t")).where(F.length("_t") > 0)
     tested = lowered.count()
-    hits = containing(lowered, "_t", terms, "term").groupBy("term").agg(F.count("*").alias("hits"))
+    hits = containing(lowered, [], "_t", terms, "term").groupBy("term").agg(F.count("*").alias("hits"))
     out = terms.select("term").distinct().join(hits, "term", "left").select("term", F.coalesce("hits", F.lit(0)).alias("hits"), F.lit(tested).cast("long").alias("tested"))
     rate = F.when(F.col("tested") > 0, F.col("hits") / F.col("tested")).otherwise(0.0)
     return out.withColumn("rate", F.round(rate, 4)).withColumn("is_safe", rate <= threshold)
@@ -67,17 +50,49 @@ def false_positive_rates(terms: DataFrame, history: DataFrame, text: str, thresh
 def learned_matches(df: DataFrame, id_col: str, text: str, rules: DataFrame, least: int = 2) -> DataFrame:
     """(id, n_rules, blocked): texts that hold learnt rules (pattern); phrases and informative words count."""
     usable = rules.select(F.lower("pattern").alias("term")).where(F.col("term").contains(" ") | is_informative(F.upper("term"), stopwords=[]))
-    hits = containing(df.select(id_col, F.lower(F.col(text)).alias("_t")), "_t", usable, "term").groupBy(id_col).agg(F.count("*").alias("n_rules"))
+    hits = containing(df.select(id_col, F.lower(F.col(text)).alias("_t")), [id_col], "_t", usable, "term").groupBy(id_col).agg(F.count("*").alias("n_rules"))
     return hits.withColumn("blocked", F.col("n_rules") >= least)
 
 
-def category_matches(df: DataFrame, id_col: str, text: str, categories: dict[str, list[str]] | None = None, least: int = 3) -> DataFrame:
-    """(id, category, n_hits): for each text the first category (by name) with `least` of its keywords or more."""
+def category_keywords(categories: DataFrame) -> DataFrame:
+    """(category, keywords): the learnt keywords of each category, lower-case and sorted; of a table (category, keyword)."""
+    return categories.groupBy("category").agg(F.array_sort(F.collect_set(F.lower("keyword"))).alias("keywords"))
+
+
+def category_matches(df: DataFrame, id_col: str, text: str, categories: dict[str, list[str]] | None = None, learned: DataFrame | None = None, least: int = 3) -> DataFrame:
+    """(id, category, n_hits): for each text the first category (by name) with `least` of its keywords or more.
+
+    learned (category, keyword) adds keywords, also in categories of its own. Phrases and informative words count.
+    """
     cats = L.CATEGORIES if categories is None else categories
+    fixed = {name: [w for w in words if " " in w or L.informative(w.upper())] for name, words in sorted(cats.items())}
     low = df.select(id_col, F.lower(F.col(text)).alias("_t"))
-    counts = F.array(*(F.struct(F.lit(name).alias("category"), F.size(T.found_terms(F.col("_t"), [w for w in words if " " in w or L.informative(w.upper())])).alias("n_hits")) for name, words in sorted(cats.items())))
-    best = F.get(F.filter(counts, lambda x: x["n_hits"] >= least), F.lit(0))
-    return low.select(id_col, best.alias("best")).where("best IS NOT NULL").select(id_col, "best.category", F.col("best.n_hits").cast("long").alias("n_hits"))
+    if learned is None:
+        counts = F.array(*(F.struct(F.lit(name).alias("category"), F.size(T.found_terms(F.col("_t"), words)).alias("n_hits")) for name, words in fixed.items()))
+        best = F.get(F.filter(counts, lambda x: x["n_hits"] >= least), F.lit(0))
+        return low.select(id_col, best.alias("best")).where("best IS NOT NULL").select(id_col, "best.category", F.col("best.n_hits").cast("long").alias("n_hits"))
+    known = df.sparkSession.createDataFrame([(n, w) for n, words in fixed.items() for w in words], "category string, keyword string")
+    more = learned.select("category", F.lower("keyword").alias("keyword")).where(F.col("keyword").contains(" ") | is_informative(F.upper("keyword")))
+    words = known.unionByName(more).distinct()
+    hits = containing(low, [id_col], "_t", words, "keyword").join(words.withColumnRenamed("keyword", "term"), "term")
+    counted = hits.groupBy(id_col, "category").agg(F.count("*").alias("n_hits")).where(F.col("n_hits") >= least)
+    return counted.groupBy(id_col).agg(F.min(F.struct("category", "n_hits")).alias("best")).select(id_col, "best.category", "best.n_hits")
+
+
+def scanned(df: DataFrame, id_col: str, text: str, rules: DataFrame, learned: DataFrame | None = None, categories: dict[str, list[str]] | None = None, **options) -> DataFrame:
+    """(id, allowed, stage, reason, clean): the screen, then learnt rules (pattern), then categories, each only for what is still allowed.
+
+    stage is filter, rules or categories where something blocks, else passed; reason is the layer, the number of rules or the category.
+    clean is null where a text is blocked. A null text is empty, so safe. ids are distinct.
+    """
+    rows = screened(df.select(id_col, F.col(text).alias("_raw")), "_raw", **options).select(id_col, "_raw", "clean", "layer")
+    open_ = rows.where("layer IS NULL")
+    by_rule = learned_matches(open_, id_col, "_raw", rules).where("blocked").select(id_col, "n_rules")
+    by_kind = category_matches(open_, id_col, "_raw", categories, learned).select(id_col, "category")
+    out = rows.select(id_col, "clean", "layer").join(by_rule, id_col, "left").join(by_kind, id_col, "left")
+    stage = F.when(F.col("layer").isNotNull(), "filter").when(F.col("n_rules").isNotNull(), "rules").when(F.col("category").isNotNull(), "categories").otherwise("passed")
+    reason = F.coalesce("layer", F.concat(F.col("n_rules").cast("string"), F.lit(" rules")), "category")
+    return out.select(id_col, (stage == "passed").alias("allowed"), stage.alias("stage"), reason.alias("reason"), F.when(stage == "passed", F.col("clean")).alias("clean"))
 
 
 def classified(keywords: DataFrame, id_col: str, categories: dict[str, list[str]] | None = None) -> DataFrame:
@@ -100,11 +115,66 @@ def decided(reports: DataFrame, rates: DataFrame, auto: bool = True) -> DataFram
     return joined.withColumn("status", status).drop("term")
 
 
-def pruned(learned: DataFrame, reported: DataFrame, predefined: dict[str, list[str]] | None = None) -> DataFrame:
-    """Learnt keywords (category, keyword) without those in texts reported as blocked wrongly; predefined ones stay."""
-    fixed = sorted({w for ws in (L.CATEGORIES if predefined is None else predefined).values() for w in ws})
-    gone = containing(reported.select(F.lower("text").alias("_t")), "_t", learned, "keyword").select(F.col("term").alias("keyword")).distinct().where(~F.col("keyword").isin(*fixed))
-    return learned.join(gone, "keyword", "left_anti").select("category", "keyword")
+def report_outcomes(reported: DataFrame, id_col: str, learned: DataFrame, predefined: dict[str, list[str]] | None = None, allow_pruning: bool = True, auto: bool = True, least: int = 3) -> DataFrame:
+    """(id, status, category, prune): what follows from reports of texts that were blocked wrongly, reports having text and allowed.
+
+    allowed texts can't be reported (error). Without pruning or in manual mode reports wait (pending_review). Else the first category by name of
+    which `least` keywords, learnt (category, keyword) or predefined, stand in the text is the one that blocked, and its learnt ones among these go
+    (pruned), but for predefined ones, which never go (no_action if none is left).
+    """
+    cats = L.CATEGORIES if predefined is None else predefined
+    fixed = df_of(reported, [(c, w) for c, ws in cats.items() for w in ws], "category string, keyword string").withColumn("fixed", F.lit(True))
+    words = learned.select("category", F.lower("keyword").alias("keyword")).distinct().withColumn("learnt", F.lit(True)).join(fixed, ["category", "keyword"], "full")
+    words = words.where(F.col("keyword").contains(" ") | is_informative(F.upper("keyword")))
+    blocked = reported.where(~F.coalesce("allowed", F.lit(False)))
+    hits = containing(blocked.select(id_col, F.lower("text").alias("_t")), [id_col], "_t", words, "keyword").join(words.withColumnRenamed("keyword", "term"), "term")
+    gone = F.when(F.col("learnt") & F.col("fixed").isNull(), F.col("term"))
+    counted = hits.groupBy(id_col, "category").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(gone)).alias("prune")).where(F.col("n") >= least)
+    first = counted.groupBy(id_col).agg(F.min(F.struct("category", "prune")).alias("x")).select(id_col, "x.category", "x.prune")
+    none = F.array().cast("array<string>")
+    out = reported.select(id_col, "allowed").join(first, id_col, "left")
+    waits = F.lit(not (allow_pruning and auto))
+    status = F.when(waits, "pending_review").when(F.coalesce("allowed", F.lit(False)), "error").when(F.size(F.coalesce("prune", none)) > 0, "pruned").otherwise("no_action")
+    shown = ~waits & F.col("category").isNotNull()
+    return out.select(id_col, status.alias("status"), F.when(shown, F.col("category")).alias("category"), F.when(shown, F.col("prune")).otherwise(none).alias("prune"))
+
+
+def df_of(like: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    return like.sparkSession.createDataFrame(rows, schema)
+
+
+def pruned(learned: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Learnt keywords (category, keyword) without what report_outcomes() prunes."""
+    gone = outcomes.where("status = 'pruned'").select("category", F.explode("prune").alias("keyword")).distinct()
+    return learned.join(gone, ["category", "keyword"], "left_anti").select("category", "keyword")
+
+
+def listed_reports(reports: DataFrame) -> DataFrame:
+    """Reports, newest first (equal times by id)."""
+    return reports.orderBy(F.desc("ts"), "report_id")
+
+
+def statistics(scan_log: DataFrame, reports: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row: total_scans, total_reports, approved_rules, pending_rules, active_custom_rules (distinct approved patterns)."""
+    status = F.col("status")
+    counted = rules.agg(F.count_if(status == "approved").alias("approved_rules"), F.count_if(status == "pending").alias("pending_rules"), F.count_distinct(F.when(status == "approved", F.lower("pattern"))).alias("active_custom_rules"))
+    return scan_log.agg(F.count("*").alias("total_scans")).crossJoin(reports.agg(F.count("*").alias("total_reports"))).crossJoin(counted)  # one row each
+
+
+def learnt_keywords(reports: DataFrame, keywords: DataFrame, kinds: DataFrame, rates: DataFrame) -> DataFrame:
+    """(category, keyword, source_report_id): keywords (report_id, keyword) of reports that pass validation, filed under their report's category.
+
+    kinds is (report_id, category), rates (term, is_safe). Each (category, keyword) comes once, with the least report.
+    """
+    safe = rates.where("is_safe").select(F.col("term").alias("keyword"))
+    rows = keywords.select("report_id", "keyword").join(safe, "keyword", "left_semi").join(kinds, "report_id").join(reports.where("allowed").select("report_id"), "report_id", "left_semi")
+    return rows.groupBy("category", "keyword").agg(F.min("report_id").alias("source_report_id"))
+
+
+def new_rules(decided_: DataFrame, as_of: str) -> DataFrame:
+    """Rules as stored (rule_id, pattern, source_report_id, false_positive_rate, status, created_at), of decided() reports that weren't rejected; one for each pattern."""
+    kept = decided_.where("status <> 'rejected'").groupBy(F.lower(F.btrim("text")).alias("pattern")).agg(F.min("report_id").alias("source_report_id"), F.max("rate").alias("false_positive_rate"), F.min("status").alias("status"))
+    return kept.select(F.substring(F.sha2("pattern", 256), 1, 12).alias("rule_id"), "pattern", "source_report_id", "false_positive_rate", "status", F.lit(as_of).cast("timestamp").alias("created_at"))
 
 
 def reviewed(rules: DataFrame, approve: list[str] = (), reject: list[str] = (), approve_all_below: float | None = None) -> DataFrame:

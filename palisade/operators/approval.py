@@ -1,7 +1,7 @@
 """Human approval of high-impact actions, from a log of events (approval_id, ts, op, action, payload).
 
-op is request, approve, deny or execute. Everything follows from the first valid decision and the first matching
-execution, so two window passes fold a log of any size.
+op is request, approve, deny or execute. Everything follows from the first request, the first valid decision and a matching execution, so the log is
+aggregated twice by approval and joined with the small results; no approval's events are gathered.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions import lexicon as L
+
 # Actions that need approval.
 HIGH_IMPACT = [
     "DEPLOY", "DELETE_FILE", "DROP_DATABASE", "MERGE_CODE", "TRANSFER_FUNDS", "MODIFY_ACCESS", "SEND_EMAIL", "PUBLISH", "EXECUTE_MIGRATION", "REVOKE_KEY",
@@ -17,8 +19,8 @@ HIGH_IMPACT = [
 TTL = 300
 
 
-def needs_approval(action: Column, high_impact: list[str] | None = None) -> Column:
-    return F.upper(action).isin(*(HIGH_IMPACT if high_impact is None else high_impact))
+def needs_approval(action: Column, high_impact=None) -> Column:
+    return F.upper(action).isin(*(HIGH_IMPACT if high_impact is None else L.listed(high_impact)))
 
 
 def parameter_hash(action: Column, payload: Column) -> Column:
@@ -52,3 +54,14 @@ def cleaned(approvals: DataFrame, as_of: Column) -> DataFrame:
     """Without what was settled over a day ago or expired unsettled."""
     old = (F.col("status") != "pending") & (F.col("requested_at") < F.lit(as_of) - F.make_dt_interval(F.lit(1)))
     return approvals.where(~(old | (F.col("status") == "expired")))
+
+
+def open_requests(approvals: DataFrame, as_of: Column) -> DataFrame:
+    """Requests that still wait at as_of."""
+    return approvals.where((F.col("status") == "pending") & (F.lit(as_of) <= F.col("expires_at")))
+
+
+def statistics(approvals: DataFrame, as_of: Column) -> DataFrame:
+    """One row: pending (not expired), approved, denied and total."""
+    status = F.col("status")
+    return approvals.agg(F.count_if((status == "pending") & (F.lit(as_of) <= F.col("expires_at"))).alias("pending"), F.count_if(status == "approved").alias("approved"), F.count_if(status == "denied").alias("denied"), F.count("*").alias("total"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,7 +17,7 @@ Provider = Callable[[str], str]
 def parsed(response: Column) -> Column:
     """SAFE, UNSAFE or VETOED (empty or unclear); UNSAFE wins over SAFE."""
     t = F.upper(F.btrim(F.coalesce(response, F.lit("")), F.lit(" \t\n\r")))
-    word = "(^|[^A-Z0-9_]){}([^A-Z0-9_]|$)"
+    word = r"(^|[^\p{{L}}\p{{N}}_]){}([^\p{{L}}\p{{N}}_]|$)"
     return F.when(t == "", "VETOED").when(t.rlike(word.format("UNSAFE")), "UNSAFE").when(t.rlike(word.format("SAFE")), "SAFE").otherwise("VETOED")
 
 
@@ -34,27 +35,34 @@ def agreed(verdicts: DataFrame, key: str, provider: str = "provider", verdict: s
     return rows.select(key, "n_providers", outcome.alias("outcome"), (outcome == "allowed").alias("allowed"))
 
 
-def asked(df: DataFrame, text: str, providers: dict[str, Provider], fail_open: bool = False, retries: int = 2) -> DataFrame:
+def asked(df: DataFrame, text: str, providers: dict[str, Provider], fail_open: bool = False, retries: int = 2, pause: float = 0.5) -> DataFrame:
     """df times providers with response: each provider is a function of a text, called in the executors.
 
-    Names must be distinct, as dictionary keys are. After `retries` failures the response is SAFE if fail_open, else null.
+    providers is a dictionary, or pairs of distinct names and functions. After `retries` failures, each followed by a longer pause, the response is SAFE
+    if fail_open, else null.
     """
+    if not isinstance(providers, dict):
+        pairs = list(providers)
+        providers = dict(pairs)
+        if len(providers) < len(pairs):
+            raise ValueError("providers must have distinct names")
     if not providers:
         raise ValueError("at least one provider is needed")
     out = None
     for name, call in providers.items():
-        rows = df.withColumn("provider", F.lit(name)).withColumn("response", F.pandas_udf(_responder(call, fail_open, retries), "string")(F.col(text)))
+        rows = df.withColumn("provider", F.lit(name)).withColumn("response", F.pandas_udf(_responder(call, fail_open, retries, pause), "string")(F.col(text)))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def _responder(call: Provider, fail_open: bool, retries: int):
+def _responder(call: Provider, fail_open: bool, retries: int, pause: float):
     def one(x: str) -> str | None:
-        for _ in range(retries + 1):
+        for k in range(retries + 1):
             try:
                 return call(x)
             except Exception:  # a provider may fail in any way
-                continue
+                if k < retries:
+                    time.sleep(pause * (k + 1))
         return "SAFE" if fail_open else None
 
     def respond(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -75,4 +83,11 @@ def tiered(screened: DataFrame, key: str, text: str, providers: dict[str, Provid
 
 
 def counters(results: DataFrame) -> DataFrame:
+    """(layer, allowed, n) of tiered() results."""
     return results.groupBy("layer", "allowed").agg(F.count("*").alias("n"))
+
+
+def reported(results: DataFrame, key: str, texts: DataFrame, text: str = "text") -> DataFrame:
+    """Allowed results as reports of missed attacks (report_id, scan_id, allowed, text), for adaptive.decided()."""
+    rows = results.where("allowed").join(texts.select(key, F.col(text).alias("text")), key)
+    return rows.select(F.concat(F.lit("r"), F.col(key).cast("string")).alias("report_id"), F.col(key).cast("string").alias("scan_id"), "allowed", "text")

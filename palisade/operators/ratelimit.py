@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,9 +27,21 @@ def interval_step(last: float, now: float, interval: float) -> tuple[bool, float
     return (False, last) if now - last < interval else (True, now)
 
 
-def admitted(user: Column, users: list | None) -> Column:
-    """Identity list; none admits everyone."""
-    return F.lit(True) if users is None else user.isin(*users)
+def admitted(df: DataFrame, user: str, users: list | DataFrame | None) -> DataFrame:
+    """df with admitted: whether the user is on the list (values, or the first column of a DataFrame); none admits everyone."""
+    if users is None:
+        return df.withColumn("admitted", F.lit(True))
+    if isinstance(users, DataFrame):
+        known = users.select(F.col(users.columns[0]).alias("_user")).distinct().withColumn("admitted", F.lit(True))
+        return df.join(known, F.col(user) == F.col("_user"), "left").drop("_user").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
+    return df.withColumn("admitted", F.coalesce(F.col(user).isin(*users), F.lit(False)))
+
+
+def gated(df: DataFrame, user: str, ts: str, key: str, users: list | DataFrame | None = None, **limits) -> DataFrame:
+    """(key, user, ts, allowed, reason): the identity list first, then rate limits, which only admitted requests use up."""
+    rows = admitted(df.select(key, user, ts), user, users)
+    refused = rows.where(~F.col("admitted")).select(key, user, ts, F.lit(False).alias("allowed"), F.lit("identity").alias("reason"))
+    return refused.unionByName(rate_limited(rows.where("admitted").drop("admitted"), user, ts, key, **limits))
 
 
 def rate_limited(df: DataFrame, user: str, ts: str, key: str, limit: int = 60, window: float = 60.0, block: float = 300.0, interval: float = 0.0) -> DataFrame:

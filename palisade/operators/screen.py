@@ -1,10 +1,14 @@
-"""Input screening: an ordered verdict over normalised text. The first layer that hits decides."""
+"""Input screening: an ordered verdict over normalised text. The first layer that hits decides.
+
+Terms and words are looked up by an automaton in one Arrow pass over a text and what it may hide; all else stays in the JVM.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions import automaton as M
 from palisade.functions import lexicon as L
 from palisade.functions import text as T
 
@@ -16,45 +20,67 @@ def screened(
     """df with clean (normalised text), layer (first that blocks, or null), is_safe and suspicion (100 if blocked).
 
     Layers in order: gibberish, flood, escapes, model_tokens, persona, high_confidence, signals (weight 2 or more),
-    co_occurrence (action and target words, 3 or more), decoded. A null text is empty, so safe. Decoding is done only
-    for rows that got so far: a row's CASE stops at its first hit.
+    co_occurrence (action and target words, 3 or more), decoded. A null text is empty, so safe. Variants are looked at
+    only where signals and words of the text itself haven't settled it. Lists may be DataFrames of one column.
     """
-    signals = L.weighted_signals(signals)
-    sure = [t for t in map(L.normalised_term, L.HIGH_CONFIDENCE if high_confidence is None else high_confidence) if " " in t or t not in baseline]
-    acts, aims = L.ACTIONS if actions is None else actions, L.TARGETS if targets is None else targets
-    clean = T.normalise(F.coalesce(F.col(text), F.lit("")), compatibility)
-    out = df.withColumn("clean", clean).withColumn("_upper", F.upper("clean"))
-    out = out.withColumn("_words", F.transform(T.tokens("_upper"), T.bare))
-    out = out.withColumn("_weight", T.signal_weight(F.col("_upper"), signals)).withColumn("_pairs", co_occurrence(F.col("_words"), acts, aims))
+    signals = L.weighted_signals(signals if signals is None or isinstance(signals, dict) else dict.fromkeys(L.listed(signals), 1))
+    safe_keywords, baseline = L.listed(safe_keywords), set(L.listed(baseline))
+    signals = {t: w for t, w in signals.items() if " " in t or t not in baseline or t in L.SECURITY_BASE}
+    sure = [t for t in map(L.normalised_term, L.HIGH_CONFIDENCE if high_confidence is None else L.listed(high_confidence)) if " " in t or t not in baseline]
+    acts, aims = L.ACTIONS if actions is None else L.listed(actions), L.TARGETS if targets is None else L.listed(targets)
+    rows = df.withColumn("clean", T.normalise(F.coalesce(F.col(text), F.lit("")), compatibility))
+    hidden = F.transform(T.decoded_variants("clean"), lambda v: F.upper(v["text"]))
+    rows = rows.withColumn("_texts", F.concat(F.array(F.upper("clean")), hidden))
+    out = M.with_codes(rows, "_texts", "_codes", M.Judge(signals, sure, acts, aims, T.EDGE))
+    code = F.get("_codes", F.lit(0))
+    out = out.withColumn("_weight", weight(code)).withColumn("_pairs", pairs(code))
     early = (
         F.when(T.is_gibberish("clean"), "gibberish").when(T.is_flood("clean"), "flood").when(T.has_escapes("clean"), "escapes").when(T.has_model_tokens("clean"), "model_tokens")
-        .when(T.is_persona_hijack("clean"), "persona").when(F.size(T.found_terms(F.col("_upper"), sure)) > 0, "high_confidence")
-        .when(F.col("_weight") >= 2, "signals").when(F.col("_pairs") >= 3, "co_occurrence")
+        .when(T.is_persona_hijack("clean"), "persona").when(is_sure(code), "high_confidence").when(F.col("_weight") >= 2, "signals").when(F.col("_pairs") >= 3, "co_occurrence")
     )
-    out = out.withColumn("_early", early)
-    hidden = F.when(F.col("_early").isNull(), decoded_scores(F.col("clean"), signals, sure, acts, aims))
-    out = out.withColumn("_hidden", F.coalesce(hidden, F.struct(F.lit(False).alias("block"), F.lit(0).alias("score"))))
-    layer = F.coalesce("_early", F.when(F.col("_hidden.block"), "decoded"))
+    out = out.withColumn("_early", early).withColumn("_judged", decoded_scores(F.slice("_codes", 2, 1 << 30)))
+    layer = F.coalesce("_early", F.when(F.col("_judged.block"), "decoded"))
     safe = F.size(T.found_terms(F.lower("clean"), [k.lower() for k in safe_keywords])) > 0
-    score = F.when(F.col("_weight") == 1, 12).otherwise(0) + F.when(F.col("_pairs") > 0, 15).otherwise(0) + F.col("_hidden.score") + F.when(F.length("clean") > 5000, 8).otherwise(0)
+    score = F.when(F.col("_weight") == 1, 12).otherwise(0) + F.when(F.col("_pairs") > 0, 15).otherwise(0) + F.col("_judged.score") + F.when(F.length("clean") > 5000, 8).otherwise(0)
     out = out.withColumn("layer", layer).withColumn("is_safe", F.col("layer").isNull())
     out = out.withColumn("suspicion", F.when(~F.col("is_safe"), 100).when(safe, 0).otherwise(score))
-    return out.drop("_upper", "_words", "_weight", "_pairs", "_early", "_hidden")
+    return out.drop("_codes", "_weight", "_pairs", "_early", "_judged")
+
+
+def weight(code: Column) -> Column:
+    return code % M.WEIGHT
+
+
+def is_sure(code: Column) -> Column:
+    return F.floor(code / M.SURE) % 2 == 1
 
 
-def co_occurrence(words: Column, actions: list[str], targets: list[str]) -> Column:
+def pairs(code: Column) -> Column:
     """Distinct action and target words, 0 unless both are there."""
-    a, b = (F.size(F.array_intersect(words, F.array(*(F.lit(x) for x in xs)))) for xs in (actions, targets))
+    a, b = F.floor(code / M.ACTIONS) % (1 << 16), F.floor(code / M.TARGETS)
     return F.when((a > 0) & (b > 0), a + b).otherwise(0)
 
 
-def decoded_scores(clean: Column, signals: dict[str, int], sure: list[str], actions: list[str], targets: list[str]) -> Column:
-    """struct<block, score> over all decoded variants of a normalised text."""
+def decoded_scores(codes: Column) -> Column:
+    """struct<block, score> over the codes of all decoded variants of a text."""
 
-    def judge(u: Column) -> Column:
-        weight = T.signal_weight(u, signals)
-        pair = T.let(F.transform(T.tokens(u), T.bare), lambda words: F.struct(*(F.arrays_overlap(words, F.array(*(F.lit(x) for x in xs))).alias(n) for n, xs in (("a", actions), ("b", targets)))))
-        scored = F.struct(weight.alias("w"), (F.size(T.found_terms(u, sure)) > 0).alias("sure"), pair.alias("p"))
-        return T.let(scored, lambda s: F.struct((s["sure"] | (s["w"] >= 2) | (s["p"]["a"] & s["p"]["b"])).alias("block"), (F.when(s["w"] == 1, 10).otherwise(0) + F.when(s["p"]["a"] | s["p"]["b"], 8).otherwise(0)).alias("score")))
+    def points(code: Column) -> Column:
+        return (F.when(weight(code) == 1, 10).otherwise(0) + F.when(code >= M.ACTIONS, 8).otherwise(0)).cast("int")
 
-    return T.let(F.transform(T.decoded_variants(clean), lambda v: T.let(F.upper(v["text"]), judge)), lambda r: F.struct(F.exists(r, lambda x: x["block"]).alias("block"), F.aggregate(r, F.lit(0), lambda s, x: s + x["score"]).alias("score")))
+    return F.struct(F.exists(codes, lambda c: is_sure(c) | (weight(c) >= 2) | (pairs(c) > 0)).alias("block"), F.aggregate(codes, F.lit(0), lambda s, c: s + points(c)).alias("score"))
+
+
+def extracted_text_verdicts(df: DataFrame, text: str = "text", source: str = "OCR", fallback: list[str] | None = None, **options) -> DataFrame:
+    """df with allowed, reason and clean_text for text that came out of files: blank text passes as it is, other text is screened.
+
+    fallback is a list of upper-case terms to look for instead of the whole screen, as where only a quick check is wanted.
+    """
+    blank = F.coalesce(F.btrim(T.unspaced(F.col(text))) == "", F.lit(True))
+    if fallback is None:
+        rows = screened(df, text, **options)
+        reason = F.when(blank, "empty").when(F.col("is_safe"), "validated").otherwise(F.concat(F.lit(f"injection in {source} text: "), "layer"))
+        rows = rows.withColumn("allowed", blank | F.col("is_safe")).withColumn("clean_text", F.when(blank, F.col(text)).when(F.col("is_safe"), F.col("clean")))
+        return rows.withColumn("reason", reason).drop("clean", "layer", "is_safe", "suspicion")
+    hit = F.size(T.found_terms(F.upper(F.col(text)), fallback)) > 0
+    rows = df.withColumn("allowed", blank | ~hit).withColumn("clean_text", F.when(blank | ~hit, F.col(text)))
+    return rows.withColumn("reason", F.when(blank, "empty").when(hit, f"keyword in {source} text").otherwise("validated"))

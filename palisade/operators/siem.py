@@ -27,6 +27,16 @@ def enriched(df: DataFrame) -> DataFrame:
     return out.withColumn("epoch_ms", F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))).withColumn("payload", F.substring("payload", 1, 500))
 
 
+def block_events(df: DataFrame, component: str, action: str = "action_type", reason: str = "reason") -> DataFrame:
+    """df as events of blocked actions, enriched."""
+    return enriched(df.select("*").withColumns({"event_type": F.lit("input_blocked"), "component": F.lit(component), "action_type": F.col(action), "reason": F.col(reason)}))
+
+
+def allow_events(df: DataFrame, component: str, action: str = "action_type", reason: str = "Action authorized.") -> DataFrame:
+    """df as events of allowed actions, enriched."""
+    return enriched(df.select("*").withColumns({"event_type": F.lit("action_allowed"), "component": F.lit(component), "action_type": F.col(action), "reason": F.lit(reason)}))
+
+
 def _escaped(x: Column) -> Column:
     return F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
 
@@ -43,7 +53,7 @@ def cef(vendor: str = "Palisade", product: str = "Screen", version: str = "1.0")
 
 
 def json_line(*columns: str) -> Column:
-    return F.to_json(F.struct(*columns))
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
 def write_lines(df: DataFrame, line: Column, path: str, records_per_file: int = 200_000) -> None:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.functions import lexicon as L
+
 # What marks a claim or a hedge, and the tools that verify.
 TEMPORAL = r"currently|right now|as of (today|now|\d{4})|at this moment|at the time of writing|today's|latest|up[- ]to[- ]date|real[- ]time"
-NUMERICAL = r"\$[\d,]+\.?\d*|(^|[^A-Za-z0-9_])\d{1,3}(,\d{3})+(\.\d+)?([^A-Za-z0-9_]|$)|(^|[^A-Za-z0-9_])\d+(\.\d+)?%|(^|[^A-Za-z0-9_])\d+(\.\d+)?\s*(million|billion|trillion|thousand)([^A-Za-z0-9_]|$)"
+NUMERICAL = r"\$[\d,]+\.?\d*|(^|[^\p{L}\p{N}_])\d{1,3}(,\d{3})+(\.\d+)?([^\p{L}\p{N}_]|$)|(^|[^\p{L}\p{N}_])\d+(\.\d+)?%|(^|[^\p{L}\p{N}_])\d+(\.\d+)?\s*(million|billion|trillion|thousand)([^\p{L}\p{N}_]|$)"
 CITATION = (
     r"according to|studies show|research (indicates|shows|suggests|proves)|experts (say|agree|believe)|data (shows|indicates|suggests)|"
     r"statistics (show|indicate|prove)|surveys (show|indicate)|it (has been|is) (proven|shown|demonstrated|established)|peer[- ]reviewed|published in|reported by|a recent (study|report|survey|analysis)"
@@ -25,8 +27,8 @@ TOOLS = ["SEARCH", "BROWSE", "READ_FILE", "LOOKUP", "QUERY", "WEB_SEARCH", "GOOG
 
 
 def bounded(pattern: str) -> str:
-    """As whole words, with ASCII boundaries spelt out; for lower-case text."""
-    return f"(^|[^A-Za-z0-9_])({pattern})([^A-Za-z0-9_]|$)"
+    """As whole words, with the boundaries of Unicode spelt out; for lower-case text."""
+    return rf"(^|[^\p{{L}}\p{{N}}_])({pattern})([^\p{{L}}\p{{N}}_]|$)"
 
 
 def sentences(t: Column) -> Column:
@@ -75,9 +77,9 @@ def looked_up(claims: DataFrame, hash_col: str, ts: str, known: DataFrame) -> Da
     return claims.join(hit, [hash_col, ts], "left").withColumn("is_known", F.coalesce("is_known", F.lit(False)))
 
 
-def verified_sessions(tools: DataFrame, session: str = "session_id", tool: str = "tool_name", names: list[str] | None = None) -> DataFrame:
+def verified_sessions(tools: DataFrame, session: str = "session_id", tool: str = "tool_name", names=None) -> DataFrame:
     """(session, verified_at): sessions that used a verifying tool, and when first."""
-    return tools.where(F.upper(tool).isin(*(TOOLS if names is None else names))).groupBy(session).agg(F.min("ts").alias("verified_at"))
+    return tools.where(F.upper(tool).isin(*(TOOLS if names is None else L.listed(names)))).groupBy(session).agg(F.min("ts").alias("verified_at"))
 
 
 def checked(answers: DataFrame, tools: DataFrame, known: DataFrame | None = None, session: str = "session_id", ts: str = "ts", text: str = "text", key: str = "answer_id", enabled: bool = True, as_of: bool = False) -> DataFrame:
@@ -96,3 +98,29 @@ def checked(answers: DataFrame, tools: DataFrame, known: DataFrame | None = None
         cached = F.coalesce("_cached", F.lit(False))
     outcome = F.when(F.lit(not enabled), "disabled").when(F.col("_m") == 0, "no_claim").when(is_hedged(F.col(text)), "hedged").when(~F.col("_open"), "session").when(cached, "cached").otherwise("blocked")
     return rows.withColumn("outcome", outcome).withColumn("allowed", F.col("outcome") != "blocked").drop("_m", "_open", "_tool", "_cached")
+
+
+def logged_checks(checked_: DataFrame, session: str = "session_id", ts: str = "ts", text: str = "text", key: str = "answer_id") -> DataFrame:
+    """The log of checked() answers (check_id, session_id, answer_text, had_markers, had_verification, allowed, reason, ts); texts of 500 characters."""
+    found = F.size(markers(F.col(text))) > 0
+    return checked_.select(
+        F.col(key).cast("string").alias("check_id"), F.col(session).cast("string").alias("session_id"), F.substring(text, 1, 500).alias("answer_text"), found.alias("had_markers"),
+        (F.col("outcome") == "session").alias("had_verification"), "allowed", F.col("outcome").alias("reason"), F.col(ts).alias("ts"),
+    )
+
+
+def blocked_claims(checked_: DataFrame, session: str = "session_id", ts: str = "ts", text: str = "text", key: str = "answer_id") -> DataFrame:
+    """(claim_id, session_id, claim_text, confidence_markers, reason, ts) of blocked answers; texts of 500 characters."""
+    rows = checked_.where(~F.col("allowed"))
+    return rows.select(F.col(key).cast("string").alias("claim_id"), F.col(session).cast("string").alias("session_id"), F.substring(text, 1, 500).alias("claim_text"), F.array_join(markers(F.col(text)), ",").alias("confidence_markers"), F.col("outcome").alias("reason"), F.col(ts).alias("ts"))
+
+
+def statistics(checks: DataFrame, known: DataFrame) -> DataFrame:
+    """One row: total_checks, total_allowed, total_blocked, sessions (distinct in the log) and cached_facts."""
+    counted = checks.agg(F.count("*").alias("total_checks"), F.count_if("allowed").alias("total_allowed"), F.count_if(~F.col("allowed")).alias("total_blocked"), F.count_distinct("session_id").alias("sessions"))
+    return counted.crossJoin(known.agg(F.count("*").alias("cached_facts")))  # one row each
+
+
+def unexpired(known: DataFrame, as_of: str) -> DataFrame:
+    """Facts whose own lifetime hasn't ended before as_of (a timestamp literal)."""
+    return known.where(F.col("verified_at") + F.make_dt_interval("ttl_days") >= F.lit(as_of).cast("timestamp"))

@@ -35,15 +35,40 @@ def _approval_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@REGISTRY("""WITH o AS (SELECT o_orderkey AS k, k % 1000 AS t, CASE WHEN k % 3 <> 0 THEN k % 7 * 60 + 1 END AS approve, CASE WHEN k % 5 = 0 THEN 200 END AS deny, CASE WHEN k % 4 = 1 THEN 250 END AS run, k % 8 = 1 AS same FROM orders),
-d AS (SELECT *, CASE WHEN approve IS NOT NULL AND approve <= 300 AND (deny IS NULL OR approve <= deny) THEN 'approved' WHEN deny IS NOT NULL AND (approve IS NULL OR approve > deny) THEN 'denied' WHEN approve > 300 THEN 'expired' ELSE 'pending' END AS s FROM o)
-SELECT CAST(k AS VARCHAR) AS approval_id, TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * (t + 300) AS expires_at,
-  CASE WHEN s = 'approved' AND run >= approve AND same THEN 'consumed' WHEN s IN ('approved', 'pending') AND 1200 > t + 300 THEN 'expired' ELSE s END AS status FROM d""")
+_APPROVALS = """WITH o AS (SELECT o_orderkey AS k, k % 1000 AS t, CASE WHEN k % 3 <> 0 THEN k % 7 * 60 + 1 END AS approve, CASE WHEN k % 5 = 0 THEN 200 END AS deny, CASE WHEN k % 4 = 1 THEN 250 END AS run, k % 8 = 1 AS same FROM orders),
+d AS (SELECT *, CASE WHEN approve IS NOT NULL AND approve <= 300 AND (deny IS NULL OR approve <= deny) THEN 'approved' WHEN deny IS NOT NULL AND (approve IS NULL OR approve > deny) THEN 'denied' WHEN approve > 300 THEN 'expired' ELSE 'pending' END AS s FROM o),
+approvals AS (SELECT CAST(k AS VARCHAR) AS approval_id, TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * t AS requested_at, TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * (t + 300) AS expires_at,
+  CASE WHEN s = 'approved' AND run >= approve AND same THEN 'consumed' WHEN s IN ('approved', 'pending') AND 1200 > t + 300 THEN 'expired' ELSE s END AS status FROM d)
+"""
+
+
+@REGISTRY(_APPROVALS + "SELECT approval_id, expires_at, status FROM approvals")
 def approval_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     as_of = F.lit("2024-01-01 00:20:00").cast("timestamp")
     return P.folded(_approval_events(spark, sf_dir), as_of).select("approval_id", F.col("expires_at").cast(_NTZ).alias("expires_at"), "status")
 
 
+def _folded(spark: SparkSession, sf_dir: str):
+    return P.folded(_approval_events(spark, sf_dir), F.lit("2024-01-01 00:20:00").cast("timestamp"))
+
+
+@REGISTRY(_APPROVALS + "SELECT approval_id, expires_at FROM approvals WHERE status = 'pending' AND TIMESTAMP '2024-01-01 00:20:00' <= expires_at")
+def open_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.open_requests(_folded(spark, sf_dir), F.lit("2024-01-01 00:20:00").cast("timestamp"))
+    return rows.select("approval_id", F.col("expires_at").cast(_NTZ).alias("expires_at"))
+
+
+@REGISTRY(_APPROVALS + """SELECT count(*) FILTER (status = 'pending' AND TIMESTAMP '2024-01-01 00:20:00' <= expires_at) AS pending, count(*) FILTER (status = 'approved') AS approved,
+  count(*) FILTER (status = 'denied') AS denied, count(*) AS total FROM approvals""")
+def approval_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.statistics(_folded(spark, sf_dir), F.lit("2024-01-01 00:20:00").cast("timestamp"))
+
+
+@REGISTRY(_APPROVALS + "SELECT approval_id, status FROM approvals WHERE status <> 'expired' AND NOT (status <> 'pending' AND requested_at < TIMESTAMP '2024-01-02 00:08:00' - INTERVAL 1 DAY)")
+def approval_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.cleaned(_folded(spark, sf_dir), F.lit("2024-01-02 00:08:00").cast("timestamp")).select("approval_id", "status")
+
+
 @REGISTRY(f"SELECT upper(event_type) AS action, list_contains({literal(P.HIGH_IMPACT)}, upper(event_type)) AS needs_approval, min(sha256(upper(event_type) || '|' || event_type)) AS first_hash, count(*) AS n FROM events GROUP BY ALL")
 def approval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_type")
@@ -52,7 +77,17 @@ def approval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- gates --
-@REGISTRY()
+def _limits(events: str) -> str:
+    """The state machine as a recursion over each user's requests: kept times and the end of the penalty travel along."""
+    return f"""e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM {events}),
+f AS (SELECT event_id, user_id, t, i, true AS allowed, CAST(NULL AS VARCHAR) AS reason, [t] AS kept, CAST(0 AS BIGINT) AS until FROM e WHERE i = 1
+  UNION ALL SELECT event_id, user_id, t, i, t >= until AND len(young) < 3, CASE WHEN t < until THEN 'blocked' WHEN len(young) >= 3 THEN 'limit' END,
+    CASE WHEN t < until THEN kept WHEN len(young) >= 3 THEN young ELSE list_append(young, t) END,
+    CASE WHEN t < until THEN until WHEN len(young) >= 3 THEN t + 172800000000 ELSE 0 END
+  FROM (SELECT e.event_id, e.user_id, e.t, e.i, f.kept, f.until, list_filter(f.kept, lambda x: e.t - x < 86400000000) AS young FROM e JOIN f ON e.user_id = f.user_id AND e.i = f.i + 1))"""
+
+
+@REGISTRY(f"WITH RECURSIVE {_limits('events')} SELECT event_id, user_id, allowed, reason FROM f")
 def rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.rate_limited(read(spark, sf_dir, "events"), "user_id", "ts", "event_id", limit=3, window=86400.0, block=172800.0).select("event_id", "user_id", "allowed", "reason")
 
@@ -65,11 +100,21 @@ def minimum_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.rate_limited(read(spark, sf_dir, "events"), "user_id", "ts", "event_id", limit=1 << 40, interval=43200.0).select("event_id", "allowed")
 
 
+def _known(events: DataFrame) -> DataFrame:
+    return events.select("user_id").distinct().where("user_id % 2 = 0")
+
+
 @REGISTRY("SELECT user_id % 2 = 0 AS admitted, count(*) AS n FROM events GROUP BY 1")
 def identity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
-    users = events.select("user_id").distinct().where("user_id % 2 = 0").withColumn("ok", F.lit(True))
-    return events.join(users, "user_id", "left").groupBy(F.coalesce("ok", F.lit(False)).alias("admitted")).agg(F.count("*").alias("n"))
+    return R.admitted(events, "user_id", _known(events)).groupBy("admitted").agg(F.count("*").alias("n"))
+
+
+@REGISTRY(f"""WITH RECURSIVE {_limits('(SELECT * FROM events WHERE user_id % 2 = 0)')}
+SELECT event_id, user_id, allowed, reason FROM f UNION ALL SELECT event_id, user_id, false, 'identity' FROM events WHERE user_id % 2 <> 0""")
+def request_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events")
+    return R.gated(events, "user_id", "ts", "event_id", _known(events), limit=3, window=86400.0, block=172800.0).select("event_id", "user_id", "allowed", "reason")
 
 
 # -- files: pages behind the first bytes of several kinds --
@@ -115,14 +160,27 @@ def cef_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _security_events(spark, sf_dir).select("event_id", E.cef().alias("line"))
 
 
-@REGISTRY(f"""WITH {_EVENTS} SELECT event_id, '{{"event_type":"' || t || '","severity":' || severity || ',"epoch_ms":' || ms || '}}' AS line FROM s""")
+_JSON = f"""CAST(to_json({{'epoch_ms': ms, 'event_type': t, 'severity': severity, 'label': {_LABEL}, 'component': 'screen', 'action_type': event_type, 'payload': substring(props, 1, 500),
+  'reason': 'user|' || user_id}}) AS VARCHAR)"""
+_FIELDS = ("epoch_ms", "event_type", "severity", "label", "component", "action_type", "payload", "reason")
+
+
+@REGISTRY(f"WITH {_EVENTS} SELECT event_id, {_JSON} AS line FROM s")
 def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _security_events(spark, sf_dir).select("event_id", E.json_line("event_type", "severity", "epoch_ms").alias("line"))
+    return _security_events(spark, sf_dir).select("event_id", E.json_line(*_FIELDS).alias("line"))
 
 
-@REGISTRY(f"""WITH {_EVENTS} SELECT count(*) AS n_lines, CAST(sum(strlen(t) + 1) AS BIGINT) AS n_bytes FROM s""")
+@REGISTRY(f"WITH {_EVENTS} SELECT count(*) AS n_lines, CAST(sum(strlen({_JSON}) + 1) AS BIGINT) AS n_bytes FROM s")
 def log_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.log_stats(_security_events(spark, sf_dir).select(F.col("event_type").alias("value")))
+    return E.log_stats(_security_events(spark, sf_dir).select(E.json_line(*_FIELDS).alias("value")))
+
+
+@REGISTRY("""SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'input_blocked' ELSE 'action_allowed' END AS event_type, CASE WHEN event_id % 6 = 0 THEN 7 ELSE 1 END AS severity,
+  CASE WHEN event_id % 6 = 0 THEN 'high' ELSE 'info' END AS label, CASE WHEN event_id % 6 = 0 THEN 'too much' ELSE 'Action authorized.' END AS reason FROM events""")
+def decision_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").select("event_id", "ts", F.col("event_type").alias("action_type"), F.col("props").alias("payload"), F.lit("too much").alias("reason"))
+    out = E.block_events(rows.where("event_id % 6 = 0"), "gate").unionByName(E.allow_events(rows.where("event_id % 6 <> 0"), "gate"))
+    return out.select("event_id", "event_type", "severity", "label", "reason")
 
 
 @REGISTRY("SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY")

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.functions import automaton as M
 from palisade.functions import lexicon as L
 from palisade.functions import text as T
 from palisade.operators import adaptive as A
+from palisade.operators import consensus as C
 from palisade.operators import screen as S
 from palisade.plans.registry import Registry, literal, read, spread
+from palisade.plans.synthesis import COMPATIBLE, PAGES_SQL, page_texts, synthesised
 from palisade.plans.synthesis import SQL as SYNTH
-from palisade.plans.synthesis import synthesised
 
 REGISTRY = Registry()
 
@@ -24,6 +26,8 @@ _ROT = T._UPPER[13:] + T._UPPER[:13] + T._LOWER[13:] + T._LOWER[:13]
 
 
 def _clean(x: str) -> str:
+    for wide, plain in COMPATIBLE.items():
+        x = f"replace({x}, '{wide}', '{plain}')"
     stripped = rf"regexp_replace(regexp_replace({x}, '[\p{{Cf}}\p{{Mn}}]', '', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{{9F}}]', ' ', 'g')"
     return f"translate({stripped}, '{L.HOMOGLYPH_FROM}', '{L.HOMOGLYPH_TO}')"
 
@@ -94,9 +98,10 @@ def structural_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY(f"WITH {_BASE} SELECT doc_id, {_found('u', _SURE)} AS n_sure, CAST({_weight('u')} AS INTEGER) AS weight, {_common('words', L.ACTIONS)} AS n_actions, {_common('words', L.TARGETS)} AS n_targets FROM base")
 def signal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _synth(spark, sf_dir).withColumn("u", F.upper(T.normalise("input"))).withColumn("words", F.transform(T.tokens("u"), T.bare))
+    rows = M.weights(_synth(spark, sf_dir).select("doc_id", F.upper(T.normalise("input")).alias("u")), "u", "weight", _SIGNALS)
+    rows = rows.withColumn("words", F.transform(T.tokens("u"), T.bare))
     both = [F.size(F.array_intersect("words", F.array(*(F.lit(x) for x in xs)))).cast("long") for xs in (L.ACTIONS, L.TARGETS)]
-    return rows.select("doc_id", F.size(T.found_terms(F.col("u"), _SURE)).cast("long").alias("n_sure"), T.signal_weight(F.col("u"), _SIGNALS).alias("weight"), both[0].alias("n_actions"), both[1].alias("n_targets"))
+    return rows.select("doc_id", F.size(T.found_terms(F.col("u"), _SURE)).cast("long").alias("n_sure"), "weight", both[0].alias("n_actions"), both[1].alias("n_targets"))
 
 
 _PIG = "list_transform({t}, lambda w: CASE WHEN ends_with(lower(w), 'way') AND length(w) > 4 THEN substring(w, 1, length(w) - 3) WHEN ends_with(lower(w), 'ay') AND length(w) > 3 THEN substring(w, length(w) - 2, 1) || substring(w, 1, length(w) - 3) ELSE w END)"
@@ -225,23 +230,157 @@ def learned_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.learned_matches(read(spark, sf_dir, "documents"), "doc_id", "text", _keywords(spark, sf_dir).select(F.col("keyword").alias("pattern")))
 
 
-@REGISTRY(f"""WITH synth AS ({SYNTH}), c AS (SELECT doc_id, UNNEST({literal(sorted(L.CATEGORIES))}) AS category, UNNEST([{', '.join(_found('lower(input)', [w for w in L.CATEGORIES[k] if L.informative(w.upper())]) for k in sorted(L.CATEGORIES))}]) AS n_hits FROM synth)
+def _usable(words: list[str]) -> list[str]:
+    return [w for w in words if " " in w or L.informative(w.upper())]
+
+
+@REGISTRY(f"""WITH synth AS ({SYNTH}),
+c AS (SELECT doc_id, UNNEST({literal(sorted(L.CATEGORIES))}) AS category, UNNEST([{', '.join(_found('lower(input)', _usable(L.CATEGORIES[k])) for k in sorted(L.CATEGORIES))}]) AS n_hits FROM synth)
 SELECT doc_id, min(category) AS category, CAST(arg_min(n_hits, category) AS BIGINT) AS n_hits FROM c WHERE n_hits >= 3 GROUP BY doc_id""")
 def category_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.category_matches(_synth(spark, sf_dir), "doc_id", "input")
 
 
-@REGISTRY(f"""WITH {_KEYWORDS}, learned AS (SELECT DISTINCT 'learned' AS category, keyword FROM keywords),
-gone AS (SELECT DISTINCT keyword FROM learned JOIN (SELECT lower(text) AS t FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) ON contains(t, keyword) WHERE NOT list_contains({literal(sorted({w for ws in L.CATEGORIES.values() for w in ws}))}, keyword))
-SELECT category, keyword FROM learned WHERE keyword NOT IN (SELECT keyword FROM gone)""")
+# -- the loop from reports to rules: benchmark items are reports, but for every seventh they were allowed --
+_ALL_CATS = literal([w for ws in L.CATEGORIES.values() for w in ws])
+_KINDS = f"""k AS (SELECT item_id, list(keyword ORDER BY rank) AS ws FROM keywords GROUP BY item_id),
+kinds AS (SELECT item_id, CASE WHEN len(list_intersect(ws, {_ALL_CATS})) > 0
+  THEN (SELECT arg_max(c, (n, -o)) FROM (SELECT UNNEST({literal(L.CATEGORIES)}) AS c, UNNEST([{', '.join(f'len(list_intersect(ws, {literal(w)}))' for w in L.CATEGORIES.values())}]) AS n, UNNEST(range({len(L.CATEGORIES)})) AS o))
+  WHEN len(ws) >= 2 THEN 'learned_' || ws[1] || '_' || ws[2] ELSE 'learned_' || ws[1] END AS category FROM k)"""
+_LEARNT = f"""{_KEYWORDS}, {_KINDS}, {_HISTORY},
+rates AS (SELECT term, (SELECT count(*) FROM hist WHERE contains(t, term)) / (SELECT count(*) FROM hist) <= 0.01 AS is_safe FROM (SELECT DISTINCT keyword AS term FROM keywords)),
+learnt AS (SELECT category, keyword, min(item_id) AS source_report_id FROM keywords JOIN kinds USING (item_id) JOIN rates ON term = keyword WHERE is_safe AND item_id % 7 <> 0 GROUP BY category, keyword)"""
+_FIXED = " UNION ALL ".join(f"SELECT '{c}' AS category, UNNEST({literal(_usable(ws))}) AS keyword" for c, ws in L.CATEGORIES.items())
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("report_id"), "text", (F.col("item_id") % 7 != 0).alias("allowed"))
+
+
+def _learnt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keywords = _keywords(spark, sf_dir).withColumnRenamed("item_id", "report_id")
+    rates = A.false_positive_rates(keywords.select(F.col("keyword").alias("term")), _benign(spark, sf_dir), "text")
+    return A.learnt_keywords(_reports(spark, sf_dir), keywords, A.classified(keywords, "report_id"), rates)
+
+
+@REGISTRY(f"WITH {_LEARNT} SELECT category, keyword, source_report_id FROM learnt")
+def learnt_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _learnt(spark, sf_dir)
+
+
+@REGISTRY(f"WITH {_LEARNT} SELECT category, list_sort(list(keyword)) AS keywords FROM learnt GROUP BY category")
+def category_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.category_keywords(_learnt(spark, sf_dir))
+
+
+@REGISTRY(f"""WITH {_HISTORY}, r AS (SELECT item_id, lower(trim(text)) AS pattern FROM benchmark WHERE item_id % 7 <> 0 AND length(trim(text)) >= 5),
+f AS (SELECT *, (SELECT count(*) FROM hist WHERE contains(t, pattern)) / (SELECT count(*) FROM hist) AS rate FROM r)
+SELECT substring(sha256(pattern), 1, 12) AS rule_id, pattern, min(item_id) AS source_report_id, round(max(rate), 4) AS false_positive_rate,
+  CASE WHEN max(rate) <= 0.01 THEN 'approved' ELSE 'pending' END AS status FROM f GROUP BY pattern""")
+def stored_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = _reports(spark, sf_dir)
+    rates = A.false_positive_rates(reports.select(F.lower(F.btrim("text")).alias("term")), _benign(spark, sf_dir), "text")
+    return A.new_rules(A.decided(reports, rates), "2024-01-01").drop("created_at")
+
+
+# wrongly blocked: texts that people marked as harmless, with each fifth allowed all along
+_OUTCOMES = f"""{_LEARNT}, words AS ({_FIXED} UNION SELECT category, keyword FROM learnt),
+fixed AS ({" UNION ALL ".join(f"SELECT '{c}' AS category, UNNEST({literal(ws)}) AS keyword" for c, ws in L.CATEGORIES.items())}),
+reported AS (SELECT doc_id, lower(text) AS t, doc_id % 5 = 0 AS allowed FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0)),
+counted AS (SELECT doc_id, category, count(*) AS n, list_sort(list(keyword) FILTER ((category, keyword) IN (SELECT (category, keyword) FROM learnt) AND (category, keyword) NOT IN (SELECT (category, keyword) FROM fixed))) AS prune
+  FROM reported JOIN words ON contains(t, keyword) WHERE NOT allowed GROUP BY doc_id, category HAVING count(*) >= 3),
+firsts AS (SELECT doc_id, min(category) AS category, arg_min(prune, category) AS prune FROM counted GROUP BY doc_id),
+outcomes AS (SELECT doc_id, CASE WHEN allowed THEN 'error' WHEN len(coalesce(prune, [])) > 0 THEN 'pruned' ELSE 'no_action' END AS status, category, coalesce(prune, []) AS prune FROM reported LEFT JOIN firsts USING (doc_id))"""
+
+
+def _outcomes(spark: SparkSession, sf_dir: str, learnt: DataFrame) -> DataFrame:
+    harmless = read(spark, sf_dir, "labels").where("toxic = 0").select("doc_id").distinct()
+    reported = spread(read(spark, sf_dir, "documents")).join(harmless, "doc_id", "left_semi").select("doc_id", "text", (F.col("doc_id") % 5 == 0).alias("allowed"))
+    return A.report_outcomes(reported, "doc_id", learnt)
+
+
+@REGISTRY(f"WITH {_OUTCOMES} SELECT doc_id, status, category, array_to_string(prune, ',') AS prune FROM outcomes")
+def false_positive_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outcomes(spark, sf_dir, _learnt(spark, sf_dir)).withColumn("prune", F.array_join("prune", ","))
+
+
+@REGISTRY(f"""WITH {_OUTCOMES} SELECT category, keyword FROM learnt
+WHERE (category, keyword) NOT IN (SELECT (category, k) FROM (SELECT category, UNNEST(prune) AS k FROM outcomes WHERE status = 'pruned'))""")
 def pruned_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    learned = _keywords(spark, sf_dir).select(F.lit("learned").alias("category"), "keyword").distinct()
-    toxic = read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
-    return A.pruned(learned, read(spark, sf_dir, "documents").join(toxic, "doc_id"))
+    learnt = _learnt(spark, sf_dir)
+    return A.pruned(learnt, _outcomes(spark, sf_dir, learnt))
 
 
-@REGISTRY("""SELECT status, count(*) AS n FROM (SELECT CASE WHEN item_id % 3 = 1 THEN 'approved' WHEN item_id % 3 = 2 THEN 'rejected' WHEN item_id % 100 / 1000.0 <= 0.01 THEN 'approved' ELSE 'pending' END AS status FROM benchmark) GROUP BY status""")
+@REGISTRY(f"""WITH {_HISTORY}, r AS (SELECT item_id, lower(trim(text)) AS pattern FROM benchmark),
+f AS (SELECT *, round((SELECT count(*) FROM hist WHERE contains(t, pattern)) / (SELECT count(*) FROM hist), 4) AS rate FROM r)
+SELECT CAST(item_id AS VARCHAR) AS rule_id, rate AS false_positive_rate,
+  CASE WHEN item_id IN (4, 5) THEN 'rejected' WHEN item_id % 2 = 1 OR item_id IN (0, 2) OR rate <= 0.001 THEN 'approved' ELSE 'pending' END AS status FROM f""")
 def rule_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    item = F.col("item_id")
-    rules = read(spark, sf_dir, "benchmark").select(item.cast("string").alias("rule_id"), F.col("text").alias("pattern"), (item % 100 / 1000.0).alias("false_positive_rate"), F.when(item % 3 == 1, "approved").when(item % 3 == 2, "rejected").otherwise("pending").alias("status"))
-    return A.reviewed(rules, approve_all_below=0.01).groupBy("status").agg(F.count("*").alias("n"))
+    item, reports = F.col("report_id"), _reports(spark, sf_dir).withColumn("pattern", F.lower(F.btrim("text")))
+    rates = A.false_positive_rates(reports.select(F.col("pattern").alias("term")), _benign(spark, sf_dir), "text").select(F.col("term").alias("pattern"), "rate")
+    status = F.when((item % 2 == 1) & (item != 5), "approved").otherwise("pending")
+    rules = reports.join(rates, "pattern").select(item.cast("string").alias("rule_id"), "pattern", F.col("rate").alias("false_positive_rate"), status.alias("status"))
+    return A.reviewed(rules, approve=["0", "2"], reject=["4", "5"], approve_all_below=0.001).select("rule_id", "false_positive_rate", "status")
+
+
+@REGISTRY("""SELECT (SELECT count(*) FROM documents) AS total_scans, (SELECT count(*) FROM benchmark) AS total_reports, count(*) FILTER (item_id % 2 = 1) AS approved_rules,
+  count(*) FILTER (item_id % 2 = 0) AS pending_rules, count(DISTINCT lower(text)) FILTER (item_id % 2 = 1) AS active_custom_rules FROM benchmark""")
+def adaptive_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = read(spark, sf_dir, "benchmark").select(F.col("text").alias("pattern"), F.when(F.col("item_id") % 2 == 1, "approved").otherwise("pending").alias("status"))
+    return A.statistics(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), rules)
+
+
+@REGISTRY("SELECT event_id AS report_id, ts FROM events ORDER BY ts DESC, event_id")
+def newest_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.listed_reports(read(spark, sf_dir, "events").select(F.col("event_id").alias("report_id"), "ts"))
+
+
+# -- all stages: the screen, learnt rules, categories --
+@REGISTRY(f"""{_VERDICT}, {_LEARNT},
+usable AS (SELECT DISTINCT keyword AS term FROM learnt, LATERAL (SELECT upper(keyword) AS word) WHERE contains(keyword, ' ') OR list_contains({literal([*L.SECURITY_BASE, *L.ACTIONS, *L.TARGETS])}, word) OR regexp_matches(word, '[-_]') OR NOT regexp_matches(word, '^[\\p{{L}}\\p{{N}}]+$') OR length(word) >= 7 OR regexp_matches(word, '[^\\x{{0}}-\\x{{24F}}]')),
+by_rule AS (SELECT doc_id, count(*) AS n_rules FROM synth JOIN usable ON contains(lower(input), term) GROUP BY doc_id HAVING count(*) >= 2),
+words AS ({_FIXED} UNION SELECT category, keyword FROM learnt),
+by_kind AS (SELECT doc_id, min(category) AS category FROM (SELECT doc_id, category FROM synth JOIN words ON contains(lower(input), keyword) GROUP BY doc_id, category HAVING count(*) >= 3) GROUP BY doc_id)
+SELECT doc_id, layer IS NULL AND n_rules IS NULL AND category IS NULL AS allowed,
+  CASE WHEN layer IS NOT NULL THEN 'filter' WHEN n_rules IS NOT NULL THEN 'rules' WHEN category IS NOT NULL THEN 'categories' ELSE 'passed' END AS stage,
+  CASE WHEN layer IS NOT NULL THEN layer WHEN n_rules IS NOT NULL THEN n_rules || ' rules' ELSE category END AS reason
+FROM verdicts LEFT JOIN by_rule USING (doc_id) LEFT JOIN by_kind USING (doc_id)""")
+def staged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learnt = _learnt(spark, sf_dir)
+    rules = learnt.select(F.col("keyword").alias("pattern")).distinct()
+    return A.scanned(_synth(spark, sf_dir), "doc_id", "input", rules, learnt).drop("clean")
+
+
+# -- text out of files: pages without their tags --
+_QUICK = ["IGNORE ALL", "IGNORE PREVIOUS", "DISREGARD", "SYSTEM PROMPT", "NEW INSTRUCTIONS", "JAILBREAK", "ADMIN PASSWORD", "YOU ARE NOW", "OVERRIDE", "BYPASS", "DEVELOPER MODE", "FORGET EVERYTHING"]
+
+
+@REGISTRY(_VERDICT.replace(SYNTH, PAGES_SQL) + """SELECT doc_id AS page_id, trim(clean) = '' OR layer IS NULL AS allowed,
+  CASE WHEN trim(input) = '' THEN 'empty' WHEN layer IS NULL THEN 'validated' ELSE 'injection in HTML text: ' || layer END AS reason FROM verdicts JOIN cleaned USING (doc_id)""")
+def extracted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.extracted_text_verdicts(page_texts(read(spark, sf_dir, "pages")), "input", "HTML").select("page_id", "allowed", "reason")
+
+
+@REGISTRY(f"""SELECT doc_id AS page_id, {_found('upper(input)', _QUICK)} = 0 AS allowed,
+  CASE WHEN trim(input) = '' THEN 'empty' WHEN {_found('upper(input)', _QUICK)} > 0 THEN 'keyword in HTML text' ELSE 'validated' END AS reason FROM ({PAGES_SQL})""")
+def extracted_text_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.extracted_text_verdicts(page_texts(read(spark, sf_dir, "pages")), "input", "HTML", _QUICK).select("page_id", "allowed", "reason")
+
+
+# -- tiers: what the screen lets through goes to two providers, here plain functions of the text --
+@REGISTRY(f"""{_VERDICT}, tiers AS (SELECT layer IS NULL AND length(input) % 3 <> 0 AND length(input) % 4 <> 0 AS allowed,
+  CASE WHEN layer IS NOT NULL THEN layer WHEN length(input) % 3 <> 0 AND length(input) % 4 <> 0 THEN 'consensus_allowed' WHEN length(input) % 3 = 0 AND length(input) % 4 = 0 THEN 'consensus_blocked' ELSE 'consensus_mismatch' END AS layer
+  FROM verdicts JOIN synth USING (doc_id)) SELECT layer, allowed, count(*) AS n FROM tiers GROUP BY ALL""")
+def tiered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    providers = {"three": lambda t: "UNSAFE" if len(t) % 3 == 0 else "SAFE", "four": lambda t: "UNSAFE" if len(t) % 4 == 0 else "SAFE"}
+    return C.counters(C.tiered(S.screened(_synth(spark, sf_dir), "input"), "doc_id", "input", providers))
+
+
+# -- which rules gave a verdict --
+_FAMILIES = {"actions": L.ACTIONS, "high_confidence": L.HIGH_CONFIDENCE, "security": L.SECURITY_BASE, "signals": list(L.SIGNALS), "stopwords": L.STOPWORDS, "targets": L.TARGETS}
+
+
+@REGISTRY(" UNION ALL ".join(f"SELECT '{k}' AS family, CAST(len({literal(v)}) AS BIGINT) AS n_terms, sha256(array_to_string(list_sort({literal(v)}), chr(10))) AS version" for k, v in _FAMILIES.items()))
+def ruleset_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = spark.createDataFrame([(k, t) for k, v in _FAMILIES.items() for t in v], "family string, term string")
+    return terms.groupBy("family").agg(F.count("*").alias("n_terms"), F.sha2(F.array_join(F.array_sort(F.collect_list("term")), "\n"), 256).alias("version"))
