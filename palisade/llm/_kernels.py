@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +12,10 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that kernels hold as 8-byte numbers at a time (a longer text is taken alone).
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Bytes of a word that a polynomial stands for; longer ones get a digest.
+LONG_WORD = 64
+_LOWER = bytes(b + 32 if 65 <= b < 91 else b for b in range(256))
 
 _BASE = U64(0x9E3779B97F4A7C15)
 _INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -24,6 +29,15 @@ _OTHER = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker lives on between tasks, beside others and a JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     if len(_powers[0]) < n:
@@ -95,27 +109,43 @@ class Words:
     from 0x80), in the order of a block's texts; none crosses two texts.
 
     begin, end: bytes in texts.data; doc: the text's number; hash (if asked for): of the bytes, fold: with A-Z as a-z.
+    Bytes are looked at CHUNK by CHUNK, wherever texts begin, so a long text takes no more memory than short ones.
     """
 
     def __init__(self, texts: Texts, fold: bool = False, hashes: bool = True, alnum: bool = False):
-        parts = [self._of(first, data, offsets, int(texts.offsets[first]), fold, hashes, _OTHER if alnum else _SPACE) for first, _, data, offsets in texts.chunks()]
-        self.begin, self.end, self.doc, self.hash = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*parts, strict=True) if parts else [[]] * 4))
-        self.hash = self.hash.astype(U64, copy=False)
+        data, between = texts.data, _OTHER if alnum else _SPACE
+        parts = [self._edges(data, texts.offsets, at, min(at + CHUNK, len(data)), between) for at in range(0, len(data), CHUNK)]
+        self.begin, self.end = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*parts, strict=True) if parts else ((), ())))
+        self.doc = np.searchsorted(texts.offsets, self.begin, "right") - 1
+        self.hash = self._hashes(data, fold) if hashes else np.zeros(0, U64)
         self.count = np.bincount(self.doc, minlength=len(texts))
 
     @staticmethod
-    def _of(first, data, offsets, at, fold, hashes, between):
-        n = len(data)
-        inside = ~between[data]
-        edge = np.zeros(n + 1, bool)
-        edge[offsets] = True
-        before, after = np.zeros(n, bool), np.zeros(n, bool)
-        before[1:], after[:-1] = inside[:-1], inside[1:]
-        begin = np.flatnonzero(inside & (~before | edge[:n]))
-        end = np.flatnonzero(inside & (~after | edge[1:])) + 1
-        doc = np.searchsorted(offsets, begin, "right") - 1 + first
-        h = spans(prefix_sums((_FOLDED if fold else _VALUES)[data]), begin, end) if hashes else np.zeros(0, U64)
-        return begin + at, end + at, doc, h
+    def _edges(data, offsets, a, b, between):
+        """Where words begin in [a, b), and where words end whose last byte is there."""
+        inside = np.zeros(b - a + 2, bool)  # with one byte before and one behind
+        low, high = max(a - 1, 0), min(b + 1, len(data))
+        inside[low - a + 1 : high - a + 1] = ~between[data[low:high]]
+        edge = np.zeros(b - a + 1, bool)
+        edge[offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b, "right")] - a] = True
+        begin = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
+        end = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
+        return begin + a, end + a
+
+    def _hashes(self, data: np.ndarray, fold: bool) -> np.ndarray:
+        """Polynomials of the bytes modulo 2**64; digests for long words, where such polynomials of two texts can be equal by construction."""
+        values, out, first = _FOLDED if fold else _VALUES, np.empty(len(self.begin), U64), 0
+        while first < len(out):
+            at = int(self.begin[first])
+            last = max(first + 1, int(np.searchsorted(self.end, at + CHUNK, "right")))
+            if last > first + 1 or self.end[first] - at <= LONG_WORD:
+                s = prefix_sums(values[data[at : self.end[last - 1]]])
+                out[first:last] = spans(s, self.begin[first:last] - at, self.end[first:last] - at)
+            first = last
+        for k in np.flatnonzero(self.end - self.begin > LONG_WORD).tolist():
+            word = data[self.begin[k] : self.end[k]].tobytes()
+            out[k] = int.from_bytes(hashlib.blake2b(word.translate(_LOWER) if fold else word, digest_size=8).digest(), "little")
+        return out
 
     def __len__(self) -> int:
         return len(self.begin)
@@ -146,15 +176,22 @@ class Words:
         return out[inside], at, at + size
 
 
-def text_slices(batch: pa.RecordBatch, size: int = 4 * CHUNK) -> Iterator[Texts]:
-    """The documents of an Arrow batch, in turns of about `size` bytes of text (a longer one alone)."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    first = 0
-    while first < batch.num_rows:
-        done = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, done + size, "right")))
-        yield Texts(pa.Table.from_batches([batch.slice(first, last - first)]))
-        first = last
+def slices(batches: Iterator[pa.RecordBatch], size: int = 4 * CHUNK) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in turns of about `size` bytes of their column text (a longer text alone)."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < batch.num_rows:
+            done = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + size, "right")))
+            yield batch.slice(first, last - first)
+            first = last
+    release()
+
+
+def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Texts]:
+    """The documents of Arrow batches, in turns."""
+    return (Texts(pa.Table.from_batches([part])) for part in slices(batches))
 
 
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Raw text bytes that one block of documents holds on average; a task works on one block at a time.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 LOWEST_ID = -(1 << 63)
 
 _shipped: set[str] = set()
@@ -34,18 +34,25 @@ def ship(spark: SparkSession) -> None:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the folder named by spark.checkpoint.dir, without its lineage.
 
-    A folder of our own is set only where the session names none (local tests).
+    A folder of our own is set only in local mode, where driver and executors are one process.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="palisade-ckpt-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="palisade-ckpt-"))
     return df.checkpoint(eager=True)
 
 
-def block_count(docs: DataFrame, text: str = "text", least: int = 12, size: int = BLOCK_BYTES) -> int:
-    """Blocks for all of docs at about `size` bytes of text each; one aggregate over the column."""
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(least, math.ceil(total / size))
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    """Bytes of all texts; one aggregate over the column."""
+    return int(docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0)
+
+
+def block_count(size: int, least: int = 12, block: int = BLOCK_BYTES) -> int:
+    """Blocks for so many bytes of text at about `block` bytes each."""
+    return max(least, math.ceil(size / block))
 
 
 def documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -57,8 +64,8 @@ def documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
 
 def blocked(docs: DataFrame, n: int) -> DataFrame:
-    """documents() with a block number each, dealt out by it once; every later use reuses that exchange."""
-    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(n, "block")
+    """documents() with a block number each, dealt out one block to a partition; every later use reuses that exchange."""
+    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartitionById(n, "block")
 
 
 def public_id(name: str = "doc_id"):

@@ -22,6 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from palisade.llm import _session as S
+from palisade.llm._kernels import slices
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean"
 #: Parts of texts remembered by a worker, four times this at most, each of up to LONG characters.
@@ -238,7 +239,7 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(pattern)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             sums = [[hashlib.sha256(), hashlib.sha256(), 0] for _ in texts]
             for k, ids in v.pieces(texts):

@@ -173,7 +173,7 @@ def _sent(docs: DataFrame, items: DataFrame, window: int, share: float) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = Benchmark(sent.value, window, share)
-        for texts in (t for batch in batches for t in text_slices(batch)):
+        for texts in text_slices(batches):
             words = Words(texts, fold=True, alnum=True)
             first = np.concatenate(([0], np.cumsum(words.count)))
             out: dict = {}
@@ -189,7 +189,7 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, share: float) -> Dat
     """Both sides' seeds meet by a shuffle join; pairs get their texts by further joins. Nothing is broadcast."""
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in (t for batch in batches for t in text_slices(batch)):
+        for texts in text_slices(batches):
             n = np.unique(np.minimum(Words(texts, hashes=False, alnum=True).count, window))
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n"])
 
@@ -198,7 +198,7 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, share: float) -> Dat
 
     def of(item: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for texts in (t for batch in batches for t in text_slices(batch)):
+            for texts in text_slices(batches):
                 words = Words(texts, fold=True, alnum=True)
                 first = np.concatenate(([0], np.cumsum(words.count)))
                 for mask, lengths in wanted.items():

@@ -1,6 +1,6 @@
 """Grouped prefix join for Jaccard similarity of word shingles.
 
-Shingles are ordered by how many documents hold them, rarest first, so a link needs a common shingle in both prefixes.
+Shingles are ordered by an estimate of how many documents hold them (a count-min sketch), rarest first, so a link needs a common shingle in both prefixes.
 Documents with the same set are one class; classes with the same prefix and size are one group, and only groups enter
 the inverted lists. Groups that lists connect form a family; families are expanded to classes and verified exactly,
 small ones whole, large ones in blocks: there a first pass verifies each class against the heads of its lists, and pairs
@@ -47,11 +47,6 @@ def shingle_sets(texts: Texts, width: int) -> list[np.ndarray]:
     return out
 
 
-def frequency_code(total: np.ndarray) -> bytes:
-    """A byte that grows with the count: exact to 200, then eighths of powers of two."""
-    return np.where(total <= 200, total, np.minimum(200 + 8 * np.log2(np.maximum(total, 200) / 200), 255)).astype(np.uint8).tobytes()
-
-
 def similar(a: np.ndarray | int, b: np.ndarray | int, common: np.ndarray | int, percent: int):
     """Whether common / (a + b - common) reaches percent, in whole numbers."""
     return (100 + percent) * common >= percent * (a + b)
@@ -92,18 +87,18 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 75) -> Dat
     keep one row each and count as linked. Null ids rank first. An empty table gives an empty one. Other columns are ignored.
     """
     S.ship(docs.sparkSession)
-    n = S.block_count(docs)
+    size = S.text_bytes(docs)
+    n = S.block_count(size)
     docs = S.blocked(S.documents(docs), n)
+    sketch = X.CountMin(size)
 
     def count(block: int, table: pa.Table):
-        return X.sketch(block, *np.unique(X.cells(np.concatenate([np.zeros(0, U64), *shingle_sets(Texts(table), width)]), n), return_counts=True))
+        return sketch.add(block, np.concatenate([np.zeros(0, U64), *shingle_sets(Texts(table), width)]))
 
     def rows(docs_: pa.Table, got: pa.Table) -> pa.Table:
         texts = Texts(docs_)
         sets = shingle_sets(texts, width)
-        flat = np.concatenate([np.zeros(0, U64), *sets])
-        keys, inverse = np.unique(X.cells(flat, n), return_inverse=True)
-        code = X.answered(keys, X.answers(got), lambda body, _: np.frombuffer(body, np.uint8), np.uint8)[inverse]
+        code = sketch.estimates(np.concatenate([np.zeros(0, U64), *sets]), X.answers(got))
         out, seen, at = [], set(), 0
         for doc_id, s in zip(texts.ids.tolist(), sets, strict=True):
             size = len(s)
@@ -127,8 +122,8 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 75) -> Dat
         types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "n", "set_id", "prefix_id", "tokens", "shingles"])
 
-    marks = X.meet(X.send(docs, count), lambda t: X.merge_sketches(t, frequency_code))
-    table = S.checkpointed(X.back(docs, marks, rows, _ROWS))
+    marks = X.meet(X.send(docs, count), sketch.shards, sketch.merge)
+    table = S.checkpointed(X.back(docs, marks, n, rows, _ROWS))
 
     # classes: the first document of each set; then groups of classes with the same prefix and size
     first = Window.partitionBy("set_id").orderBy("id")

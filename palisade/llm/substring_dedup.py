@@ -1,7 +1,7 @@
 """Substring dedup behind a count-min prefilter.
 
-Pass 1: each block of documents makes a sketch of its word windows; the sketches of a shard of the hash space are
-added and tell each block which of its windows may occur twice (never fewer than do). Pass 2: only those windows
+Pass 1: each block of documents makes a count-min sketch of its word windows (two rows of counters); the sketches are merged region by
+region and give each block an estimate for each window, never below how often it occurs. Pass 2: only windows estimated to occur twice
 are grouped exactly, by a 128-bit digest of their words, to the smallest document that holds each. Both passes send
 one entry per window and block, so neither a window in a third of all documents nor a document of copies gathers rows.
 """
@@ -31,19 +31,19 @@ def repeated_windows(docs: DataFrame, width: int = 13, emit_text: bool = True) -
     Null ids rank first. An empty table gives an empty one. Other columns are ignored.
     """
     S.ship(docs.sparkSession)
-    n = S.block_count(docs)
+    size = S.text_bytes(docs)
+    n = shards = S.block_count(size)
     docs = S.blocked(S.documents(docs), n)
+    sketch = X.CountMin(size)
 
     def count(block: int, table: pa.Table):
-        _, hashes = Words(Texts(table)).windows(width)
-        return X.sketch(block, *np.unique(X.cells(hashes, n), return_counts=True))
+        return sketch.add(block, Words(Texts(table)).windows(width)[1])
 
     def choose(docs_: pa.Table, got: pa.Table) -> pa.Table:
         block, texts = X.block_of(docs_, got), Texts(docs_)
         words = Words(texts)
         first, hashes = words.windows(width)
-        keys, inverse = np.unique(X.cells(hashes, n), return_inverse=True)
-        likely = X.repeated(keys, X.answers(got))[inverse]
+        likely = sketch.estimates(hashes, X.answers(got)) >= 2
         first = first[likely]
         joined, begin, end = words.joined(texts.data)
         joined, blake = joined.tobytes(), hashlib.blake2b
@@ -52,13 +52,13 @@ def repeated_windows(docs: DataFrame, width: int = 13, emit_text: bool = True) -
         _, at = np.unique(entry, return_index=True)  # documents come in order of doc_id
         least = texts.ids[words.doc[first[at]]]
         digests = np.frombuffer(b"".join(entries), np.uint8).reshape(-1, 16)
-        shard = (digests[:, :4].copy().view(np.uint32)[:, 0] % n).astype(np.int64)
+        shard = (digests[:, :4].copy().view(np.uint32)[:, 0] % shards).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         # to itself: which windows are likely, which of those come first in the block, the entries of the others, the entries' shards
         again = np.ones(len(first), bool)
         again[at] = False
-        rows = [(block % n, block, b"S" + X.pack(np.packbits(likely), np.packbits(again), entry[again].astype(np.uint32), shard.astype(np.uint32)))]
-        edges = np.searchsorted(shard[order], np.arange(n + 1))
+        rows = [(block % shards, block, b"S" + X.pack(np.packbits(likely), np.packbits(again), entry[again].astype(np.uint32), shard.astype(np.uint32)))]
+        edges = np.searchsorted(shard[order], np.arange(shards + 1))
         for s in np.flatnonzero(np.diff(edges)).tolist():
             part = order[edges[s] : edges[s + 1]]
             rows.append((s, block, b"K" + X.pack(digests[part].reshape(-1).view(np.uint64), least[part])))
@@ -107,7 +107,7 @@ def repeated_windows(docs: DataFrame, width: int = 13, emit_text: bool = True) -
         kept = [x.decode() for x in kept] if emit_text else [hashlib.sha256(x).hexdigest() for x in kept]
         return pa.table({"doc_id": pa.array(texts.ids, pa.int64()), "n_words": pa.array(words.count, pa.int64()), "n_removed": pa.array(words.count - (b - a), pa.int64()), "kept": pa.array(kept, pa.string())})
 
-    marks = X.meet(X.send(docs, count), lambda t: X.merge_sketches(t, X.at_least_two))
-    sent = X.back(docs, marks, choose, X.MESSAGE)
-    out = X.back(docs, X.meet(sent, group), remove, SCHEMA)
+    marks = X.meet(X.send(docs, count), sketch.shards, sketch.merge)
+    sent = X.back(docs, marks, n, choose, X.MESSAGE)
+    out = X.back(docs, X.meet(sent, shards, group), n, remove, SCHEMA)
     return out.select(S.public_id(), "n_words", "n_removed", "kept")

@@ -2,15 +2,17 @@
 
 Every string of `width` bytes is filed under its anchor, the least hash among its `seed`-byte substrings: equal strings
 have the same anchor, so suffix arrays can be built apart for each shard of the anchors' hash space. Pass 1 counts
-anchors (sketches, see _exchange); text without a repeated anchor holds no repeated string and is left out.
-Pass 2 sorts the suffixes of what remains, first within each block of documents, which resolves local copies, then,
-for strings that are first in their block, in the anchor's shard. In both, a suffix whose longest previous factor
-reaches `width` is removed. A passage in a third of all documents reaches its shard once per block.
+anchors (a count-min sketch, see _exchange); text without a repeated anchor holds no repeated string and is left out.
+Pass 2 sorts the suffixes of what remains, first in each block of documents, piece by piece, which resolves local copies,
+then, for strings that are first in their piece, in the anchor's shard. In both, the previous and the next smaller position
+in suffix order give each suffix its longest previous factor, and where that reaches `width` the string is a later copy.
+A passage in a third of all documents reaches its shard once per piece.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +20,11 @@ from pyspark.sql import DataFrame
 
 from palisade.llm import _exchange as X
 from palisade.llm import _session as S
-from palisade.llm._kernels import _VALUES, U64, Texts, prefix_sums, spans
+from palisade.llm._kernels import _VALUES, CHUNK, U64, Texts, prefix_sums, spans
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept string"
-#: Bytes of contexts that a shard sorts at a time.
-SORTED = 1 << 20
+#: Bytes of text whose suffixes are sorted at a time, in a block and in a shard; and of text that a shard stands for.
+SORTED, PIECE, SHARD_BYTES = 1 << 20, 1 << 20, 12 << 20
 
 
 def ordered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,51 +74,112 @@ def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
         key = (rank[active].astype(U64) << U64(wide)) | second.astype(U64)
 
 
-def previous_factor(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """For each of the ascending starts the latest smaller start with the same `width` bytes, or -1.
+def common_prefix(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """How many bytes, up to `most`, the suffixes at a and b have in common, each pair for itself."""
+    n = len(data)
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = data
+    eight = np.lib.stride_tricks.as_strided(padded, (n + 1, 8), (1, 1))
+    out = np.zeros(len(a), np.int64)
+    active = np.arange(len(a))
+    while len(active):
+        at = out[active]
+        x, y = a[active] + at, b[active] + at
+        left = np.minimum(most - at, n - np.maximum(x, y))
+        differ = eight[np.minimum(x, n)] != eight[np.minimum(y, n)]
+        equal = np.where(differ.any(1), differ.argmax(1), 8)
+        out[active] = at + np.minimum(equal, left)
+        active = active[(equal == 8) & (left > 8)]
+    return out
+
+
+def smaller_before(position: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry of a suffix array (its position): the nearest entry before with a smaller position, -1 without one,
+    and the least of the common prefixes on the way (shared[i]: of entries i - 1 and i).
 
-    This is the longest-previous-factor array cut at `width`: in suffix order to that depth equal suffixes stand in
-    order of position, so the previous smaller position of a suffix, when it matches to full depth, is the entry
-    before it; the next smaller position never does, because what follows in the same class is larger.
+    Every entry points to the one before it; while that has a greater position, the pointer goes on to where that one points, and
+    all between are greater too, so pointers double their reach in each round.
     """
-    out = np.full(len(starts), -1, np.int64)
-    if len(starts):
-        rank, order = ordered(suffix_ranks(data, width)[starts].astype(U64))
-        same = np.flatnonzero(rank[1:] == rank[:-1])
-        out[order[same + 1]] = starts[order[same]]
-    return out
+    n = len(position)
+    at, least = np.arange(-1, n - 1), shared.copy()
+    active = np.flatnonzero(at >= 0)
+    active = active[position[at[active]] > position[active]]
+    while len(active):
+        over = at[active]
+        to, low = at[over], np.minimum(least[active], least[over])
+        at[active], least[active] = to, low
+        ends = to < 0
+        least[active[ends]] = 0
+        active = active[~ends]
+        active = active[position[at[active]] > position[active]]
+    least[at < 0] = 0
+    return at, least
 
 
-def anchors(texts: Texts, width: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of consecutive strings with one anchor: the anchor's hash, first start and last start, in bytes of the block."""
-    found = []
+def previous_factor(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous factors: for each of the ascending starts, how many bytes (up to `width`) its suffix shares with one
+    at a smaller start, and a smaller start that shares most (-1 where none shares any).
+
+    In suffix order, the smaller starts that share most are the nearest before and the nearest behind.
+    """
+    length, source = np.zeros(len(starts), np.int64), np.full(len(starts), -1, np.int64)
+    if not len(starts):
+        return length, source
+    rank, order = ordered(suffix_ranks(data, width)[starts].astype(U64))
+    position = starts[order]
+    shared = np.full(len(order), width, np.int64)
+    apart = np.flatnonzero(rank[1:] != rank[:-1]) + 1  # the others agree in all their `width` bytes
+    shared[apart], shared[0] = common_prefix(data, position[apart - 1], position[apart], width), 0
+    before, long_before = smaller_before(position, shared)
+    behind, long_behind = smaller_before(position[::-1], np.append(0, shared[1:][::-1]))
+    behind, long_behind = len(order) - 1 - behind[::-1], long_behind[::-1]  # entries without one point past the end
+    best = np.maximum(long_before, long_behind)
+    from_ = np.where(long_before >= long_behind, before, behind)
+    length[order] = best
+    source[order] = np.where(best > 0, position[np.clip(from_, 0, len(order) - 1)], -1)
+    return length, source
+
+
+def _anchors(data: np.ndarray, offsets: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.diff(offsets)
+    if len(data) < width or sizes.max() < width:
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     each = width - seed + 1
-    for begin, _, data, offsets in texts.chunks():
-        sizes = np.diff(offsets)
-        if len(data) < width or sizes.max() < width:
-            continue
-        at = int(texts.offsets[begin])
-        h = spans(prefix_sums(_VALUES[data]), np.arange(len(data) - seed + 1), np.arange(seed, len(data) + 1))
-        bits = max(24, len(data).bit_length())
-        low = U64((1 << bits) - 1)
-        n = len(h)
-        packed = np.full(-(-n // each) * each + each, ~U64(0))
-        packed[:n] = (h & ~low) | np.arange(n, dtype=U64)
-        rows = packed.reshape(-1, each)
-        fore = np.minimum.accumulate(rows, axis=1).reshape(-1)
-        back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-        valid = np.zeros(len(data) + 1, np.int8)
-        long = sizes >= width
-        np.add.at(valid, offsets[:-1][long], 1)
-        np.add.at(valid, offsets[1:][long] - width + 1, -1)
-        start = np.flatnonzero(np.cumsum(valid[:-1], dtype=np.int8))
-        place = (np.minimum(back[start], fore[start + each - 1]) & low).astype(np.int64)
-        new = np.ones(len(start), bool)
-        new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(start)) - 1
-        found.append((h[place[first]], start[first] + at, start[last] + at))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    h = spans(prefix_sums(_VALUES[data]), np.arange(len(data) - seed + 1), np.arange(seed, len(data) + 1))
+    bits = max(24, len(data).bit_length())
+    low = U64((1 << bits) - 1)
+    n = len(h)
+    packed = np.full(-(-n // each) * each + each, ~U64(0))
+    packed[:n] = (h & ~low) | np.arange(n, dtype=U64)
+    rows = packed.reshape(-1, each)
+    fore = np.minimum.accumulate(rows, axis=1).reshape(-1)
+    back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    valid = np.zeros(len(data) + 1, np.int8)
+    long = sizes >= width
+    np.add.at(valid, offsets[:-1][long], 1)
+    np.add.at(valid, offsets[1:][long] - width + 1, -1)
+    start = np.flatnonzero(np.cumsum(valid[:-1], dtype=np.int8))
+    place = (np.minimum(back[start], fore[start + each - 1]) & low).astype(np.int64)
+    new = np.ones(len(start), bool)
+    new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(start)) - 1
+    return h[place[first]], start[first], start[last]
+
+
+def anchors(texts: Texts, width: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive strings with one anchor: the anchor's hash, first start and last start, in bytes of the block.
+
+    A long text is taken in turns, each with the bytes that its last string needs from the next.
+    """
+    found = [(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for first, last, data, offsets in texts.chunks():
+        at = int(texts.offsets[first])
+        for a in range(0, len(data), CHUNK) if last == first + 1 else (0,):
+            part = data[a : a + CHUNK + width - 1] if last == first + 1 else data
+            key, begin, end = _anchors(part, np.array([0, len(part)]) if last == first + 1 else offsets, width, seed)
+            found.append((key, begin + at + a, end + at + a))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -147,53 +210,63 @@ def repeated_strings(docs: DataFrame, width: int = 100, emit_text: bool = True)
     first. An empty table gives an empty one. Other columns are ignored.
     """
     S.ship(docs.sparkSession)
-    n = S.block_count(docs)
+    size = S.text_bytes(docs)
+    n, shards = S.block_count(size), S.block_count(size, block=SHARD_BYTES)
     docs = S.blocked(S.documents(docs), n)
     seed = max(1, min(24, width // 2))
+    sketch = X.CountMin(size, per_byte=0.2)  # an anchor stands for some forty strings
 
     def count(block: int, table: pa.Table):
-        key, _, _ = anchors(Texts(table), width, seed)
-        return X.sketch(block, *np.unique(X.cells(key, n), return_counts=True))
-
-    def totals(total: np.ndarray) -> bytes:
-        return np.minimum(total, 255).astype(np.uint8).tobytes()
+        return sketch.add(block, anchors(Texts(table), width, seed)[0])
 
     def local(docs_: pa.Table, got: pa.Table) -> pa.Table:
         block, texts = X.block_of(docs_, got), Texts(docs_)
         key, first, last = anchors(texts, width, seed)
-        cell, inverse, own = np.unique(X.cells(key, n), return_inverse=True, return_counts=True)
-        total = X.answered(cell, X.answers(got), lambda body, _: np.frombuffer(body, np.uint8), np.uint8)
-        likely = total[inverse] >= 2
-        elsewhere = ((total > np.minimum(own, 255)) | (total == 255))[inverse][likely]
-        key, first, last = key[likely], first[likely], last[likely]
+        total = sketch.estimates(key, X.answers(got))
+        likely = total >= 2
+        key, first, last, total = key[likely], first[likely], last[likely], total[likely]
+        sent, copies = [], []
+        bytes_ = np.cumsum(last - first + 1)
+        for a, b in pairwise([*(np.searchsorted(bytes_, np.arange(0, bytes_[-1], PIECE)).tolist() if len(first) else ()), len(first)]):
+            copy, open_ = piece(texts, key[a:b], first[a:b], last[a:b], total[a:b])
+            copies.append(copy)
+            sent.append(open_)
+        copies = [np.concatenate([np.zeros(0, np.int64), *x]).astype(np.uint32) for x in (zip(*copies, strict=True) if copies else ((), ()))]
+        rows = [(block % shards, block, b"S" + X.packed(*copies))]
+        key, begin, many = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((U64, np.int64, np.int64), zip(*sent, strict=True) if sent else ((),) * 3, strict=True))
+        shard = (key >> U64(32)) % U64(shards)
+        order = np.argsort(shard, kind="stable")
+        edges = np.searchsorted(shard[order], np.arange(shards + 1, dtype=U64))
+        ids = texts.ids[np.searchsorted(texts.offsets, begin, "right") - 1]
+        for s in np.flatnonzero(np.diff(edges)).tolist():
+            x = order[edges[s] : edges[s + 1]]
+            rows.append((s, block, b"K" + X.pack(key[x].astype(np.uint32), ids[x], begin[x].astype(np.uint32), many[x].astype(np.uint32), texts.data[ranges(begin[x], many[x] + width - 1)])))
+        return X.messages(rows)
+
+    def piece(texts: Texts, key: np.ndarray, first: np.ndarray, last: np.ndarray, total: np.ndarray):
+        """Of some runs of likely strings: copies of earlier ones among them (first, how many), and runs that others may hold too."""
+        _, inverse, own = np.unique(key, return_inverse=True, return_counts=True)
+        elsewhere = (total > np.minimum(own, 255)[inverse]) | (total == 255)
         run = np.repeat(np.arange(len(first)), last - first + 1)
         start = ranges(first, last - first + 1)
         # the text of all these strings, without the gaps between
         a, b = runs(start)
-        doc = np.searchsorted(texts.offsets, start, "right") - 1
+        doc = np.searchsorted(texts.offsets, start[a], "right")
         begin, end = start[a], start[b] + width
         touch = np.zeros(len(begin), bool)
-        touch[1:] = (begin[1:] <= end[:-1]) & (doc[a][1:] == doc[b][:-1])
+        touch[1:] = (begin[1:] <= end[:-1]) & (doc[1:] == doc[:-1])
         overlap = np.zeros(len(begin), np.int64)
         overlap[1:] = np.where(touch[1:], end[:-1] - begin[1:], 0)
         size = end - begin - overlap
         gathered = texts.data[ranges(begin + overlap, size)]
         shift = np.cumsum(size) - size - begin - overlap
-        copy = previous_factor(gathered, start + np.repeat(shift, b - a + 1), width) >= 0
+        copy = previous_factor(gathered, start + np.repeat(shift, b - a + 1), width)[0] >= width
         a, b = runs(start[copy])
-        rows = [(block % n, block, b"S" + X.pack(start[copy][a].astype(np.uint32), (b - a + 1).astype(np.uint32)))]
+        copies = (start[copy][a], b - a + 1)
         open_ = ~copy & elsewhere[run]
-        start, run, doc = start[open_], run[open_], doc[open_]
+        start, run = start[open_], run[open_]
         a, b = runs(start, run)
-        home = X.cells(key[run[a]], n)
-        shard, home = (home >> U64(32)).astype(np.int64), home.astype(np.uint32)
-        order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(n + 1))
-        begin, many, ids = start[a], b - a + 1, texts.ids[doc[a]]
-        for s in np.flatnonzero(np.diff(edges)).tolist():
-            x = order[edges[s] : edges[s + 1]]
-            rows.append((s, block, b"K" + X.pack(home[x], ids[x], begin[x].astype(np.uint32), many[x].astype(np.uint32), texts.data[ranges(begin[x], many[x] + width - 1)])))
-        return X.messages(rows)
+        return copies, (key[run[a]], start[a], b - a + 1)
 
     def across(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
@@ -214,22 +287,22 @@ def repeated_strings(docs: DataFrame, width: int = 100, emit_text: bool = True)
                 x = x[np.lexsort((begin[x], ids[x]))]
                 text = data[ranges(at[x], size[x])]
                 place = np.cumsum(size[x]) - size[x]
-                copy = previous_factor(text, ranges(place, many[x]), width) >= 0
+                copy = previous_factor(text, ranges(place, many[x]), width)[0] >= width
                 start, source = ranges(begin[x], many[x])[copy], np.repeat(block[x], many[x])[copy]
                 order = np.lexsort((start, source))
                 start, source = start[order], source[order]
                 a, b = runs(start, source)
-                for k in np.unique(source[a]).tolist():
-                    y = source[a] == k
-                    gone.setdefault(k, []).append((start[a][y], (b - a + 1)[y]))
-            rows += [(shard, k, b"K" + X.pack(*(np.concatenate(v).astype(np.uint32) for v in zip(*p, strict=True)))) for k, p in gone.items()]
+                cut = [*np.flatnonzero(np.diff(source[a], prepend=-1)).tolist(), len(a)]
+                for y, z in pairwise(cut):
+                    gone.setdefault(int(source[a[y]]), []).append((start[a[y:z]], (b - a + 1)[y:z]))
+            rows += [(shard, k, b"K" + X.packed(*(np.concatenate(v).astype(np.uint32) for v in zip(*p, strict=True)))) for k, p in gone.items()]
         return X.messages(rows)
 
     def remove(docs_: pa.Table, got: pa.Table) -> pa.Table:
         texts = Texts(docs_)
         d = np.zeros(len(texts.data) + 1, np.int32)
         for body in got.column("body").to_pylist():
-            begin, many = (v.astype(np.int64) for v in X.unpack(body[1:], np.uint32, np.uint32))
+            begin, many = (v.astype(np.int64) for v in X.unpacked(body[1:], np.uint32, np.uint32))
             np.add.at(d, begin, 1)
             np.add.at(d, begin + many - 1 + width, -1)
         gone = np.cumsum(d[:-1], dtype=np.int32) > 0
@@ -245,7 +318,7 @@ def repeated_strings(docs: DataFrame, width: int = 100, emit_text: bool = True)
         cols = [texts.ids, np.diff(texts.offsets), *(np.diff(s) for s in sums)]
         return pa.Table.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(kept, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    marks = X.meet(X.send(docs, count), lambda t: X.merge_sketches(t, totals))
-    sent = X.back(docs, marks, local, X.MESSAGE)
-    out = X.back(docs, X.meet(sent, across), remove, SCHEMA)
+    marks = X.meet(X.send(docs, count), sketch.shards, sketch.merge)
+    sent = X.back(docs, marks, n, local, X.MESSAGE)
+    out = X.back(docs, X.meet(sent, shards, across), n, remove, SCHEMA)
     return out.select(S.public_id(), "n_bytes", "n_removed", "n_spans", "kept")
