@@ -110,7 +110,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold
 
     Returns doc_id, held_out (that remainder is 0), score (0 to 1; higher: label 1 is likelier) and predicted (1 if
     score >= threshold, else 0). At most `sample` labelled texts are learnt from, chosen by a hash of their id; ids
-    with several labels count as the largest. Null texts are empty and get the score of texts without words. Without
+    with several labels count as the largest, ids with several texts as the least of them. A text that is learnt from is among its own
+    neighbours, so only held-out scores tell how good they are. Null texts are empty and get the score of texts without words. Without
     usable labels every score is 0.5. A null id is never learnt from and not held out. One row per input row; an
     empty table gives an empty one. Other columns are ignored.
     """
@@ -120,13 +121,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(TERMS, np.int64), 0
-        for texts in (t for batch in batches for t in text_slices(batch)):
+        for texts in text_slices(batches):
             df += np.bincount(term_counts(texts)[1], minlength=TERMS)
             n += len(texts)
         yield from pa.table({"term": np.arange(-1, TERMS), "n": np.concatenate(([n], df))}).to_batches()
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in (t for batch in batches for t in text_slices(batch)):
+        for texts in text_slices(batches):
             text, term, count = term_counts(texts)
             cut = np.searchsorted(text, np.arange(len(texts) + 1))
             bodies = [X.pack(term[a:b].astype(np.uint16), count[a:b].astype(np.uint32)) for a, b in zip(cut, cut[1:], strict=False)]
@@ -141,7 +142,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     label = {r["doc_id"]: int(r["quality"] > 0) for r in chosen.collect()}  # `sample` rows at most
     ids = spark.createDataFrame([(i,) for i in label], "doc_id long")
-    texts = docs.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    texts = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # of texts that share an id the least
     got = sorted((r["doc_id"], bytes(r["body"])) for r in texts.mapInArrow(found, "doc_id long, body binary").collect())  # a row for each of them
     parts = [tuple(X.unpack(b, np.uint16, np.uint32)) for _, b in got]
     row = np.repeat(np.arange(len(parts)), [len(t) for t, _ in parts])
@@ -150,7 +151,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold
     voters = spark.sparkContext.broadcast(Voters(idf, rows, np.array([label[i] for i, _ in got])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in (t for batch in batches for t in text_slices(batch)):
+        for texts in text_slices(batches):
             score = voters.value.score(len(texts), *term_counts(texts))
             yield from pa.table({"doc_id": texts.ids, "score": score}).to_batches()
 
