@@ -79,24 +79,35 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _license_sql() -> str:
-    """op3 stated over DuckDB lists, from the same phrases."""
-    from palisade.llm.licenses import BASE, TEMPLATES
-
-    phrases = [*BASE.items(), *((p, label) for p, label, _ in TEMPLATES)]
-    starts = ", ".join(
-        f"CASE WHEN contains(flat, ' {p} ') THEN list_filter(range(0, len(ws)), lambda i: ws[i + 1 : i + {len(p.split())}] = [{', '.join(repr(w) for w in p.split())}]) ELSE [] END AS p{k}" for k, (p, _) in enumerate(phrases)
-    )
-    labels = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(phrases))
-    best = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN {len(p.split())}.0::DOUBLE ELSE 0.0::DOUBLE END" for k, (p, _) in enumerate(phrases))
-    base = range(len(BASE))
+    """op3 stated over DuckDB lists, from the same phrases and templates: every place of every text that holds the key phrases."""
+    from palisade.llm.licenses import BASE, TEMPLATES, may_differ
+
+    def words(p: str) -> str:
+        return "[" + ", ".join(repr(w) for w in p.split()) + "]"
+
+    def places(p: str) -> str:
+        return f"CASE WHEN contains(flat, ' {p} ') THEN list_filter(range(0, len(ws)), lambda i: ws[i + 1 : i + {len(p.split())}] = {words(p)}) ELSE [] END"
+
+    def holds(t: str, keys: tuple) -> str:
+        n = len(t.split())
+        said = " AND ".join(f"contains(flat, ' {k} ')" for k in keys)
+        agree = f"len(list_filter(range(1, {n + 1}), lambda j: ws[i + j] = {words(t)}[j])) >= {n - may_differ(t)}"
+        inside = " AND ".join(f"contains(' ' || array_to_string(ws[i + 1 : i + {n}], ' ') || ' ', ' {k} ')" for k in keys)
+        return f"CASE WHEN {said} THEN len(list_filter(range(0, len(ws)), lambda i: {agree} AND {inside})) > 0 ELSE false END"
+
+    base = list(BASE)
+    found = ", ".join([f"{places(p)} AS b{k}" for k, p in enumerate(base)] + [f"{holds(t, keys)} AS t{k}" for k, (t, _, keys) in enumerate(TEMPLATES)])
+    base_labels = ", ".join(f"CASE WHEN len(b{k}) > 0 THEN '{BASE[p]}' END" for k, p in enumerate(base))
+    labels = ", ".join(f"CASE WHEN t{k} THEN '{label}' END" for k, (_, label, _) in enumerate(TEMPLATES))
+    best = ", ".join([f"CASE WHEN len(b{k}) > 0 THEN {len(p.split())}.0::DOUBLE ELSE 0.0::DOUBLE END" for k, p in enumerate(base)] + [f"CASE WHEN t{k} THEN {len(t.split())}.0::DOUBLE ELSE 0.0::DOUBLE END" for k, (t, _, _) in enumerate(TEMPLATES)])
     return f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
 f AS (SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS flat FROM w),
-s AS (SELECT doc_id, ws, {starts} FROM f),
-t AS (SELECT *, flatten([{', '.join(f'p{k}' for k in base)}]) AS places, greatest({best}) AS best FROM s)
+s AS (SELECT doc_id, ws, {found} FROM f),
+t AS (SELECT *, flatten([{', '.join(f'b{k}' for k in range(len(base)))}]) AS places, greatest({best}) AS best FROM s)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
-  coalesce(array_to_string(list_sort(list_distinct([{', '.join(labels.split(', ')[: len(BASE)])}])), ','), '') AS base_labels,
-  coalesce(array_to_string(list_sort(list_distinct([{labels}])), ','), '') AS labels, best / (best + 1) AS score
+  coalesce(array_to_string(list_sort(list_distinct([{base_labels}])), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct([{base_labels}, {labels}])), ','), '') AS labels, best / (best + 1) AS score
 FROM t
 """
 
@@ -128,15 +139,15 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id AS doc_id, min(r) AS
 """,
     "op2_exact_topk": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.r AS q, q.vec_id AS query_id, c.r, c.vec_id,
     CAST(coalesce(list_sum(list_transform(range(1, least(len(q.e), len(c.e)) + 1), lambda i: q.e[i] * c.e[i])), 0) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+  FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id NULLS FIRST, r) AS rank FROM s) WHERE rank <= 5
 """,
     "op10_substring_dedup": r"""
 WITH w AS (

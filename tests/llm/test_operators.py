@@ -131,7 +131,7 @@ def test_jaccard_odd_ids(odd):
 
 
 def test_top_k(spark):
-    vectors = [(i, [RNG.choice([0.0, 0.5, -0.25, 0.126]) for _ in range(RNG.choice([0, 3, 4]))]) for i in range(70)] + [(100, None), (101, [1.0, None]), (102, [float("nan")]), (None, [1.0])]
+    vectors = [(i, [RNG.choice([0.0, 0.5, -0.25, 0.126]) for _ in range(RNG.choice([0, 3, 4]))]) for i in range(70)] + [(100, None), (101, [1.0, None]), (102, [float("nan")])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
     whole = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v in vectors[:70]}
     want = []
@@ -140,6 +140,10 @@ def test_top_k(spark):
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     got = [tuple(r) for r in topk.inner_product_top_k(df, F.col("vec_id") % 10 == 0).collect()]
     assert sorted(got) == sorted(want)
+    # rows that share an id, equal rows, a null id
+    twice = spark.createDataFrame([(50, [1.0], 3), (50, [1.0], 4), (1, [1.0], 1), (1, [2.0], 1), (None, [2.0], 1), (2, None, 1)], "vec_id long, embedding array<float>, row int")
+    got = sorted(tuple(r) for r in topk.inner_product_top_k(twice, F.col("vec_id") == 50).select("query_id", "rank", F.coalesce("vec_id", F.lit(-1)), "score").collect())
+    assert got == [(50, k, i, s) for k, i, s in ((1, -1, 131072), (2, 1, 131072), (3, 1, 65536), (4, 50, 65536)) for _ in range(2)]
     assert topk.inner_product_top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
     assert topk.inner_product_top_k(df.where("vec_id = 10"), F.col("vec_id") % 10 == 0).count() == 0
 
@@ -155,6 +159,30 @@ def test_licenses(spark, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_license_templates(spark, duck):
+    """Near copies of templates against brute force; key phrases decide between versions, and reject copies that lack them."""
+    gpl = next(t for t, label, _ in licenses.TEMPLATES if label == "gpl-3.0" and len(t) > 50)
+    mit = next(t for t, label, _ in licenses.TEMPLATES if label == "mit-text")
+    texts = [gpl.upper(), gpl.replace("3", "2"), gpl.replace("version 3", "version 4"), mit, mit.replace("free of charge", "without any fee"), mit.replace("files", "things").replace("copy", "print"), mit[: mit.index("documentation")], "x " + mit.replace("obtaining", "getting", 1)]
+    for _ in range(200):
+        t = RNG.choice(licenses.TEMPLATES)[0].split()
+        for _ in range(RNG.randint(0, 6)):
+            t[RNG.randrange(len(t))] = RNG.choice(["the", "x", "license"])
+        texts.append(" ".join(prose(RNG.randint(0, 3)).split() + t[RNG.choice([0, 0, 2]) :] + prose(RNG.randint(0, 3)).split()))
+    got = {r["doc_id"]: set(filter(None, r["labels"].split(","))) for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(FOLD))
+        want = {label for p, label in licenses.BASE.items() if any(ws[k : k + len(p.split())] == p.split() for k in range(len(ws)))}
+        for t, label, keys in licenses.TEMPLATES:
+            t = t.split()
+            for k in range(len(ws)):
+                here = ws[k : k + len(t)]
+                if sum(a == b for a, b in zip(here, t)) >= len(t) - licenses.may_differ(" ".join(t)) and all(f" {p} " in " " + " ".join(here) + " " for p in keys):
+                    want.add(label)
+        assert got[i] == want, text
+    assert got[0] == {"gpl", "gpl-3.0"} and got[1] == {"gpl", "gpl-2.0"} and got[2] == {"gpl"} and got[3] == got[5] == got[6] == got[7] == {"mit-text"} and got[4] == set()
+
+
 def test_quality(spark, empty):
     good, bad = [prose(80) for _ in range(150)], [" ".join(w.upper() + "!!" for w in prose(60).split()) for _ in range(150)]
     rows = [(i, t) for i, t in enumerate(x for pair in zip(good, bad, strict=True) for x in pair)]
