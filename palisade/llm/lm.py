@@ -1,36 +1,38 @@
 """LM scoring by online logistic context mixing.
 
-Text is predicted bit by bit. Bit predictors are counts of 0s and 1s after contexts (the last 1 to 4 bytes, and
-the word so far, each with the bits so far). They follow from how often each byte comes after each context in all
-training texts; these counts are exact for every context of the corpus and travel by a two-way exchange: a block sends its
-distinct contexts with the bytes after them and gets all bytes after these contexts back. A mixer adds their log odds with weights
-that a gate selects (which bit, how much the long contexts have seen), learnt online over every block of training texts against
-counts without the piece at hand, and averaged. An adaptive map of its output refines it. As a bit depends on these contexts alone, each distinct
-context and byte of a piece is scored once. A unigram model of tokens, whose counts travel along, is the base.
+Text is predicted bit by bit. Bit predictors are counts of 0s and 1s after hashed contexts (the last 1 to 4 bytes, and the word so far, each with the
+bits so far). They follow from how often each byte comes after each context in all training texts, counted exactly by context hash, whose
+width grows with the corpus; the counts travel by a two-way exchange: a block sends its distinct contexts with the bytes after them, and gets
+for each the log odds of its bits by the counts of all other blocks. So no text is predicted from itself, and scores of training texts and of
+held-out ones compare. In each block a mixer adds the log odds with weights that a gate selects (which bit, how much the long contexts have
+seen), learnt online over the block's training texts in a fixed order, and an adaptive map of its output refines it. As a bit depends on
+these contexts alone, each distinct case of contexts and byte is learnt and scored once. A unigram model of tokens, whose counts travel along, is the base.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm import _exchange as X
 from palisade.llm import _session as S
-from palisade.llm._kernels import _SPACE, _VALUES, CHUNK, U64, Texts, Words, mixed, prefix_sums, spans, text_slices
+from palisade.llm._kernels import _SPACE, _VALUES, U64, Texts, Words, mixed, prefix_sums, spans
 from palisade.llm.quality import remainder
 
+#: Bytes of text whose cases are found at a time.
+PIECE = 1 << 18
 #: Contexts: 1 to 4 bytes, the word so far.
 ORDERS = 5
 GATES, INPUTS, BUCKETS = 64, 6, 33
+#: Log odds travel as whole numbers, so many to one.
+STEPS = 10
 _MULTIPLY = [U64(m) for m in (0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-SCHEMA = "doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long"
+SCHEMA = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,10 +66,15 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h[one], raw[one], word[one], index
 
 
-def pairs_of(raw: np.ndarray, word: np.ndarray, order: int) -> np.ndarray:
-    """Each case's context as a 56-bit hash, then its byte: so many bits that two contexts of a corpus don't meet."""
+def context_bits(text_bytes: int) -> int:
+    """Bits of a context's hash: so many that one in some thousands shares its hash with another, whatever the size of the corpus."""
+    return min(56, max(24, text_bytes.bit_length() + 13))
+
+
+def pairs_of(raw: np.ndarray, word: np.ndarray, order: int, bits: int = 56) -> np.ndarray:
+    """Each case's context as a hash of so many bits, then its byte."""
     context = word if order == 4 else (raw >> U64(8)) & U64((1 << (8 * order + 8)) - 1)
-    return (mixed(context + _MULTIPLY[order]) & ~U64(255)) | (raw & U64(255))
+    return (mixed(context + _MULTIPLY[order]) >> U64(64 - bits) << U64(8)) | (raw & U64(255))
 
 
 def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,141 +96,118 @@ def distinct_contexts(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return context[new], np.append(np.flatnonzero(new), len(pairs))
 
 
-def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-
-
-def following(contexts: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(how many bytes follow each of some contexts, those pairs, their counts) out of sorted pairs."""
-    low = np.searchsorted(pairs, contexts << U64(8))
-    size = np.searchsorted(pairs, (contexts << U64(8)) | U64(255), "right") - low
-    at = ragged(low, size)
-    return size, pairs[at], counts[at]
+def node_totals(pairs: np.ndarray, counts: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """(9, n): for each of sorted pairs, how often its context (row 0) and its context with each further bit of its byte (row 8: the whole byte) occur.
 
-
-def bit_counts(pairs: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each of sorted pairs (all that follow their contexts): 1s, and all, of bit k after its context and the bits before."""
-    node = pairs >> U64(8 - k)
-    new = np.ones(len(pairs), bool)
-    new[1:] = node[1:] != node[:-1]
-    index = np.cumsum(new) - 1
-    one = ((pairs >> U64(7 - k)) & U64(1)).astype(np.float64)
-    return np.bincount(index, counts * one)[index], np.bincount(index, counts)[index]
-
-
-class Piece:
-    """Distinct cases of some texts: (bytes, word), count in training texts, distinct pairs of each context with counts and each case's pair."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, training: np.ndarray):
-        self.offsets = offsets
-        _, self.raw, word, self.index = grams(data, offsets)
-        self.count = np.bincount(self.index, np.repeat(training, np.diff(offsets)), len(self.raw))
-        self.pairs = [merged(pairs_of(self.raw, word, order), self.count) for order in range(ORDERS)]
-        self.odds: list = []
-
-    def predict(self, pairs: np.ndarray, counts: np.ndarray, without: bool) -> None:
-        """Log odds of every bit by the corpus's counts of sorted pairs, without this piece's own if asked for."""
-        self.odds, self.at, self.seen = [], [], []
-        for order, (own, n, index) in enumerate(self.pairs):
-            _, known, c = following(distinct_contexts(own)[0], pairs, counts)
-            all_ = np.union1d(known, own)
-            total = np.zeros(len(all_))
-            total[np.searchsorted(all_, known)] = c
-            at = np.searchsorted(all_, own)
-            if without:
-                total[at] -= n
-            odds, seen = np.empty((8, len(own)), np.float32), np.empty((8, len(own)), np.int8)
-            for k in range(8):
-                ones, sums = (x[at] for x in bit_counts(all_, total, k))
-                odds[k] = np.log((ones + 0.05) / (sums - ones + 0.05))
-                if order == 4:
-                    seen[k] = 2 * np.searchsorted([0.5, 3.5, 31.5], sums)
-                elif order == 3:
-                    seen[k] = sums > 3.5
-            self.odds.append(odds)
-            self.at.append(index)
-            self.seen.append(seen)
-
-    def bit(self, k: int, part: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of some cases: bit k, the bits before it (with a leading 1), the mixer's inputs and gates."""
-        byte = (self.raw[part] & U64(255)).astype(np.int64)
-        at = [a[part] for a in self.at]
-        x = np.empty((INPUTS, len(byte)), np.float32)
-        for i in range(ORDERS):
-            x[i] = self.odds[i][k][at[i]]
-        x[-1] = 0.3
-        gate = k * 8 + self.seen[4][k][at[4]].astype(np.int64) + self.seen[3][k][at[3]]
-        return ((byte >> (7 - k)) & 1).astype(np.float32), (byte | 256) >> (8 - k), x, gate
-
-    def parts(self, step: int) -> Iterator[slice]:
-        return (slice(low, low + step) for low in range(0, len(self.raw), step))
-
-
-def pieces(texts: Texts, training: np.ndarray) -> list[Piece]:
-    """A piece for each CHUNK of text, whatever the size of the table: the mixer learns from one at a time against all others."""
-    return [Piece(data, offsets, training[first:last]) for first, last, data, offsets in texts.chunks(CHUNK)]
+    group, if given, keeps apart runs of pairs that are sorted each by itself.
+    """
+    out = np.empty((9, len(pairs)))
+    for k in range(9):
+        node = pairs >> U64(8 - k)
+        new = np.ones(len(pairs), bool)
+        new[1:] = node[1:] != node[:-1]
+        if group is not None:
+            new[1:] |= group[1:] != group[:-1]
+        index = np.cumsum(new) - 1
+        out[k] = np.bincount(index, counts)[index] if len(pairs) else 0
+    return out
+
+
+def path_odds(totals: np.ndarray) -> np.ndarray:
+    """(8, n): log odds of each bit of a pair's byte, towards the bit that it has, as whole numbers."""
+    yes, no = totals[1:], totals[:-1] - totals[1:]
+    return np.clip(np.rint(STEPS * np.log((yes + 0.05) / (no + 0.05))), -127, 127).astype(np.int8)
+
+
+def confidence(total: np.ndarray) -> np.ndarray:
+    """How much a context has seen, in eighths of powers of two."""
+    return np.minimum(8 * np.log2(1 + total), 255).astype(np.uint8)
+
+
+class Cases:
+    """Distinct cases of some texts: bytes, count in training texts; for every byte of text its case; for every order distinct pairs with counts, and each case's pair."""
+
+    def __init__(self, texts: Texts, training: np.ndarray, bits: int):
+        parts, at, size = [], [], 0
+        for first, last, data, offsets in texts.chunks(PIECE):
+            h, raw, word, index = grams(data, offsets)
+            parts.append((h, raw, word, np.bincount(index, np.repeat(training[first:last], np.diff(offsets)), len(h))))
+            at.append(index + np.int32(size))
+            size += len(h)
+        h, raw, word, count = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((U64, U64, U64, np.float64), zip(*parts, strict=True) if parts else ((),) * 4, strict=True))
+        del parts
+        _, one, same = np.unique(h, return_index=True, return_inverse=True)
+        self.index = same.astype(np.int32)[np.concatenate([np.zeros(0, np.int32), *at])]
+        self.count = np.bincount(same, count, len(one))
+        self.byte = (raw[one] & U64(255)).astype(np.uint8)
+        self.pairs = [merged(pairs_of(raw[one], word[one], order, bits), self.count) for order in range(ORDERS)]
 
 
 class Mixer:
     """Weights by gate, and the adaptive map: 1s and all by bits so far and log odds."""
 
-    def __init__(self, weights: np.ndarray | None = None, seen: np.ndarray | None = None):
-        self.weights = np.full((GATES, INPUTS), 0.3, np.float32) if weights is None else weights.astype(np.float32)
-        if weights is None:
-            self.weights[:, -1] = 0
-        self.seen = np.zeros((2, 256 * BUCKETS)) if seen is None else seen
+    def __init__(self):
+        self.weights = np.full((GATES, INPUTS), 0.3, np.float32)
+        self.weights[:, -1] = 0
+        self.seen = np.zeros((2, 256 * BUCKETS))
+
+    def inputs(self, cases: Cases, odds: list[np.ndarray], sure: list[np.ndarray], part: slice) -> tuple[np.ndarray, ...]:
+        """Of some cases, for each of their eight bits: its value, the bits before it (with a leading 1), the mixer's inputs and gates."""
+        byte = cases.byte[part].astype(np.int64)
+        bit = np.arange(8)[:, None]
+        value = (byte[None, :] >> (7 - bit)) & 1
+        sign = (2 * value - 1).astype(np.float32) / np.float32(STEPS)
+        x = np.empty((INPUTS, 8, len(byte)), np.float32)
+        at = [index[part] for _, _, index in cases.pairs]
+        for i in range(ORDERS):
+            x[i] = odds[i][:, at[i]]
+            x[i] *= sign
+        x[-1] = 0.3
+        word, four = sure[4][at[4]], sure[3][at[3]]
+        level = 2 * ((word >= 8).astype(np.int64) + (word >= 18) + (word >= 40)) + (four >= 18)
+        gate = bit * 8 + level[None, :]
+        return value.reshape(-1).astype(np.float32), ((byte[None, :] | 256) >> (8 - bit)).reshape(-1), x.reshape(INPUTS, -1), gate.reshape(-1)
 
     def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.einsum("in,ni->n", x, self.weights[gate]).clip(-12, 12)
-
-    def learn(self, piece: Piece, step: int = 8192, rate: float = 0.5) -> None:
-        """Online: each batch of cases changes the weights by its mean error. Then the adaptive map is counted."""
-        count = piece.count.astype(np.float32)  # the cases are in order of a hash, so well mixed
-        for part in piece.parts(step):
-            c = count[part]
-            for k in range(8):
-                value, _, x, gate = piece.bit(k, part)
-                error = (value - 1 / (1 + np.exp(-self.mix(x, gate)))) * c
-                mass = np.bincount(gate, c, GATES) + 50
-                for i in range(INPUTS):
-                    self.weights[:, i] += (rate * np.bincount(gate, error * x[i], GATES) / mass).astype(np.float32)
-        for part in piece.parts(1 << 16):
-            for k in range(8):
-                value, node, x, gate = piece.bit(k, part)
-                cell = self._cell(node, self.mix(x, gate))
-                self.seen[0] += np.bincount(cell, value * count[part], 256 * BUCKETS)
-                self.seen[1] += np.bincount(cell, count[part], 256 * BUCKETS)
+        out = np.zeros(len(gate), np.float32)
+        for i in range(INPUTS):
+            out += x[i] * self.weights[:, i][gate]
+        return out.clip(-12, 12)
+
+    def learn(self, cases: Cases, odds: list[np.ndarray], sure: list[np.ndarray], step: int = 4096, rate: float = 0.5) -> None:
+        """Online: each batch of cases is predicted, counted in the adaptive map, and then changes the weights by its mean error."""
+        known = np.flatnonzero(cases.count)  # in order of a hash, so well mixed
+        for first in range(0, len(known), step):
+            part = known[first : first + step]
+            value, node, x, gate = self.inputs(cases, odds, sure, part)
+            c = np.tile(cases.count[part].astype(np.float32), 8)
+            mixed_ = self.mix(x, gate)
+            cell = self._cell(node, mixed_)
+            self.seen[0] += np.bincount(cell, value * c, 256 * BUCKETS)
+            self.seen[1] += np.bincount(cell, c, 256 * BUCKETS)
+            error = (value - 1 / (1 + np.exp(-mixed_))) * c
+            mass = np.bincount(gate, c, GATES) + 50
+            for i in range(INPUTS):
+                self.weights[:, i] += (rate * np.bincount(gate, error * x[i], GATES) / mass).astype(np.float32)
 
     @staticmethod
     def _cell(node: np.ndarray, odds: np.ndarray) -> np.ndarray:
         return node * BUCKETS + np.rint(odds * np.float32(BUCKETS // 2 / 12) + np.float32(BUCKETS // 2)).astype(np.int64)
 
-    def log2(self, piece: Piece) -> np.ndarray:
+    def log2(self, cases: Cases, odds: list[np.ndarray], sure: list[np.ndarray], step: int = 1 << 14) -> np.ndarray:
         """log2 of the probability of each case's byte."""
-        out = np.zeros(len(piece.raw))
-        for part in piece.parts(1 << 16):
-            for k in range(8):
-                value, node, x, gate = piece.bit(k, part)
-                odds = self.mix(x, gate)
-                p = 1 / (1 + np.exp(-odds.astype(np.float64)))
-                cell = self._cell(node, odds)
-                refined = (self.seen[0][cell] + 20 * p) / (self.seen[1][cell] + 20)
-                p = (0.5 * p + 0.5 * refined).clip(1e-6, 1 - 1e-6)
-                out[part] += np.log2(np.where(value > 0, p, 1 - p))
+        out = np.empty(len(cases.byte))
+        for first in range(0, len(out), step):
+            part = slice(first, first + step)
+            value, node, x, gate = self.inputs(cases, odds, sure, part)
+            mixed_ = self.mix(x, gate)
+            p = 1 / (1 + np.exp(-mixed_.astype(np.float64)))
+            cell = self._cell(node, mixed_)
+            p = (0.5 * p + 0.5 * (self.seen[0][cell] + 20 * p) / (self.seen[1][cell] + 20)).clip(1e-6, 1 - 1e-6)
+            out[part] = np.log2(np.where(value > 0, p, 1 - p)).reshape(8, -1).sum(0)
         return out
 
 
-def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed string of bytes (all first bytes of their numbers, then all second ones); unpacked() with the same types gives them back."""
-    body = X.pack(*(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.ravel() for a in arrays))
-    return np.int64(len(body)).tobytes() + pa.compress(body, codec="zstd", asbytes=True)
-
-
-def unpacked(body: bytes, *types) -> list[np.ndarray]:
-    plain = pa.decompress(body[8:], int(np.frombuffer(body, np.int64, 1)[0]), codec="zstd", asbytes=True)
-    return [np.ascontiguousarray(a.reshape(np.dtype(t).itemsize, -1).T).view(t).ravel() for a, t in zip(X.unpack(plain, *[np.uint8] * len(types)), types, strict=True)]
-
-
 def steps(keys: np.ndarray, n: int) -> np.ndarray:
     """Sorted keys of one of n shards (equal modulo n) by their distances; keys_of() gives them back."""
     return np.diff(keys // U64(n), prepend=U64(0))
@@ -233,37 +217,27 @@ def keys_of(steps_: np.ndarray, n: int, shard: int) -> np.ndarray:
     return np.cumsum(steps_, dtype=U64) * U64(n) + U64(shard)
 
 
-def _stored(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
-def _loaded(body: pa.Scalar) -> pa.Table:
-    return pa.ipc.open_stream(body.as_buffer()).read_all()
-
-
 def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
     """Log10 probabilities of every text under two models learnt from the texts with crc32(id) % folds != 0.
 
     Returns doc_id, held_out (that remainder is 0), n_tokens and n_known (tokens, and those in training; tokens are runs of other than ASCII
     white space, A-Z as a-z, then one end), train_tokens (tokens of the training texts), base_score (unigrams with 0.1 added to every
     count and one unknown token), score (the mixed model, over the text's bytes) and bits_per_byte (of score; null
-    for an empty text). Null texts are empty: an end only, score 0. A null id is learnt from. One row per input row;
-    an empty table gives an empty one. Other columns are ignored.
+    for an empty text). A block's texts (dealt by a hash of their id; twelve blocks at least) are scored by the counts of all other blocks, so a training
+    text never predicts itself; copies of it in other blocks do. Scores don't depend on how the input is partitioned. Null texts are empty: an end only, score 0.
+    A null id is learnt from. One row per input row, rows that share an id included; an empty table gives an empty one. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    S.ship(spark)
-    n = S.block_count(docs)
+    S.ship(docs.sparkSession)
+    size = S.text_bytes(docs)
+    n, bits = S.block_count(size), context_bits(size)
     held = F.coalesce(remainder(S.public_id(), folds) == 0, F.lit(False))
-    plain = S.documents(docs)
-    blocks = S.blocked(plain, n)
+    blocks = S.blocked(S.documents(docs), n)
 
     def training_of(texts: Texts) -> np.ndarray:
         return np.array([i == S.LOWEST_ID or zlib.crc32(str(i).encode()) % folds != 0 for i in texts.ids.tolist()], bool)
 
     def tokens(texts: Texts) -> tuple[Words, np.ndarray, np.ndarray]:
+        """Words, their distinct hashes in order of shard, and each word's place among these."""
         words = Words(texts, fold=True)
         key, inverse = np.unique(words.hash, return_inverse=True)
         order = np.argsort(key % U64(n), kind="stable")
@@ -271,137 +245,81 @@ def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
         rank[order] = np.arange(len(order))
         return words, key[order], rank[inverse]
 
-    def shards(pairs: np.ndarray) -> np.ndarray:
-        return ((pairs >> U64(8)) % U64(n)).astype(np.int64)
+    def by_shard(cases: Cases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All orders' pairs and counts in order of shard, and where each stood before."""
+        pairs, counts = (np.concatenate([p[i] for p in cases.pairs]) for i in (0, 1))
+        order = np.lexsort((pairs, (pairs >> U64(8)) % U64(n)))
+        return pairs[order], counts[order], order
 
     def count(block: int, table: pa.Table):
         texts = Texts(table)
         training = training_of(texts)
         words, key, entry = tokens(texts)
         own = np.bincount(entry, training[words.doc], len(key)).astype(np.uint32)
-        edges = np.searchsorted((key % U64(n)).astype(np.int64), np.arange(n + 1))
-        found = [x[:2] for a, b, data, offsets in texts.chunks() for x in Piece(data, offsets, training[a:b]).pairs]
-        pairs, times, _ = merged(*(np.concatenate(x) for x in zip((np.zeros(0, U64), np.zeros(0, np.int64)), *found, strict=True)))
-        order = np.argsort(shards(pairs), kind="stable")
-        pairs, times = pairs[order], times[order].astype(np.uint32)
-        cuts = np.searchsorted(shards(pairs), np.arange(n + 1))
-
-        def body(a: slice, b: slice) -> bytes:
+        edges = np.searchsorted(key % U64(n), np.arange(n + 1, dtype=U64))
+        pairs, counts, _ = by_shard(Cases(texts, training, bits))
+        counts = counts.astype(np.uint32)
+        cuts = np.searchsorted((pairs >> U64(8)) % U64(n), np.arange(n + 1, dtype=U64))
+        rows = []
+        for s in range(n):  # to every shard, as every shard tells its totals
+            a, b = slice(edges[s], edges[s + 1]), slice(cuts[s], cuts[s + 1])
             contexts, begin = distinct_contexts(pairs[b])
-            return packed(steps(key[a], n), own[a], steps(contexts, n), np.diff(begin).astype(np.uint16), pairs[b].astype(np.uint8), times[b])
-
-        ranges = [(s, slice(edges[s], edges[s + 1]), slice(cuts[s], cuts[s + 1])) for s in range(n)]
-        rows = [(s, block, body(a, b)) for s, a, b in ranges if a.stop > a.start or b.stop > b.start]
-        return rows or [(block % n, block, body(slice(0), slice(0)))]
+            ends = np.array([training.sum() if s == block % n else 0], np.int64)
+            rows.append((s, block, X.packed(ends, steps(key[a], n), own[a], steps(contexts, n), np.diff(begin).astype(np.uint16), pairs[b].astype(np.uint8), counts[b])))
+        return rows
 
     def total(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        blocks_ = table.column("block").to_pylist()
-        parts = []
-        for body in table.column("body").to_pylist():
-            key, own, contexts, size, after, times = unpacked(body, np.uint64, np.uint32, np.uint64, np.uint16, np.uint8, np.uint32)
-            contexts = keys_of(contexts, n, shard)
-            parts.append((keys_of(key, n, shard), own, (np.repeat(contexts, size) << U64(8)) | after.astype(U64), times))
+        shard, blocks_, parts, ends = table.column("shard")[0].as_py(), table.column("block").to_pylist(), [], 0
+        for body in table.column("body"):
+            end, key, own, contexts, many, after, times = X.unpacked(body.as_py(), np.int64, np.uint64, np.uint32, np.uint64, np.uint16, np.uint8, np.uint32)
+            ends += int(end[0])
+            parts.append((keys_of(key, n, shard), own, (np.repeat(keys_of(contexts, n, shard), many) << U64(8)) | after.astype(U64), times))
         key, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         sums = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(key)).astype(np.int64)
         edges = np.cumsum([0, *(len(p[0]) for p in parts)])
-        pairs, times, _ = merged(np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]))
-        pairs, times = pairs[times > 0], times[times > 0]
+        group = np.repeat(np.arange(len(parts)), [len(p[2]) for p in parts])
+        pairs, times = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
+        cuts = np.cumsum([0, *(len(p[2]) for p in parts)])
+        del parts
+        every, counts, at = merged(pairs, times)
+        left = node_totals(every, counts)[:, at] - node_totals(pairs, times, group)
+        odds, sure = path_odds(left), confidence(left[0])
+        facts = np.array([ends, sums.sum(), (sums > 0).sum()], np.int64)
         rows = []
-        for block, p, a, b in zip(blocks_, parts, edges, edges[1:], strict=False):
-            size, after, c = following(distinct_contexts(p[2])[0], pairs, times)
-            rows.append((shard, block, packed(sums[inverse[a:b]], size.astype(np.uint16), after.astype(np.uint8), c)))
+        for block, a, b, c, d in zip(blocks_, edges, edges[1:], cuts, cuts[1:], strict=False):
+            rows.append((shard, block, X.packed(facts, sums[inverse[a:b]], odds[:, c:d].reshape(-1), sure[c:d])))
         return X.messages(rows)
 
-    def answers(got: pa.Table, parts: list[Piece]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts of the block's tokens; the corpus's pairs after the block's contexts, and their counts."""
-        bodies = sorted(zip(got.column("shard").to_pylist(), got.column("body").to_pylist(), strict=True))
-        kinds_, sizes, bytes_, times = (np.concatenate(x) for x in zip(*(unpacked(b, np.int64, np.uint16, np.uint8, np.int64) for _, b in bodies), strict=True))
-        contexts = np.unique(np.concatenate([np.zeros(0, U64), *(distinct_contexts(p[0])[0] for piece in parts for p in piece.pairs)]))
-        contexts = contexts[np.argsort((contexts % U64(n)).astype(np.int64), kind="stable")]
-        pairs = (np.repeat(contexts, sizes) << U64(8)) | bytes_.astype(U64)
-        order = np.argsort(pairs)
-        return kinds_, pairs[order], times[order]
-
-    # how many tokens there are, and how many distinct ones: hashes of each partition's words, counted by shard
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, all_ = np.zeros(0, U64), 0
-        for texts in (t for batch in batches for t in text_slices(batch)):
-            words = Words(texts, fold=True)
-            keys, all_ = np.union1d(keys, words.hash), all_ + len(words) + len(texts)
-        shard = keys % U64(n)
-        rows = [(s, all_ if not s else 0, X.pack(keys[shard == s])) for s in range(n)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["shard", "tokens", "body"])
-
-    def counted(table: pa.Table) -> pa.Table:
-        keys = np.unique(np.concatenate([np.zeros(0, U64), *(k for b in table.column("body").to_pylist() for k in X.unpack(b, np.uint64))]))
-        return pa.table({"tokens": [sum(table.column("tokens").to_pylist())], "kinds": [len(keys)]})
-
-    learning = plain.where(~held)
-    found = learning.mapInArrow(distinct, "shard int, tokens long, body binary").groupBy("shard").applyInArrow(counted, "tokens long, kinds long")
-    train_tokens, kinds = (int(x or 0) for x in found.agg(F.sum("tokens"), F.sum("kinds")).first())
-    ends = learning.count()
-    vocabulary = kinds + (ends > 0)
-
-    # each block with its answers, kept for the two passes that follow
-    def met(docs_: pa.Table, got: pa.Table) -> pa.Table:
-        return pa.table({"docs": pa.array([_stored(docs_)], pa.binary()), "got": pa.array([_stored(got)], pa.binary())})
-
-    kept = S.checkpointed(X.back(blocks, X.meet(X.send(blocks, count), total), met, "docs binary, got binary"))
-
-    # the mixer: learnt piece by piece in each block, against the counts of all other texts; averaged in groups, then altogether
-    groups = max(1, math.isqrt(n))
-
-    def trained_mixer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, mass = Mixer(), 0.0
-        for docs_, got in ((d, g) for batch in batches for d, g in zip(*batch.columns, strict=True)):
-            texts = Texts(_loaded(docs_))
-            parts = pieces(texts, training_of(texts))
-            _, pairs, times = answers(_loaded(got), parts)
-            while parts:
-                piece = parts.pop()
-                if piece.count.any():
-                    piece.predict(pairs, times, without=True)
-                    mixer.learn(piece)
-                    mass += float(piece.count.sum())
-        body = X.pack(np.array([mass]), mixer.weights.reshape(-1).astype(np.float64) * mass, mixer.seen.reshape(-1))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % groups], pa.int32()), pa.array([body], pa.binary())], ["part", "body"])
-
-    def summed(table: pa.Table) -> pa.Table:
-        parts = [list(X.unpack(b, *[np.float64] * 3)) for b in table.column("body").to_pylist()]
-        body = X.pack(*(np.sum([p[i] for p in parts], axis=0) for i in range(3)))
-        return pa.table({"part": table.column("part").slice(0, 1), "body": pa.array([body], pa.binary())})
-
-    learnt = kept.mapInArrow(trained_mixer, "part int, body binary").groupBy("part").applyInArrow(summed, "part int, body binary")
-    parts = [list(X.unpack(bytes(r["body"]), *[np.float64] * 3)) for r in learnt.orderBy("part").collect()]  # a fixed size each
-    mixer = Mixer()
-    if mass := sum(float(p[0][0]) for p in parts):
-        mixer = Mixer((sum(p[1] for p in parts) / mass).reshape(GATES, INPUTS), sum(p[2] for p in parts).reshape(2, -1))
-    model = spark.sparkContext.broadcast(mixer)
-
     def score(docs_: pa.Table, got: pa.Table) -> pa.Table:
         texts = Texts(docs_)
+        training = training_of(texts)
+        cases = Cases(texts, training, bits)
+        _, _, order = by_shard(cases)
+        bodies = X.answers(got)
+        facts, known, odds, sure = zip(*(X.unpacked(bodies[s], np.int64, np.int64, np.int8, np.uint8) for s in range(n)), strict=True)
+        ends, train_words, kinds = np.sum(facts, axis=0).tolist()
+        all_ = np.empty((8, len(order)), np.int8)
+        all_[:, order] = np.concatenate([o.reshape(8, -1) for o in odds], axis=1)
+        seen = np.empty(len(order), np.uint8)
+        seen[order] = np.concatenate(sure)
+        cuts = np.cumsum([0, *(len(p[0]) for p in cases.pairs)])
+        odds, sure = ([x[..., a:b] for a, b in zip(cuts, cuts[1:], strict=False)] for x in (all_, seen))
+        mixer = Mixer()
+        mixer.learn(cases, odds, sure)
+        running = np.concatenate(([0.0], np.cumsum(mixer.log2(cases, odds, sure)[cases.index])))
+        score_ = np.diff(running[texts.offsets]) * math.log10(2)
         words, _, entry = tokens(texts)
-        parts = pieces(texts, training_of(texts))
-        count_, pairs, times = answers(got, parts)
-        count_ = count_[entry]
-        unit = train_tokens + 0.1 * (vocabulary + 1)
+        train_tokens = train_words + ends
+        unit = train_tokens + 0.1 * (kinds + (ends > 0) + 1)
+        count_ = np.concatenate(known)[entry]
         base = np.bincount(words.doc, np.log10((count_ + 0.1) / unit), len(texts)) + math.log10((ends + 0.1) / unit)
-        known = np.bincount(words.doc, count_ > 0, len(texts)).astype(np.int64) + (ends > 0)
-        out = [np.zeros(0)]
-        for piece in parts:
-            piece.predict(pairs, times, without=False)
-            running = np.concatenate(([0.0], np.cumsum(model.value.log2(piece)[piece.index])))
-            out.append(np.diff(running[piece.offsets]))
-            piece.odds = []
-        score_ = np.concatenate(out) * math.log10(2)
-        cols = [texts.ids, words.count + 1, known]
-        return pa.Table.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(base), pa.array(score_), pa.array(np.diff(texts.offsets), pa.int64())], ["doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
-
-    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs_, got in ((d, g) for batch in batches for d, g in zip(*batch.columns, strict=True)):
-            yield from score(_loaded(docs_), _loaded(got)).to_batches()
-
-    scored = kept.mapInArrow(scores, SCHEMA)
-    bits = F.when(F.col("n_bytes") > 0, -F.col("score") / F.lit(math.log10(2)) / F.col("n_bytes"))
-    return scored.select(S.public_id(), held.alias("held_out"), "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
+        n_known = np.bincount(words.doc, count_ > 0, len(texts)).astype(np.int64) + (ends > 0)
+        cols = [texts.ids, words.count + 1, n_known, np.full(len(texts), train_tokens)]
+        return pa.Table.from_arrays(
+            [*(pa.array(c, pa.int64()) for c in cols), pa.array(base), pa.array(score_), pa.array(np.diff(texts.offsets), pa.int64())],
+            ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"],
+        )
+
+    scored = X.back(blocks, X.meet(X.send(blocks, count), n, total), n, score, SCHEMA)
+    bits_ = F.when(F.col("n_bytes") > 0, -F.col("score") / F.lit(math.log10(2)) / F.col("n_bytes"))
+    return scored.select(S.public_id(), held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", bits_.alias("bits_per_byte"))

@@ -1,6 +1,6 @@
 """What the review of round 1 found missing."""
 
-import inspect
+import zlib
 from itertools import combinations
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -11,17 +11,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisade.llm import chat, decontam, lm
+from palisade.llm import _exchange as X
 from palisade.llm._kernels import Texts
 
 DATA = Path("/root/testdata")
 
 
 def test_lm_counts_are_exact():
-    """Bit counts of every context against a count by hand; no two contexts share a cell."""
+    """Counts after every context and bit against a count by hand; no two contexts share a hash."""
     rng = np.random.default_rng(5)
     texts = [bytes(rng.choice(np.frombuffer(b"ab cdefgh", np.uint8), rng.integers(0, 400))) for _ in range(60)]
-    offsets = np.cumsum([0, *(len(t) for t in texts)])
-    piece = lm.Piece(np.frombuffer(b"".join(texts), np.uint8), offsets, np.ones(len(texts), bool))
+    cases = lm.Cases(Texts(pa.table({"doc_id": list(range(60)), "text": [t.decode() for t in texts]})), np.ones(len(texts), bool), 56)
     after = defaultdict(Counter)
     contexts = []
     for t in texts:
@@ -30,14 +30,15 @@ def test_lm_counts_are_exact():
             contexts.append(own)
             for c in own:
                 after[c][byte] += 1
-    for order, (pairs, counts, index) in enumerate(piece.pairs):
+    data = b"".join(texts)
+    assert (cases.byte[cases.index] == np.frombuffer(data, np.uint8)).all()
+    for order, (pairs, counts, index) in enumerate(cases.pairs):
         assert len(pairs) == sum(len(v) for c, v in after.items() if c[0] == order + 1)
-        for k in (0, 3, 7):
-            ones, total = lm.bit_counts(pairs, counts, k)
-            for i in range(0, len(contexts), 37):
-                byte, at = b"".join(texts)[i], index[piece.index[i]]
-                same = {b: n for b, n in after[contexts[i][order]].items() if b >> (8 - k) == byte >> (8 - k)}
-                assert (ones[at], total[at]) == (sum(n for b, n in same.items() if b >> (7 - k) & 1), sum(same.values()))
+        totals = lm.node_totals(pairs, counts)
+        for i in range(0, len(contexts), 37):
+            at = index[cases.index[i]]
+            for k in range(9):
+                assert totals[k, at] == sum(n for b, n in after[contexts[i][order]].items() if b >> (8 - k) == data[i] >> (8 - k))
 
 
 def test_lm_messages_lose_nothing():
@@ -47,7 +48,7 @@ def test_lm_messages_lose_nothing():
         for shard in (0, n - 1):
             own = keys[keys % np.uint64(n) == shard]
             for k in (own, own[:0]):
-                got = lm.unpacked(lm.packed(lm.steps(k, n), k.astype(np.uint8)), np.uint64, np.uint8)
+                got = X.unpacked(X.packed(lm.steps(k, n), k.astype(np.uint8)), np.uint64, np.uint8)
                 assert (lm.keys_of(got[0], n, shard) == k).all() and (got[1] == k.astype(np.uint8)).all() and len(got[0]) == len(k)
 
 
@@ -58,13 +59,83 @@ def test_lm_learns_from_the_whole_corpus(spark):
     assert out.agg(F.sum(F.col("bits_per_byte") * F.col("b")) / F.sum("b")).first()[0] < 2.2
 
 
-def test_lm_pieces_have_one_size():
-    """The mixer's pieces don't depend on the size of the table."""
-    assert list(inspect.signature(lm.pieces).parameters) == ["texts", "training"]
-    for n in (3, 60):
-        texts = Texts(pa.table({"doc_id": list(range(n)), "text": ["word " * 20000] * n}))
-        sizes = [int(p.offsets[-1]) for p in lm.pieces(texts, np.ones(n, bool))]
-        assert sizes == [1_000_000] * (n // 10) + [100_000 * (n % 10)] * (n % 10 > 0)
+def test_lm_against_counts_by_hand(spark):
+    """Every text's score from dictionaries over all other blocks, and a mixer that goes bit by bit; whatever the partitions."""
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta"]
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 30)).tolist())) for i in range(40)] + [(None, "alpha beta"), (7, "again"), (50, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"], r["score"]) for r in lm.lm_scores(df.repartition(k)).collect()) for k in (1, 8)]
+    assert got[0] == got[1]
+    key = F.coalesce("doc_id", F.lit(lm.S.LOWEST_ID))
+    block = {tuple(r)[:2]: r["b"] for r in df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64(key), F.lit(12)).alias("b")).collect()}
+    training = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 != 0
+
+    def contexts(t: bytes, i: int) -> list:
+        return [(o, (b"\0" * 4 + t[:i])[-o:]) for o in (1, 2, 3, 4)] + [(5, t[:i].rpartition(b" ")[2])]
+
+    after = {b: defaultdict(Counter) for b in range(12)}
+    for (i, text), b in block.items():
+        t = text.encode()
+        for k, byte in enumerate(t if training(i) else b""):
+            for c in contexts(t, k):
+                after[b][c][byte] += 1
+    others = {b: defaultdict(Counter) for b in range(12)}
+    for b in range(12):
+        for o in range(12):
+            for c, n in after[o].items() if o != b else ():
+                others[b][c].update(n)
+
+    def odds(b: int, c, byte: int, k: int) -> tuple[int, float]:
+        same = sum(n for x, n in others[b][c].items() if x >> (8 - k) == byte >> (8 - k))
+        yes = sum(n for x, n in others[b][c].items() if x >> (7 - k) == byte >> (7 - k))
+        value = byte >> (7 - k) & 1
+        return value, float(np.clip(np.rint(10 * np.log((yes + 0.05) / (same - yes + 0.05))), -127, 127)) / 10 * (2 * value - 1)
+
+    want = []
+    for b in range(12):
+        docs = sorted([(-1 if i is None else i, t) for (i, t), x in block.items() if x == b])
+        texts = Texts(pa.table({"doc_id": pa.array([lm.S.LOWEST_ID if i < 0 else i for i, _ in docs], pa.int64()), "text": pa.array([t for _, t in docs], pa.string())}))
+        cases = lm.Cases(texts, np.array([training(None if i < 0 else i) for i, _ in docs], bool), 56)
+        place = {}
+        data = [(t.encode(), k) for _, t in docs for k in range(len(t.encode()))]
+        for at, (t, k) in zip(cases.index.tolist(), data, strict=True):
+            place[at] = (t, k)
+        rows_ = [[(odds(b, c, t[k], bit), c) for c in contexts(t, k) for bit in range(8)] for t, k in (place[c] for c in range(len(place)))]
+        weights = np.array([[0.3] * 5 + [0.0]] * 64)
+        seen = np.zeros((2, 256, 33))
+        mix = lambda x, g: float(np.clip(np.dot(x, weights[g]), -12, 12))
+
+        def bits(r, t, k):
+            for bit in range(8):
+                x = [r[o * 8 + bit][0][1] for o in range(5)] + [0.3]
+                conf = [int(min(8 * np.log2(1 + sum(others[b][r[o * 8][1]].values())), 255)) for o in (3, 4)]
+                yield r[bit][0][0], (t[k] | 256) >> (8 - bit), x, bit * 8 + 2 * ((conf[1] >= 8) + (conf[1] >= 18) + (conf[1] >= 40)) + (conf[0] >= 18)
+
+        learnt = [c for c in range(len(place)) if cases.count[c]]
+        step = [(v, n, x, g, cases.count[c], mix(x, g)) for c in learnt for v, n, x, g in bits(rows_[c], *place[c])]  # one batch: fewer than 4,096 cases
+        for v, n, x, g, c, o in step:
+            cell = int(np.rint(o * 16 / 12 + 16))
+            seen[0, n, cell] += v * c
+            seen[1, n, cell] += c
+        for g in {s[3] for s in step}:
+            mine = [s for s in step if s[3] == g]
+            weights[g] += 0.5 * sum((v - 1 / (1 + np.exp(-o))) * c * np.array(x) for v, _, x, _, c, o in mine) / (sum(s[4] for s in mine) + 50)
+
+        def log2(r, t, k):
+            total = 0.0
+            for v, n, x, g in bits(r, t, k):
+                o = mix(x, g)
+                p, cell = 1 / (1 + np.exp(-o)), int(np.rint(o * 16 / 12 + 16))
+                p = min(max(0.5 * p + 0.5 * (seen[0, n, cell] + 20 * p) / (seen[1, n, cell] + 20), 1e-6), 1 - 1e-6)
+                total += np.log2(p if v else 1 - p)
+            return total
+
+        value = {c: log2(rows_[c], *place[c]) for c in place}
+        at = iter(cases.index.tolist())
+        want += [(i, len(t.split()) + 1, sum(value[next(at)] for _ in t.encode()) * np.log10(2)) for i, t in docs]
+    for x, y in zip(got[0], sorted(want), strict=True):
+        assert x[:2] == y[:2] and x[2] == pytest.approx(y[2], rel=0.02, abs=0.01)
 
 
 @pytest.mark.parametrize("limit", [decontam.BROADCAST_BYTES, 0])
