@@ -27,7 +27,14 @@ def read(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
 
 
+#: What tells a row of a table, if anything does.
+KEYS = {"scan_log": ["scan_id"], "reports": ["report_id"], "rules": ["rule_id"], "attack_categories": ["category", "keyword"], "verified_facts": ["claim_hash", "verified_at"]}
+
+
 def append(df: DataFrame, root: str, name: str) -> None:
+    """Adds rows, of tables with a key only those that aren't there yet; so a write that is repeated changes nothing."""
+    if keys := KEYS.get(name):
+        df = df.dropDuplicates(keys).join(read(df.sparkSession, root, name).select(*keys), keys, "left_anti").select(*df.columns)
     df.write.mode("append").parquet(f"{root}/{name}")
 
 

@@ -1,7 +1,11 @@
-"""Structured Streaming: verdicts, windowed block rates, and keyed state for rate limits and approvals."""
+"""Structured Streaming: verdicts, windowed block rates, joins, and keyed state with timers for rate limits and approvals.
+
+Keyed state needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from palisade.operators.approval import TTL
 from palisade.operators.ratelimit import window_step
 from palisade.operators.screen import screened
+from palisade.operators.truth import TOOLS
 
 
 def verdict_stream(stream: DataFrame, text: str, **options) -> DataFrame:
@@ -32,46 +37,62 @@ def sessions(stream: DataFrame, ts: str, user: str, gap: str = "30 minutes", lat
 
 
 def retained_stream(stream: DataFrame, ts: str, days: int = 30) -> DataFrame:
-    return stream.withWatermark(ts, f"{days} days")
+    """Records of a stream that are at most `days` old when they arrive; with a watermark of that age for what follows."""
+    young = F.col(ts) >= F.current_timestamp() - F.make_dt_interval(F.lit(days))
+    return stream.withWatermark(ts, f"{days} days").where(young)
+
+
+def _millis(seconds: float) -> int:
+    return math.ceil(seconds * 1000)
 
 
 class RateLimiter(StatefulProcessor):
-    """window_step() with its state kept per user."""
+    """window_step() with its state kept per user; a timer frees it once neither a kept time nor a penalty matters any more."""
 
     def __init__(self, limit: int, window: float, block: float):
         self.limit, self.window, self.block = limit, window, block
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "times array<double>, blocked_until double")
+        self.handle = handle
+        self.state = handle.getValueState("state", "times array<double>, blocked_until double, ends bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kept = self.state.get() if self.state.exists() else None
-        times, until = (list(kept[0]), kept[1]) if kept else ([], 0.0)
+        times, until, ends = (list(kept[0]), kept[1], kept[2]) if kept else ([], 0.0, 0)
         pdf = pd.concat(rows).sort_values(["ts", "event_id"])
         allowed = []
         for t in pdf["ts"]:
             ok, times, until = window_step(times, until, t.timestamp(), self.limit, self.window, self.block)
             allowed.append(ok)
-        self.state.update((times, until))
+        if ends:
+            self.handle.deleteTimer(ends)
+        ends = max(_millis(max([until, *(t + self.window for t in times)])), timerValues.getCurrentWatermarkInMs()) + 1
+        self.handle.registerTimer(ends)
+        self.state.update((times, until, ends))
         yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "user_id": key[0], "allowed": allowed})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame({"event_id": [], "user_id": [], "allowed": []}).astype({"event_id": "int64", "user_id": "int64", "allowed": "bool"})
+
     def close(self) -> None:
         pass
 
 
-def rate_limit_stream(stream: DataFrame, limit: int = 60, window: float = 60.0, block: float = 300.0) -> DataFrame:
-    """(event_id, user_id, allowed) of a stream of (event_id, user_id, ts)."""
-    return stream.select("event_id", "user_id", "ts").groupBy("user_id").transformWithStateInPandas(
-        RateLimiter(limit, window, block), outputStructType="event_id long, user_id long, allowed boolean", outputMode="Append", timeMode="none")
+def rate_limit_stream(stream: DataFrame, limit: int = 60, window: float = 60.0, block: float = 300.0, late: str = "10 minutes") -> DataFrame:
+    """(event_id, user_id, allowed) of a stream of (event_id, user_id, ts); state of users who have gone quiet is freed."""
+    return stream.select("event_id", "user_id", "ts").withWatermark("ts", late).groupBy("user_id").transformWithStateInPandas(
+        RateLimiter(limit, window, block), outputStructType="event_id long, user_id long, allowed boolean", outputMode="Append", timeMode="EventTime")
 
 
 class ApprovalTracker(StatefulProcessor):
-    """The decision of one approval; emits each change of status."""
+    """The decision of one approval; emits each change of status, expiry by a timer included."""
 
     def __init__(self, ttl: float):
         self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("state", "status string, requested double, hash string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -84,9 +105,20 @@ class ApprovalTracker(StatefulProcessor):
             status, requested, hash_ = approval_step(status, requested, hash_, r.op, now, r.hash, self.ttl)
             if status != before:
                 out.append((key[0], r.ts, status))
+            if status == "pending" and before is None:
+                self.handle.registerTimer(max(_millis(requested + self.ttl), timerValues.getCurrentWatermarkInMs()) + 1)
         self.state.update((status, requested, hash_))
         yield pd.DataFrame(out, columns=["approval_id", "ts", "status"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """What is open when its time is over has expired; what is settled stays, so that late events find it so."""
+        status, requested, hash_ = self.state.get()
+        rows = []
+        if status in ("pending", "approved"):
+            self.state.update(("expired", requested, hash_))
+            rows = [(key[0], pd.Timestamp(requested + self.ttl, unit="s"), "expired")]
+        yield pd.DataFrame(rows, columns=["approval_id", "ts", "status"])
+
     def close(self) -> None:
         pass
 
@@ -104,7 +136,14 @@ def approval_step(status: str | None, requested: float, hash_: str | None, op: s
     return status, requested, hash_
 
 
-def approval_stream(events: DataFrame, ttl: float = TTL) -> DataFrame:
+def approval_stream(events: DataFrame, ttl: float = TTL, late: str = "10 minutes") -> DataFrame:
     """(approval_id, ts, status) at each change, of a stream of (approval_id, ts, op, hash)."""
-    return events.select("approval_id", "ts", "op", "hash").groupBy("approval_id").transformWithStateInPandas(
-        ApprovalTracker(ttl), outputStructType="approval_id string, ts timestamp, status string", outputMode="Append", timeMode="none")
+    return events.select("approval_id", "ts", "op", "hash").withWatermark("ts", late).groupBy("approval_id").transformWithStateInPandas(
+        ApprovalTracker(ttl), outputStructType="approval_id string, ts timestamp, status string", outputMode="Append", timeMode="EventTime")
+
+
+def verified_stream(answers: DataFrame, tools: DataFrame, within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """answers (answer_id, session_id, ts) that a verifying tool in the same session, used at most `within` before, backs: a join of two streams."""
+    used = tools.where(F.upper("tool_name").isin(*TOOLS)).select(F.col("session_id").alias("_session"), F.col("ts").alias("used_at")).withWatermark("used_at", late)
+    near = (F.col("used_at") <= F.col("ts")) & (F.col("used_at") >= F.col("ts") - F.expr(f"INTERVAL {within}"))
+    return answers.withWatermark("ts", late).join(used, (F.col("session_id") == F.col("_session")) & near).select("answer_id", "session_id", "ts", "used_at")

@@ -154,7 +154,8 @@ def test_tables(spark, tmp_path):
     assert {tuple(r) for r in words.collect()} == {("a", "x"), ("a", "y")} and rules.first()["pattern"] == "drop it"
     tables.create(spark, str(tmp_path), "scan_log")
     log = spark.createDataFrame([("1", "t", True, "s", None, dt.datetime(2024, 1, 1))], tables.SCHEMAS["scan_log"])
-    tables.append(log, str(tmp_path), "scan_log")
+    for _ in range(2):  # repeated, it changes nothing
+        tables.append(log, str(tmp_path), "scan_log")
     assert tables.read(spark, str(tmp_path), "scan_log").count() == 1
     assert tables.baseline_words(spark, None).count() == 0
     (tmp_path / "bin").mkdir()
@@ -281,3 +282,52 @@ def test_providers(spark):
 
 def test_ruleset_version():
     assert L.ruleset_version() == L.ruleset_version() != L.ruleset_version(["x"]) and len(L.ruleset_version()) == 64
+
+
+@pytest.fixture()
+def rocksdb(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(key)
+
+
+def streamed(spark, tmp_path, frames, make, name):
+    """Rows of a stream whose batches are `frames`, in order."""
+    for i, df in enumerate(frames):
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in" / str(i)))
+    stream = spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / name / "in"))
+    query = make(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    return spark.table(name).collect()
+
+
+def test_rate_limit_stream(spark, tmp_path, rocksdb):
+    t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [(i, i % 2, t(s)) for i, s in enumerate([0, 1, 2, 3, 4, 5, 6, 7, 500, 501, 9000, 9001])]
+    schema = "event_id long, user_id long, ts timestamp"
+    whole = {r["event_id"]: r["allowed"] for r in ratelimit.rate_limited(spark.createDataFrame(rows, schema), "user_id", "ts", "event_id", limit=2).collect()}
+    got = streamed(spark, tmp_path, [spark.createDataFrame(part, schema) for part in (rows[:5], rows[5:8], rows[8:])], lambda s: pipelines.rate_limit_stream(s, 2), "limits")
+    assert {r["event_id"]: r["allowed"] for r in got} == whole and False in whole.values()
+
+
+def test_approval_stream(spark, tmp_path, rocksdb):
+    t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    events = [("a", t(0), "request", "h"), ("b", t(0), "request", "h"), ("a", t(9), "approve", "h"), ("c", t(5), "request", "h"), ("c", t(6), "deny", "h")]
+    later = [("a", t(20), "execute", "h"), ("d", t(9000), "request", "h")]
+    schema = "approval_id string, ts timestamp, op string, hash string"
+    got = streamed(spark, tmp_path, [spark.createDataFrame(x, schema) for x in (events, later)], pipelines.approval_stream, "approvals")
+    last = {k: [r["status"] for r in got if r["approval_id"] == k] for k in "abcd"}
+    assert last == {"a": ["pending", "approved", "consumed"], "b": ["pending", "expired"], "c": ["pending", "denied"], "d": ["pending"]}
+
+
+def test_other_streams(spark, tmp_path):
+    now = dt.datetime.now()
+    df = spark.createDataFrame([(1, ATTACK, now, "s"), (2, "hello", now - dt.timedelta(days=40), "s")], "answer_id long, text string, ts timestamp, session_id string")
+    got = streamed(spark, tmp_path, [df], lambda s: pipelines.verdict_stream(s, "text").select("answer_id", "layer"), "verdicts_")
+    assert {r["answer_id"]: r["layer"] for r in got} == {r["answer_id"]: r["layer"] for r in screened(df).collect()}
+    assert [r["answer_id"] for r in streamed(spark, tmp_path, [df], lambda s: pipelines.retained_stream(s, "ts"), "young")] == [1]
+    tools = spark.createDataFrame([("s", "search", now - dt.timedelta(minutes=5)), ("s", "calculator", now)], "session_id string, tool_name string, ts timestamp")
+    tools.write.parquet(str(tmp_path / "tools"))
+    used = spark.readStream.schema(tools.schema).parquet(str(tmp_path / "tools"))
+    assert [r["answer_id"] for r in streamed(spark, tmp_path, [df], lambda s: pipelines.verified_stream(s.select("answer_id", "session_id", "ts"), used), "backed")] == [1]
