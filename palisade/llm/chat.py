@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from palisade.llm import _session as S
 
-#: Turns, and messages at most, of one part of a conversation.
-PART_TURNS, PART_MESSAGES = 64, 4096
+#: Turns that are counted together, and messages of one row: a chat of more is cut into rows that follow each other.
+COUNTED_TURNS, PART_MESSAGES = 64, 4096
 _MARKS = r"^[ \t]*>[> \t]*"
 _WROTE = r"^.{0,200}\bwrote:[ \t]*$"
 
@@ -96,7 +96,28 @@ def trimmed(rows: DataFrame, quotes: DataFrame) -> DataFrame:
     return pairs.select("conv_id", "hash", "body").distinct().join(says, ["conv_id", "body"]).select("conv_id", "hash", "turn").distinct()
 
 
-def conversations(messages: DataFrame, part_turns: int = PART_TURNS, part_messages: int = PART_MESSAGES) -> DataFrame:
+def _key(*columns: str) -> Column:
+    """Columns as one that joins null with null."""
+    return F.struct(*(F.coalesce(F.col(k), F.lit(S.LOWEST_ID)).alias(k) for k in columns))
+
+
+def cuts(rows: DataFrame, part_messages: int) -> DataFrame:
+    """(key, part, shares) for the buckets of turns of threads with more than part_messages messages; others have none.
+
+    Buckets are counted before they meet; a part is a run of them that begins within the same multiple of part_messages. A bucket that is
+    more by itself is a part of its own, in shares.
+    """
+    counted = rows.groupBy("conv_id", "thread", "bucket").agg(F.count("*").alias("n"))
+    thread = Window.partitionBy("conv_id", "thread")
+    so_far = F.sum("n").over(thread.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = counted.withColumn("total", F.sum("n").over(thread)).withColumn("from", so_far - F.col("n")).where(F.col("total") > part_messages)
+    crowded = F.col("n") > part_messages
+    # twice the multiple, so that a crowded bucket stands between the parts before and behind it
+    part = 2 * F.floor(F.col("from") / part_messages) + crowded.cast("int")
+    return counted.select(_key("conv_id", "thread", "bucket").alias("key"), part.alias("part"), F.when(crowded, F.ceil(F.col("n") / part_messages)).otherwise(1).alias("shares"))
+
+
+def conversations(messages: DataFrame, part_messages: int = PART_MESSAGES, counted_turns: int = COUNTED_TURNS) -> DataFrame:
     """Messages (conv_id, turn, role, text) as chats in order of reply.
 
     A message replies to the latest earlier turn of its conversation that says one of the passages that it quotes at
@@ -108,8 +129,9 @@ def conversations(messages: DataFrame, part_turns: int = PART_TURNS, part_messag
 
     Returns conv_id, thread (its first turn), part, share, n_messages, n_replies (that are linked), n_quotes and n_linked
     (quoted passages of any level, and those found in earlier turns) and chat: a `<|role|>` line, the text without
-    quotes and an `<|end|>` line of each message. A part holds part_turns turns; more than part_messages messages there
-    (repeated turns) are spread by a hash over shares, numbered from 0. Nothing is dropped: null roles are `unknown`,
+    quotes and an `<|end|>` line of each message. A thread of up to part_messages messages is one row, part 0 and share 0. A longer one, which may
+    hold a third of all rows, is cut between turns into parts of about so many messages: in order of (part, share) they are the chat without a break.
+    Only where a single turn is repeated more often than that, its equals are dealt out by a hash. Nothing is dropped: null roles are `unknown`,
     null texts empty, null ids and turns groups of their own (a null turn comes first and neither replies nor is
     replied to). Repeated rows stay. An empty table gives an empty one. Other columns are ignored.
     """
@@ -152,16 +174,18 @@ def conversations(messages: DataFrame, part_turns: int = PART_TURNS, part_messag
 
     known = linked.join(parents, ["conv_id", "turn"], "left")
     out = rows.select("conv_id", "turn", "role", "said").join(known, ["conv_id", "turn"], "left")
-    out = out.withColumn("thread", F.coalesce("thread", "turn")).withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(0)))
+    out = out.withColumn("thread", F.coalesce("thread", "turn"))
     # in linear chats every message would be a thread of its own: threads without replies stay together
     busy = parents.select("conv_id", "thread").distinct().withColumn("busy", F.lit(True))
     out = out.join(busy, ["conv_id", "thread"], "left").withColumn("thread", F.when(F.col("busy"), F.col("thread")))
-    key = ["conv_id", "thread", "part"]
-    crowded = out.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > part_messages)
-    crowded = crowded.select(F.struct(*(F.coalesce(F.col(k), F.lit(S.LOWEST_ID)).alias(k) for k in key)).alias("key"), F.ceil(F.col("n") / part_messages).alias("shares"))
-    out = out.withColumn("key", F.struct(*(F.coalesce(F.col(k), F.lit(S.LOWEST_ID)).alias(k) for k in key))).join(crowded, "key", "left")
-    out = out.withColumn("share", F.when(F.col("shares") > 1, F.pmod(F.xxhash64("turn", "role", "said"), F.col("shares"))).otherwise(F.lit(0)))
-    chats = out.groupBy(*key, "share").agg(
+    out = out.withColumn("bucket", F.floor(F.col("turn") / counted_turns))
+    parts = cuts(out, part_messages)
+    out = out.withColumn("key", _key("conv_id", "thread", "bucket")).join(parts, "key", "left")
+    # in a crowded bucket each turn is a share, and a turn by itself too crowded is dealt out by a hash
+    offset = F.coalesce(F.col("turn") - F.col("bucket") * counted_turns, F.lit(0))
+    spread = F.pmod(F.xxhash64("turn", "role", "said"), F.greatest(F.col("shares"), F.lit(1)))
+    out = out.withColumn("part", F.coalesce("part", F.lit(0))).withColumn("share", F.when(F.col("shares") > 1, offset * F.col("shares") + spread).otherwise(F.lit(0)))
+    chats = out.groupBy("conv_id", "thread", "part", "share").agg(
         F.count("*").alias("n_messages"), F.count("parent").alias("n_replies"), F.coalesce(F.sum("quoted"), F.lit(0)).alias("n_quotes"), F.coalesce(F.sum("linked"), F.lit(0)).alias("n_linked"),
         F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(S.LOWEST_ID)).alias("turn"), "role", "said"))).alias("messages"),
     )

@@ -274,3 +274,14 @@ def test_chat(spark):
     assert chat.conversations(df.limit(0)).count() == 0
     crowded = chat.conversations(spark.createDataFrame([(1, 0, "user", f"m{i}") for i in range(50)], "conv_id long, turn long, role string, text string"), part_messages=10).collect()
     assert sum(r["n_messages"] for r in crowded) == 50 and len(crowded) > 1
+
+
+@pytest.mark.parametrize(("part_messages", "counted", "rows"), [(4096, 64, 1), (20, 4, None), (3, 4, None)])
+def test_long_chats_stay_in_order(spark, part_messages, counted, rows):
+    """A conversation of 130 turns, some of them repeated, read in order of its rows."""
+    said = [(1, i, "user", f"message {i}") for i in range(130)] + [(1, 70, "assistant", f"again {k}") for k in range(9)] + [(2, 0, "user", "other")]
+    out = chat.conversations(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"), part_messages, counted).where("conv_id = 1").orderBy("part", "share").collect()
+    assert rows is None or len(out) == rows
+    assert max(r["n_messages"] for r in out) <= max(2 * part_messages, 9) and sum(r["n_messages"] for r in out) == 139
+    turns = [int(x) for x in re.findall(r"message (\d+)", "".join(r["chat"] for r in out))]
+    assert turns == list(range(130))
