@@ -207,9 +207,15 @@ def _large(rows: DataFrame, lists: DataFrame, member: DataFrame, percent: int) -
     stars = S.checkpointed(near.select("id", "head", "shingles", "other").mapInArrow(pairs, "a long, b long"))
 
     known = components(stars)
-    rows = rows.join(known, "id", "left").withColumn("known", F.coalesce("component", "id"))
-    rows = rows.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("family").orderBy("known", "n", "id")) - 1) / BLOCK))
-    rows = S.checkpointed(rows.select("family", "block", "id", "n", "known", "shingles"))
+    narrow = rows.select("family", "id", "n").join(known, "id", "left").withColumn("known", F.coalesce("component", "id")).drop("component")
+    # a block holds about BLOCK classes of like sizes, of one component if that has as many; numbers come from counts, so no family is sorted in one task
+    band = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / min(percent, 99))))
+    large = narrow.groupBy("family", "known").agg(F.count("*").alias("m")).where(F.col("m") >= BLOCK).drop("m").withColumn("alone", F.col("known"))
+    narrow = narrow.join(large, ["family", "known"], "left").withColumn("alone", F.coalesce("alone", F.lit(S.LOWEST_ID))).withColumn("band", band)
+    shares = narrow.groupBy("family", "alone", "band").agg(F.ceil(F.count("*") / BLOCK).alias("shares"))
+    narrow = narrow.join(shares, ["family", "alone", "band"])
+    block = F.xxhash64("family", "alone", "band", F.pmod(F.xxhash64("id"), F.col("shares")))
+    rows = S.checkpointed(rows.select("id", "shingles").join(narrow.select("family", block.alias("block"), "id", "n", "known"), "id").select("family", "block", "id", "n", "known", "shingles"))
     blocks = rows.groupBy("family", "block").agg(F.min("known").alias("lo"), F.max("known").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
     a, b = blocks.alias("a"), blocks.alias("b")
     open_ = ~((F.col("a.lo") == F.col("a.hi")) & (F.col("b.lo") == F.col("b.hi")) & (F.col("a.lo") == F.col("b.lo")))
