@@ -24,6 +24,8 @@ from palisade.llm._kernels import U64, Texts, Words, text_slices, mixed, powers
 MOST_MASKS, MOST_PATTERNS = 8, 5000
 #: Text bytes of a benchmark that is sent to the executors whole; a larger one is joined by shuffle.
 BROADCAST_BYTES = 16 << 20
+#: Bits that tell documents which seeds a large benchmark may have, whatever its size; sent in pieces.
+MARK_BITS, MARK_PIECES = 1 << 28, 64
 HITS = "doc_id long, item_id long, first_word long, last_word long, n_same long"
 _HIT_NAMES = ("doc_id", "item_id", "first_word", "last_word", "n_same")
 
@@ -166,13 +168,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 12, share:
     return best.select(S.public_id(), S.public_id("item_id"), (-F.col("x.at")).alias("first_word"), F.col("x.last_word").alias("last_word"), F.col("x.n_same").alias("n_same"))
 
 
+class Sent:
+    """A benchmark as it is broadcast; its seeds are made once in a Python worker."""
+
+    def __init__(self, table: pa.Table, window: int, share: float):
+        self.table, self.window, self.share, self.made = table, window, share, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"made": None}
+
+    def benchmark(self) -> Benchmark:
+        if self.made is None:
+            self.made = Benchmark(self.table, self.window, self.share)
+        return self.made
+
+
 def _sent(docs: DataFrame, items: DataFrame, window: int, share: float) -> DataFrame:
     """The benchmark, whose size has been checked, goes to the documents."""
     table = pa.Table.from_pylist([r.asDict() for r in items.collect()], pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    sent = docs.sparkSession.sparkContext.broadcast(Sent(table, window, share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = Benchmark(sent.value, window, share)
+        b = sent.value.benchmark()
         for texts in text_slices(batches):
             words = Words(texts, fold=True, alnum=True)
             first = np.concatenate(([0], np.cumsum(words.count)))
@@ -186,7 +203,10 @@ def _sent(docs: DataFrame, items: DataFrame, window: int, share: float) -> DataF
 
 
 def _joined(docs: DataFrame, items: DataFrame, window: int, share: float) -> DataFrame:
-    """Both sides' seeds meet by a shuffle join; pairs get their texts by further joins. Nothing is broadcast."""
+    """Both sides' seeds meet by a shuffle join; pairs get their texts by further joins.
+
+    What documents send is cut down by a bitmap of the benchmark's seeds, of a fixed size; nothing else is broadcast.
+    """
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in text_slices(batches):
@@ -196,8 +216,9 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, share: float) -> Dat
     # at most one for each length up to the window
     wanted = masks_of({r["n"] for r in items.mapInArrow(lengths, "n long").distinct().collect()}, window, share)
 
-    def of(item: bool):
+    def of(item: bool, marks=None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = None if item else marks.value
             for texts in text_slices(batches):
                 words = Words(texts, fold=True, alnum=True)
                 first = np.concatenate(([0], np.cumsum(words.count)))
@@ -205,12 +226,22 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, share: float) -> Dat
                     at, h = seeds(words.hash, words.doc, mask)
                     if item:
                         fit = np.isin(np.minimum(words.count[words.doc[at]], window), list(lengths))
-                        at, h = at[fit], h[fit]
+                    else:
+                        place = h % U64(MARK_BITS)
+                        fit = (bits[(place >> U64(3)).astype(np.int64)] >> (place & U64(7)).astype(np.uint8)) & 1 > 0
+                    at, h = at[fit], h[fit]
                     d = words.doc[at]
                     yield from pa.table({"id": texts.ids[d], "seed": h.view(np.int64), "at": at - first[d]}).to_batches(max_chunksize=1 << 16)
 
         return run
 
+    piece_bits = MARK_BITS // MARK_PIECES
+
+    def marked(table: pa.Table) -> pa.Table:
+        bits = np.zeros(piece_bits, bool)
+        bits[(table.column("seed").to_numpy().view(U64) % U64(piece_bits)).astype(np.int64)] = True
+        return pa.table({"piece": table.column("piece").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict = {}
@@ -224,7 +255,14 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, share: float) -> Dat
 
     schema = "id long, seed long, at long"
     theirs = items.mapInArrow(of(True), schema).select(F.col("id").alias("item_id"), "seed", F.col("at").alias("place")).distinct()
-    pairs = docs.mapInArrow(of(False), schema).join(theirs, "seed").select(F.col("id").alias("doc_id"), "item_id", (F.col("at") - F.col("place")).alias("at")).distinct()
+    theirs = S.checkpointed(theirs)
+    place = F.col("seed").bitwiseAND(F.lit(MARK_BITS - 1).cast("long"))
+    pieces = theirs.select(F.floor(place / piece_bits).cast("int").alias("piece"), "seed").distinct().groupBy("piece").applyInArrow(marked, "piece int, bits binary")
+    flat = np.zeros(MARK_BITS // 8, np.uint8)
+    for r in pieces.collect():  # MARK_PIECES rows of a fixed size
+        flat[r["piece"] * piece_bits // 8 : (r["piece"] + 1) * piece_bits // 8] = np.frombuffer(r["bits"], np.uint8)
+    marks = docs.sparkSession.sparkContext.broadcast(flat)
+    pairs = docs.mapInArrow(of(False, marks), schema).join(theirs, "seed").select(F.col("id").alias("doc_id"), "item_id", (F.col("at") - F.col("place")).alias("at")).distinct()
     pairs = pairs.groupBy("doc_id", "item_id").agg(F.collect_set("at").alias("ats"))
     full = pairs.join(docs, "doc_id").join(items.select(F.col("doc_id").alias("item_id"), F.col("text").alias("item_text")), "item_id")
     return full.select("doc_id", "item_id", "ats", "text", "item_text").mapInArrow(verify, HITS)
