@@ -1,8 +1,9 @@
 """From raw documents to token ids: quality, near duplicates, repeated strings, benchmark passages, encoding.
 
 Each stage takes (spark, docs, sf_dir) and all that the stage before kept; all but the last return the columns of
-documents. Rows that share a doc_id stay or go together; rows without one are judged as one document by the stages
-that compare ids. Empty tables stay empty.
+documents (other columns go). Rows that share a doc_id stay or go together; rows without one are judged as one document by the stages
+that compare ids; the stage that cuts strings gives rows that share an id the least of their pairs of lang and source. Null texts are empty.
+Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def _without(docs: DataFrame, ids: DataFrame, how: str = "left_anti") -> DataFrame:
     """docs without (or, left_semi, with only) the given ids; a null id is one of them if it is there."""
     ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), how).select(*COLUMNS)
+    return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), how).select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     from palisade.llm.suffix_dedup import repeated_strings
 
     kept = repeated_strings(docs, 100).where("kept <> '' OR n_bytes = 0").select(F.col("doc_id").alias("_id"), F.col("kept").alias("text"))
-    about = docs.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.min("source").alias("source"))
+    about = docs.select(*COLUMNS).groupBy("doc_id").agg(F.min(F.struct("lang", "source")).alias("x")).select("doc_id", "x.lang", "x.source")
     return about.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -62,7 +63,10 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeated_passages), ("benchmark decontamination", benchmark_passages), ("byte-level BPE", encoding)]
+STAGES = [
+    ("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_passages), ("byte-level BPE", encoding),
+]
 #: The classifier can't be stated in SQL.
 ORACLE_SQL = None
 
