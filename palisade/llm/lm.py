@@ -24,13 +24,15 @@ from palisade.llm import _session as S
 from palisade.llm._kernels import _SPACE, _VALUES, U64, Texts, Words, mixed, prefix_sums, spans
 from palisade.llm.quality import remainder
 
+#: Bytes of text of a block; the larger, the fewer distinct contexts travel.
+BLOCK_BYTES = 6 << 20
 #: Bytes of text whose cases are found at a time.
 PIECE = 1 << 18
 #: Contexts: 1 to 4 bytes, the word so far.
 ORDERS = 5
 GATES, INPUTS, BUCKETS = 64, 6, 33
 #: Log odds travel as whole numbers, so many to one.
-STEPS = 10
+STEPS = 5
 _MULTIPLY = [U64(m) for m in (0x2545F4914F6CDD1D, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 SCHEMA = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
@@ -229,7 +231,7 @@ def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
     """
     S.ship(docs.sparkSession)
     size = S.text_bytes(docs)
-    n, bits = S.block_count(size), context_bits(size)
+    n, bits = S.block_count(size, block=BLOCK_BYTES), context_bits(size)
     held = F.coalesce(remainder(S.public_id(), folds) == 0, F.lit(False))
     blocks = S.blocked(S.documents(docs), n)
 

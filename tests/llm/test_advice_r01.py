@@ -90,7 +90,7 @@ def test_lm_against_counts_by_hand(spark):
         same = sum(n for x, n in others[b][c].items() if x >> (8 - k) == byte >> (8 - k))
         yes = sum(n for x, n in others[b][c].items() if x >> (7 - k) == byte >> (7 - k))
         value = byte >> (7 - k) & 1
-        return value, float(np.clip(np.rint(10 * np.log((yes + 0.05) / (same - yes + 0.05))), -127, 127)) / 10 * (2 * value - 1)
+        return value, float(np.clip(np.rint(lm.STEPS * np.log((yes + 0.05) / (same - yes + 0.05))), -127, 127)) / lm.STEPS * (2 * value - 1)
 
     want = []
     for b in range(12):
