@@ -37,10 +37,29 @@ def ordered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[order], order
 
 
-def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
+def first_codes(code: np.ndarray, base: np.uint64, step: int) -> np.ndarray:
+    """The first `step` codes of each suffix as one number to that base; past the end stand zeros."""
+    n = len(code)
+    part = np.zeros(n + step, U64)
+    part[:n] = code
+    out, size, width = None, 0, 1
+    while True:
+        if step & width:
+            out = part[:n].copy() if out is None else out * base ** U64(width) + part[size : size + n]
+            size += width
+        if size == step:
+            return out
+        more = np.zeros(n + step, U64)
+        more[: n + step - width] = part[width:]
+        part = part * base ** U64(width) + more
+        width *= 2
+
+
+def suffix_ranks(data: np.ndarray, depth: int, starts: np.ndarray | None = None) -> np.ndarray:
     """For each suffix, how many suffixes are smaller in their first `depth` bytes (prefix doubling).
 
-    Past the end counts as smaller than any byte. Classes of one suffix are not sorted again.
+    Past the end counts as smaller than any byte. Classes of one suffix are not sorted again. With `starts`, only the suffixes there are
+    ranked, among themselves in the right order; a round sorts only suffixes that a later one looks at.
     """
     n = len(data)
     used = np.bincount(data, minlength=256) > 0
@@ -50,16 +69,25 @@ def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
     step = 1
     while step < depth and base ** (step + 1) < 1 << max(42, 64 - wide):
         step += 1
-    padded = np.zeros(n + step, U64)
-    padded[:n] = code
-    key = np.zeros(n, U64)
-    for j in range(step):
-        key = key * U64(base) + padded[j : j + n]
-    rank, active, done = np.zeros(n, np.int64), np.arange(n), 0
+    # the rounds' steps, and from the last to the first which suffixes they need
+    rounds = [step]
+    while sum(rounds) < depth:
+        rounds.append(min(sum(rounds), depth - sum(rounds)))
+    needed = [np.ones(n, bool)]
+    if starts is not None:
+        needed[0][:] = False
+        needed[0][starts] = True
+    for ahead in rounds[:0:-1]:
+        more = needed[0].copy()
+        more[ahead:] |= needed[0][:-ahead]
+        needed.insert(0, more)
+    active = np.flatnonzero(needed[0]).astype(np.int32)
+    key = first_codes(code, U64(base), step)[active]
+    rank, done = np.zeros(n, np.int32), 0
     while True:
         key, order = ordered(key)
         at = active[order]
-        old, i = rank[at], np.arange(len(at))
+        old, i = rank[at], np.arange(len(at), dtype=np.int32)
         head, sub = np.ones(len(at), bool), np.ones(len(at), bool)
         head[1:], sub[1:] = old[1:] != old[:-1], key[1:] != key[:-1]
         rank[at] = old + np.maximum.accumulate(np.where(sub, i, 0)) - np.maximum.accumulate(np.where(head, i, 0))
@@ -69,7 +97,9 @@ def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
         if done >= depth or not len(active):
             return rank
         step = min(done, depth - done)
-        beyond = active + step
+        needed.pop(0)
+        active = active[needed[0][active]]
+        beyond = active + np.int32(step)
         second = np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
         key = (rank[active].astype(U64) << U64(wide)) | second.astype(U64)
 
@@ -79,15 +109,15 @@ def common_prefix(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) ->
     n = len(data)
     padded = np.zeros(n + 8, np.uint8)
     padded[:n] = data
-    eight = np.lib.stride_tricks.as_strided(padded, (n + 1, 8), (1, 1))
+    eight = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
     out = np.zeros(len(a), np.int64)
     active = np.arange(len(a))
     while len(active):
         at = out[active]
         x, y = a[active] + at, b[active] + at
         left = np.minimum(most - at, n - np.maximum(x, y))
-        differ = eight[np.minimum(x, n)] != eight[np.minimum(y, n)]
-        equal = np.where(differ.any(1), differ.argmax(1), 8)
+        differ = eight[np.minimum(x, n)] ^ eight[np.minimum(y, n)]
+        equal = np.bitwise_count((differ & (~differ + U64(1))) - U64(1)).astype(np.int64) >> 3  # bytes below the lowest bit that differs; 8 if none does
         out[active] = at + np.minimum(equal, left)
         active = active[(equal == 8) & (left > 8)]
     return out
@@ -101,7 +131,7 @@ def smaller_before(position: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray
     all between are greater too, so pointers double their reach in each round.
     """
     n = len(position)
-    at, least = np.arange(-1, n - 1), shared.copy()
+    position, at, least = position.astype(np.int32), np.arange(-1, n - 1, dtype=np.int32), shared.astype(np.int32)
     active = np.flatnonzero(at >= 0)
     active = active[position[at[active]] > position[active]]
     while len(active):
@@ -125,7 +155,7 @@ def previous_factor(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[n
     length, source = np.zeros(len(starts), np.int64), np.full(len(starts), -1, np.int64)
     if not len(starts):
         return length, source
-    rank, order = ordered(suffix_ranks(data, width)[starts].astype(U64))
+    rank, order = ordered(suffix_ranks(data, width, starts)[starts].astype(U64))
     position = starts[order]
     shared = np.full(len(order), width, np.int64)
     apart = np.flatnonzero(rank[1:] != rank[:-1]) + 1  # the others agree in all their `width` bytes
