@@ -141,8 +141,15 @@ class Cases:
         _, one, same = np.unique(h, return_index=True, return_inverse=True)
         self.index = same.astype(np.int32)[np.concatenate([np.zeros(0, np.int32), *at])]
         self.count = np.bincount(same, count, len(one))
-        self.byte = (raw[one] & U64(255)).astype(np.uint8)
-        self.pairs = [merged(pairs_of(raw[one], word[one], order, bits), self.count) for order in range(ORDERS)]
+        raw, word = raw[one], word[one]
+        self.byte = (raw & U64(255)).astype(np.uint8)
+        # the last bytes are the same in many cases, so shorter contexts follow from few
+        short, many, at = merged(raw, self.count)
+        self.pairs = []
+        for order in range(ORDERS - 1):
+            pairs, counts, index = merged(pairs_of(short, short, order, bits), many)
+            self.pairs.append((pairs, counts, index[at]))
+        self.pairs.append(merged(pairs_of(raw, word, ORDERS - 1, bits), self.count))
 
 
 class Mixer:
@@ -153,22 +160,24 @@ class Mixer:
         self.weights[:, -1] = 0
         self.seen = np.zeros((2, 256 * BUCKETS))
 
-    def inputs(self, cases: Cases, odds: list[np.ndarray], sure: list[np.ndarray], part: slice) -> tuple[np.ndarray, ...]:
-        """Of some cases, for each of their eight bits: its value, the bits before it (with a leading 1), the mixer's inputs and gates."""
-        byte = cases.byte[part].astype(np.int64)
-        bit = np.arange(8)[:, None]
-        value = (byte[None, :] >> (7 - bit)) & 1
+    def inputs(self, cases: Cases, odds: list[np.ndarray], sure: list[np.ndarray], part: slice | np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of some cases, for each of their eight bits: its value, the bits before it (with a leading 1), the mixer's inputs and gates.
+
+        odds holds eight signed bytes in one number for each pair.
+        """
+        byte = cases.byte[part].astype(np.int64)[:, None]
+        bit = np.arange(8)
+        value = (byte >> (7 - bit)) & 1
         sign = (2 * value - 1).astype(np.float32) / np.float32(STEPS)
-        x = np.empty((INPUTS, 8, len(byte)), np.float32)
+        x = np.empty((INPUTS, len(byte), 8), np.float32)
         at = [index[part] for _, _, index in cases.pairs]
         for i in range(ORDERS):
-            x[i] = odds[i][:, at[i]]
-            x[i] *= sign
+            np.multiply(odds[i][at[i]].view(np.int8).reshape(-1, 8), sign, out=x[i])
         x[-1] = 0.3
         word, four = sure[4][at[4]], sure[3][at[3]]
         level = 2 * ((word >= 8).astype(np.int64) + (word >= 18) + (word >= 40)) + (four >= 18)
-        gate = bit * 8 + level[None, :]
-        return value.reshape(-1).astype(np.float32), ((byte[None, :] | 256) >> (8 - bit)).reshape(-1), x.reshape(INPUTS, -1), gate.reshape(-1)
+        gate = bit * 8 + level[:, None]
+        return value.reshape(-1).astype(np.float32), ((byte | 256) >> (8 - bit)).reshape(-1), x.reshape(INPUTS, -1), gate.reshape(-1)
 
     def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         out = np.zeros(len(gate), np.float32)
@@ -182,7 +191,7 @@ class Mixer:
         for first in range(0, len(known), step):
             part = known[first : first + step]
             value, node, x, gate = self.inputs(cases, odds, sure, part)
-            c = np.tile(cases.count[part].astype(np.float32), 8)
+            c = np.repeat(cases.count[part].astype(np.float32), 8)
             mixed_ = self.mix(x, gate)
             cell = self._cell(node, mixed_)
             self.seen[0] += np.bincount(cell, value * c, 256 * BUCKETS)
@@ -206,7 +215,7 @@ class Mixer:
             p = 1 / (1 + np.exp(-mixed_.astype(np.float64)))
             cell = self._cell(node, mixed_)
             p = (0.5 * p + 0.5 * (self.seen[0][cell] + 20 * p) / (self.seen[1][cell] + 20)).clip(1e-6, 1 - 1e-6)
-            out[part] = np.log2(np.where(value > 0, p, 1 - p)).reshape(8, -1).sum(0)
+            out[part] = np.log2(np.where(value > 0, p, 1 - p)).reshape(-1, 8).sum(1)
         return out
 
 
@@ -300,12 +309,12 @@ def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
         bodies = X.answers(got)
         facts, known, odds, sure = zip(*(X.unpacked(bodies[s], np.int64, np.int64, np.int8, np.uint8) for s in range(n)), strict=True)
         ends, train_words, kinds = np.sum(facts, axis=0).tolist()
-        all_ = np.empty((8, len(order)), np.int8)
-        all_[:, order] = np.concatenate([o.reshape(8, -1) for o in odds], axis=1)
+        all_ = np.empty(len(order), np.uint64)
+        all_[order] = np.concatenate([np.ascontiguousarray(o.reshape(8, -1).T).view(np.uint64).ravel() for o in odds])
         seen = np.empty(len(order), np.uint8)
         seen[order] = np.concatenate(sure)
         cuts = np.cumsum([0, *(len(p[0]) for p in cases.pairs)])
-        odds, sure = ([x[..., a:b] for a, b in zip(cuts, cuts[1:], strict=False)] for x in (all_, seen))
+        odds, sure = ([x[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] for x in (all_, seen))
         mixer = Mixer()
         mixer.learn(cases, odds, sure)
         running = np.concatenate(([0.0], np.cumsum(mixer.log2(cases, odds, sure)[cases.index])))
