@@ -47,6 +47,21 @@ def false_positive_rates(terms: DataFrame, history: DataFrame, text: str, thresh
     return out.withColumn("rate", F.round(rate, 4)).withColumn("is_safe", rate <= threshold)
 
 
+def false_positive_rates_of_others(reports: DataFrame, history: DataFrame, id_col: str, text: str, threshold: float = 0.01) -> DataFrame:
+    """(term, scan_id, hits, tested, rate, is_safe) of reported terms (term, scan_id) over all benign texts but the reported one itself; safe if there is none."""
+    lowered = history.select(F.col(id_col).alias("scan_id"), F.lower(F.col(text)).alias("_t")).where(F.length("_t") > 0)
+    asked = reports.select("term", "scan_id").distinct()
+    pairs = containing(lowered, ["scan_id"], "_t", asked, "term")
+    hits = pairs.groupBy("term").agg(F.count("*").alias("_all"))
+    own = pairs.join(asked, ["term", "scan_id"], "left_semi").groupBy("term", "scan_id").agg(F.count("*").alias("_own"))
+    there = lowered.join(asked.select("scan_id").distinct(), "scan_id", "left_semi").groupBy("scan_id").agg(F.count("*").alias("_there"))
+    out = asked.join(hits, "term", "left").join(own, ["term", "scan_id"], "left").join(there, "scan_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = out.select("term", "scan_id", (zero("_all") - zero("_own")).alias("hits"), (F.lit(lowered.count()) - zero("_there")).alias("tested"))
+    rate = F.when(F.col("tested") > 0, F.col("hits") / F.col("tested")).otherwise(0.0)
+    return out.withColumn("rate", F.round(rate, 4)).withColumn("is_safe", rate <= threshold)
+
+
 def learned_matches(df: DataFrame, id_col: str, text: str, rules: DataFrame, least: int = 2) -> DataFrame:
     """(id, n_rules, blocked): texts that hold learnt rules (pattern); phrases and informative words count."""
     usable = rules.select(F.lower("pattern").alias("term")).where(F.col("term").contains(" ") | is_informative(F.upper("term"), stopwords=[]))

@@ -56,9 +56,11 @@ def json_line(*columns: str) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
-def write_lines(df: DataFrame, line: Column, path: str, records_per_file: int = 200_000) -> None:
-    """Appends lines as text; files are rotated by their number of records."""
-    df.select(line.alias("value")).write.mode("append").option("maxRecordsPerFile", records_per_file).text(path)
+def write_lines(df: DataFrame, line: Column, path: str, bytes_per_file: int = 50 << 20) -> None:
+    """Appends lines as text; files are rotated at about so many bytes, by the lines' mean length."""
+    lines = df.select(line.alias("value"))
+    mean = lines.agg(F.avg(F.octet_length("value") + 1)).first()[0] or 1
+    lines.write.mode("append").option("maxRecordsPerFile", max(1, int(bytes_per_file // mean))).text(path)
 
 
 def log_stats(lines: DataFrame) -> DataFrame:

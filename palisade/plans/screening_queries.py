@@ -200,6 +200,21 @@ def keyword_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.false_positive_rates(_keywords(spark, sf_dir).select(F.col("keyword").alias("term")), _benign(spark, sf_dir), "text")
 
 
+# reported scans are part of the history here: documents that people marked as toxic, which the screen had let through;
+# DuckDB leaves ß as it is in capitals, Spark and the operators' definition don't
+_TOXIC = f"""{_KEYWORDS.replace('item_id', 'doc_id').replace('upper(text)', "replace(replace(upper(text), 'ß', 'SS'), 'ẞ', 'SS')").replace('FROM benchmark', 'FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)')},
+own AS (SELECT DISTINCT keyword AS term, doc_id FROM keywords), hist AS (SELECT doc_id, lower(text) AS t FROM documents WHERE length(text) > 0)"""
+
+
+@REGISTRY(f"""WITH {_TOXIC}, n AS (SELECT term, doc_id, (SELECT count(*) FROM hist h WHERE contains(t, term) AND h.doc_id <> own.doc_id) AS hits, (SELECT count(*) FROM hist h WHERE h.doc_id <> own.doc_id) AS tested FROM own)
+SELECT term, doc_id AS scan_id, hits, tested, round(hits / tested, 4) AS rate, hits / tested <= 0.01 AS is_safe FROM n""")
+def reported_keyword_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(read(spark, sf_dir, "documents"))
+    toxic = read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    reported = A.extracted_keywords(docs.join(toxic, "doc_id", "left_semi"), "doc_id", "text")
+    return A.false_positive_rates_of_others(reported.select(F.col("keyword").alias("term"), F.col("doc_id").alias("scan_id")), docs, "doc_id", "text")
+
+
 @REGISTRY(f"WITH {_HISTORY} {_RATES} FROM (SELECT term, (SELECT count(*) FROM hist WHERE contains(t, term)) AS hits, (SELECT count(*) FROM hist) AS tested FROM (SELECT DISTINCT lower(text) AS term FROM benchmark))")
 def rule_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.false_positive_rates(read(spark, sf_dir, "benchmark").select(F.lower("text").alias("term")), _benign(spark, sf_dir), "text")

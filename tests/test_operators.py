@@ -163,6 +163,14 @@ def test_tables(spark, tmp_path):
     assert files.file_verdicts(tables.files(spark, str(tmp_path / "bin")).withColumn("declared_type", F.lit("image/png"))).first()["allowed"]
     siem.write_lines(log, siem.json_line("scan_id", "allowed"), str(tmp_path / "log"))
     assert siem.log_stats(spark.read.text(str(tmp_path / "log"))).first()["n_lines"] == 1
+    many = spark.range(100).select(F.concat(F.lit("line "), F.lpad(F.col("id").cast("string"), 5, "0")).alias("x")).coalesce(1)
+    siem.write_lines(many, F.col("x"), str(tmp_path / "rotated"), bytes_per_file=110)
+    assert len(list((tmp_path / "rotated").glob("part-*.txt"))) == 10 and spark.read.text(str(tmp_path / "rotated")).count() == 100
+    status = spark.createDataFrame([("A b", "approved"), ("a B", "approved"), ("c", "pending")], "pattern string, status string")
+    assert [r["pattern"] for r in tables.approved_rules(status).collect()] == ["a b"]
+    assert tables.merge_keywords(words, words).count() == 2
+    (tmp_path / "asked").write_text('{"tool": "shell", "args": "{}", "text": "hi"}\nnot json\n')
+    assert [r["tool"] for r in tables.requests(spark, str(tmp_path / "asked")).collect()] == ["shell", None]
 
 
 def test_block_rate_stream(spark, tmp_path):
