@@ -95,16 +95,17 @@ def category_matches(df: DataFrame, id_col: str, text: str, categories: dict[str
 
 
 def scanned(df: DataFrame, id_col: str, text: str, rules: DataFrame, learned: DataFrame | None = None, categories: dict[str, list[str]] | None = None, **options) -> DataFrame:
-    """(id, allowed, stage, reason, clean): the screen, then learnt rules (pattern), then categories, each only for what is still allowed.
+    """(id, allowed, stage, reason, clean): the screen, then learnt rules (pattern), then categories; the first that blocks decides.
 
     stage is filter, rules or categories where something blocks, else passed; reason is the layer, the number of rules or the category.
     clean is null where a text is blocked. A null text is empty, so safe. ids are distinct.
     """
-    rows = screened(df.select(id_col, F.col(text).alias("_raw")), "_raw", **options).select(id_col, "_raw", "clean", "layer")
-    open_ = rows.where("layer IS NULL")
-    by_rule = learned_matches(open_, id_col, "_raw", rules).where("blocked").select(id_col, "n_rules")
-    by_kind = category_matches(open_, id_col, "_raw", categories, learned).select(id_col, "category")
-    out = rows.select(id_col, "clean", "layer").join(by_rule, id_col, "left").join(by_kind, id_col, "left")
+    raw = df.select(id_col, F.col(text).alias("_raw"))
+    rows = screened(raw, "_raw", **options).select(id_col, "clean", "layer")
+    # rules and categories look at all texts, which is cheaper than to screen them once more to leave some out
+    by_rule = learned_matches(raw, id_col, "_raw", rules).where("blocked").select(id_col, "n_rules")
+    by_kind = category_matches(raw, id_col, "_raw", categories, learned).select(id_col, "category")
+    out = rows.join(by_rule, id_col, "left").join(by_kind, id_col, "left")
     stage = F.when(F.col("layer").isNotNull(), "filter").when(F.col("n_rules").isNotNull(), "rules").when(F.col("category").isNotNull(), "categories").otherwise("passed")
     reason = F.coalesce("layer", F.concat(F.col("n_rules").cast("string"), F.lit(" rules")), "category")
     return out.select(id_col, (stage == "passed").alias("allowed"), stage.alias("stage"), reason.alias("reason"), F.when(stage == "passed", F.col("clean")).alias("clean"))

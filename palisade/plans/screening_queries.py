@@ -322,7 +322,7 @@ def false_positive_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY(f"""WITH {_OUTCOMES} SELECT category, keyword FROM learnt
 WHERE (category, keyword) NOT IN (SELECT (category, k) FROM (SELECT category, UNNEST(prune) AS k FROM outcomes WHERE status = 'pruned'))""")
 def pruned_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    learnt = _learnt(spark, sf_dir)
+    learnt = _learnt(spark, sf_dir).persist()  # a small table that is looked at several times
     return A.pruned(learnt, _outcomes(spark, sf_dir, learnt))
 
 
@@ -361,7 +361,7 @@ SELECT doc_id, layer IS NULL AND n_rules IS NULL AND category IS NULL AS allowed
   CASE WHEN layer IS NOT NULL THEN layer WHEN n_rules IS NOT NULL THEN n_rules || ' rules' ELSE category END AS reason
 FROM verdicts LEFT JOIN by_rule USING (doc_id) LEFT JOIN by_kind USING (doc_id)""")
 def staged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    learnt = _learnt(spark, sf_dir)
+    learnt = _learnt(spark, sf_dir).persist()  # a small table that is looked at several times
     rules = learnt.select(F.col("keyword").alias("pattern")).distinct()
     return A.scanned(_synth(spark, sf_dir), "doc_id", "input", rules, learnt).drop("clean")
 
