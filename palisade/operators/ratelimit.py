@@ -48,11 +48,12 @@ def rate_limited(df: DataFrame, user: str, ts: str, key: str, limit: int = 60, w
     """(key, user, ts, allowed, reason) of every request with a user, in order of (ts, key) per user.
 
     A user's requests are read as a stream of batches sorted by Spark, so a user with a third of all requests needs memory
-    for one batch and `limit` times only.
+    for one batch and `limit` times only. They are dealt by a hash of the user: a repartition by the user itself is dropped over a
+    join on the user, whose own exchange adaptive execution may then read map by map, which splits users.
     """
     schema = f"{key} {dict(df.dtypes)[key]}, {user} {dict(df.dtypes)[user]}, {ts} timestamp, allowed boolean, reason string"
     rows = df.where(F.col(user).isNotNull() & F.col(ts).isNotNull()).select(key, user, ts)
-    rows = rows.repartition(user).sortWithinPartitions(user, ts, key)
+    rows = rows.repartition(F.xxhash64(user)).sortWithinPartitions(user, ts, key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         who, times, until, last = object(), [], 0.0, float("-inf")
