@@ -48,26 +48,23 @@ def asked(df: DataFrame, text: str, providers: dict[str, Provider], fail_open: b
             raise ValueError("providers must have distinct names")
     if not providers:
         raise ValueError("at least one provider is needed")
-    out = None
-    for name, call in providers.items():
-        rows = df.withColumn("provider", F.lit(name)).withColumn("response", F.pandas_udf(_responder(call, fail_open, retries, pause), "string")(F.col(text)))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    rows = df.withColumn("provider", F.explode(F.array(*(F.lit(name) for name in providers))))  # one reading of df for all providers
+    return rows.withColumn("response", F.pandas_udf(_responder(providers, fail_open, retries, pause), "string")("provider", F.col(text)))
 
 
-def _responder(call: Provider, fail_open: bool, retries: int, pause: float):
-    def one(x: str) -> str | None:
+def _responder(calls: dict[str, Provider], fail_open: bool, retries: int, pause: float):
+    def one(name: str, x: str) -> str | None:
         for k in range(retries + 1):
             try:
-                return call(x)
+                return calls[name](x)
             except Exception:  # a provider may fail in any way
                 if k < retries:
                     time.sleep(pause * (k + 1))
         return "SAFE" if fail_open else None
 
-    def respond(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(one)
+    def respond(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for names, texts in batches:
+            yield pd.Series([one(name, x) for name, x in zip(names, texts, strict=True)], dtype=object)
 
     return respond
 
